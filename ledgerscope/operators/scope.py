@@ -1,0 +1,59 @@
+"""Shrink the seven tables to what one set of assignments can reach.
+
+For a report over one sales person the dimensions and facts are far larger
+than what that person's accounts touch.  Each key set on the way (e-mails,
+holder ids, account numbers) is counted with a bound first; only a proven
+small set is broadcast into a semi join on the big table's scan.  A key set
+over the bound leaves its table whole, and the report's own joins then do
+the filtering, so results never depend on whether pruning happened.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerscope.operators.sizing import bounded, broadcast_limit
+from ledgerscope.operators.stages import account_holders, holder_key
+from ledgerscope.sources.tables import Tables
+
+
+def _semi(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    return big.join(F.broadcast(keys.distinct()), on, "left_semi")
+
+
+def scope_to_assignments(tables: Tables, assigned: DataFrame) -> tuple[Tables, bool]:
+    """Return (pruned tables, whether the e-mail set was proven small)."""
+    limit = broadcast_limit(assigned)
+    emails_raw = assigned.select("Email").where(F.col("Email").isNotNull())
+    if not bounded(emails_raw, limit):
+        return tables, False
+
+    as_user = emails_raw.select(F.col("Email").alias("UserName"))
+    customers = _semi(tables.customers, as_user, "UserName")
+    businesses = _semi(tables.businesses, emails_raw, "Email")
+    balances = _semi(tables.daily_balances, as_user, "UserName")
+    scoped = tables.replace(customers=customers, businesses=businesses, daily_balances=balances)
+
+    owners = holder_key(account_holders(assigned, customers, businesses)).where(F.col("_owner").isNotNull())
+    if not bounded(owners.select("_owner"), limit):
+        return scoped, True
+    cids = owners.where(F.col("_kind") == "C").select(F.col("_owner").alias("_cid")).distinct()
+    bids = owners.where(F.col("_kind") == "B").select(F.col("_owner").alias("_bid")).distinct()
+    # Keep an account row if either owner column is reachable; two broadcast
+    # left joins on distinct keys never repeat a row, unlike an OR join.
+    accounts = (
+        tables.accounts.join(F.broadcast(cids), F.col("CustomerId") == F.col("_cid"), "left")
+        .join(F.broadcast(bids), F.col("BusinessId") == F.col("_bid"), "left")
+        .where(F.col("_cid").isNotNull() | F.col("_bid").isNotNull())
+        .drop("_cid", "_bid")
+    )
+    scoped = scoped.replace(accounts=accounts)
+
+    numbers = accounts.select(F.col("AccountNumber").alias("BeneficiaryAccountNumber")).where(
+        F.col("BeneficiaryAccountNumber").isNotNull()
+    )
+    if not bounded(numbers, limit):
+        return scoped, True
+    credits = _semi(tables.post_credit_transactions, numbers, "BeneficiaryAccountNumber")
+    return scoped.replace(post_credit_transactions=credits), True

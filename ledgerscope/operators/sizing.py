@@ -1,0 +1,55 @@
+"""Size-checked broadcasts.
+
+Nothing is broadcast on faith.  ``bounded`` runs a bounded count
+(``limit(n + 1).count()``), which reads no more than it must; only a side
+proven to hold at most ``n`` rows is hinted for broadcast.  Above the bound
+the plan keeps its shuffle join, and AQE may still switch to a broadcast at
+run time after measuring the materialised side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a key set we are willing to ship to every executor.  A few million
+# short string keys is tens of MB; the session can override it.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+CONF_KEY = "ledgerscope.broadcast.maxRows"
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    value = df.sparkSession.conf.get(CONF_KEY, None)
+    return int(value) if value else DEFAULT_BROADCAST_ROWS
+
+
+def bounded(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def key_set(df: DataFrame, *cols: str) -> DataFrame:
+    """Distinct non-null keys (null keys never match an equi join)."""
+    cond = None
+    for c in cols:
+        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
+    return df.select(*cols).where(cond).distinct()
+
+
+def restrict(
+    big: DataFrame,
+    keys: DataFrame,
+    on: Column | list[str] | str,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """Semi-join ``big`` to a key set, but only when the key set is proven small.
+
+    Used to prune dimension and fact scans down to the keys one report can
+    touch (e.g. one sales person's e-mails).  It never changes a result: the
+    caller joins on the same keys afterwards, so when the key set is too big
+    to broadcast ``big`` is returned unchanged and that later join filters.
+    """
+    limit = broadcast_limit(keys) if max_rows is None else max_rows
+    if not bounded(keys, limit):
+        return big
+    return big.join(F.broadcast(keys), on, "left_semi")
