@@ -14,7 +14,7 @@ from ledgerscope.schemas import MONEY, MONEY_TOTAL, REVENUE_TOTAL
 def as_money(col: Column | str, *, lenient: bool = False) -> Column:
     """Cast to ``decimal(18,2)``.  Bad text raises under ANSI mode unless ``lenient``."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_cast(c, MONEY) if lenient else c.cast(MONEY)
+    return c.try_cast(MONEY) if lenient else c.cast(MONEY)
 
 
 def zero_if_null(col: Column, dtype: T.DecimalType) -> Column:

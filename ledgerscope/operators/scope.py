@@ -1,11 +1,16 @@
 """Shrink the seven tables to what one set of assignments can reach.
 
 For a report over one sales person the dimensions and facts are far larger
-than what that person's accounts touch.  Each key set on the way (e-mails,
-holder ids, account numbers) is counted with a bound first; only a proven
-small set is broadcast into a semi join on the big table's scan.  A key set
-over the bound leaves its table whole, and the report's own joins then do
-the filtering, so results never depend on whether pruning happened.
+than what that person's accounts touch.  The key sets on the way -- the
+person's assignment rows, their e-mails, holder ids, account numbers -- are
+each computed once and materialised with a reliable ``checkpoint`` (to the
+session's ``spark.checkpoint.dir``), which cuts their lineage: the report
+plan reads small files instead of re-deriving each set wherever it is used,
+and a lost executor does not force recomputation of the chain.  A set is
+broadcast into a semi join on a big table's scan only when its exact row
+count is within the broadcast bound; a larger set leaves that table whole,
+and the report's own joins do the filtering, so results never depend on
+whether pruning happened.
 """
 
 from __future__ import annotations
@@ -13,33 +18,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.config import ensure_checkpoint_dir
 from ledgerscope.operators.sizing import bounded, broadcast_limit
 from ledgerscope.operators.stages import account_holders, holder_key
 from ledgerscope.sources.tables import Tables
 
 
-def _semi(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return big.join(F.broadcast(keys.distinct()), on, "left_semi")
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint directory and read it back (lineage cut)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def scope_to_assignments(tables: Tables, assigned: DataFrame) -> tuple[Tables, bool]:
-    """Return (pruned tables, whether the e-mail set was proven small)."""
+def _small_set(df: DataFrame, limit: int) -> DataFrame | None:
+    """Materialise ``df``'s distinct rows; None when there are more than ``limit``."""
+    keys = materialize(df.distinct())
+    return keys if keys.count() <= limit else None
+
+
+def materialize_assignments(assigned: DataFrame) -> tuple[DataFrame, bool]:
+    """Materialise one person's assignment rows when there are at most the broadcast bound of them.
+
+    Returns (rows, small).  The bounded count reads at most bound + 1 rows,
+    so a very large person is detected without writing anything.
+    """
+    if not bounded(assigned, broadcast_limit(assigned)):
+        return assigned, False
+    return materialize(assigned), True
+
+
+def scope_to_assignments(tables: Tables, assigned: DataFrame, assigned_small: bool | None = None) -> tuple[Tables, bool]:
+    """Return (pruned tables, whether the e-mail set is small enough to broadcast)."""
     limit = broadcast_limit(assigned)
-    emails_raw = assigned.select("Email").where(F.col("Email").isNotNull())
-    if not bounded(emails_raw, limit):
+    if assigned_small is False:
         return tables, False
+    emails = _small_set(assigned.select("Email").where(F.col("Email").isNotNull()), limit)
+    if emails is None:
+        return tables, False
+
+    def semi(big: DataFrame, col: str) -> DataFrame:
+        return big.join(F.broadcast(emails.withColumnRenamed("Email", col)), col, "left_semi")
 
-    as_user = emails_raw.select(F.col("Email").alias("UserName"))
-    customers = _semi(tables.customers, as_user, "UserName")
-    businesses = _semi(tables.businesses, emails_raw, "Email")
-    balances = _semi(tables.daily_balances, as_user, "UserName")
+    customers = semi(tables.customers, "UserName")
+    businesses = semi(tables.businesses, "Email")
+    balances = semi(tables.daily_balances, "UserName")
     scoped = tables.replace(customers=customers, businesses=businesses, daily_balances=balances)
 
-    owners = holder_key(account_holders(assigned, customers, businesses)).where(F.col("_owner").isNotNull())
-    if not bounded(owners.select("_owner"), limit):
+    owners = _small_set(
+        holder_key(account_holders(assigned, customers, businesses))
+        .where(F.col("_owner").isNotNull())
+        .select("_kind", "_owner"),
+        limit,
+    )
+    if owners is None:
         return scoped, True
-    cids = owners.where(F.col("_kind") == "C").select(F.col("_owner").alias("_cid")).distinct()
-    bids = owners.where(F.col("_kind") == "B").select(F.col("_owner").alias("_bid")).distinct()
+    cids = owners.where(F.col("_kind") == "C").select(F.col("_owner").alias("_cid"))
+    bids = owners.where(F.col("_kind") == "B").select(F.col("_owner").alias("_bid"))
     # Keep an account row if either owner column is reachable; two broadcast
     # left joins on distinct keys never repeat a row, unlike an OR join.
     accounts = (
@@ -48,12 +82,14 @@ def scope_to_assignments(tables: Tables, assigned: DataFrame) -> tuple[Tables, b
         .where(F.col("_cid").isNotNull() | F.col("_bid").isNotNull())
         .drop("_cid", "_bid")
     )
-    scoped = scoped.replace(accounts=accounts)
-
-    numbers = accounts.select(F.col("AccountNumber").alias("BeneficiaryAccountNumber")).where(
-        F.col("BeneficiaryAccountNumber").isNotNull()
+    numbers = _small_set(
+        accounts.select(F.col("AccountNumber").alias("BeneficiaryAccountNumber")).where(
+            F.col("BeneficiaryAccountNumber").isNotNull()
+        ),
+        limit,
     )
-    if not bounded(numbers, limit):
-        return scoped, True
-    credits = _semi(tables.post_credit_transactions, numbers, "BeneficiaryAccountNumber")
-    return scoped.replace(post_credit_transactions=credits), True
+    if numbers is None:
+        return scoped.replace(accounts=accounts), True
+    accounts = materialize(accounts)
+    credits = tables.post_credit_transactions.join(F.broadcast(numbers), "BeneficiaryAccountNumber", "left_semi")
+    return scoped.replace(accounts=accounts, post_credit_transactions=credits), True

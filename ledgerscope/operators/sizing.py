@@ -53,3 +53,22 @@ def restrict(
     if not bounded(keys, limit):
         return big
     return big.join(F.broadcast(keys), on, "left_semi")
+
+
+# Fact bytes (transactions + credits, as estimated by the optimizer) above
+# which a one-person report prunes its scans to that person's keys.  Below
+# it the extra jobs that build the key sets cost more than they save.
+DEFAULT_PRUNE_MIN_BYTES = 1 << 30
+PRUNE_CONF_KEY = "ledgerscope.prune.minFactBytes"
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate for ``df`` (file sizes for a plain scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def worth_pruning(*facts: DataFrame) -> bool:
+    spark = facts[0].sparkSession
+    value = spark.conf.get(PRUNE_CONF_KEY, None)
+    threshold = int(value) if value else DEFAULT_PRUNE_MIN_BYTES
+    return sum(estimated_bytes(f) for f in facts) >= threshold

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.dates import OMITTED, DateLike, DateWindow, default_window
 from ledgerscope.functions.money import money_total, revenue_total
-from ledgerscope.operators.scope import scope_to_assignments
+from ledgerscope.operators.scope import materialize_assignments, scope_to_assignments
+from ledgerscope.operators.sizing import worth_pruning
 from ledgerscope.operators.stages import (
     assigned_accounts,
     balances_by_email,
@@ -43,7 +44,7 @@ def assignment_rows(
     *,
     balance_match: str = "holder",
     revenue_rule: str = "flat",
-    prune: bool = True,
+    prune: bool | str = "auto",
 ) -> DataFrame:
     """The unsorted assignment summary (see ``assignment_summary``)."""
     tx_w = as_window(tx_window)
@@ -51,7 +52,13 @@ def assignment_rows(
     assigned = assigned_accounts(tables.sales_assigned_accounts, code).select(
         "SalesPersonCode", "Email", "AccountName", "PhoneNumber", "AccountHolder"
     )
-    scoped, emails_small = scope_to_assignments(tables, assigned) if prune else (tables, False)
+    if prune == "auto":
+        prune = worth_pruning(tables.transactions, tables.post_credit_transactions)
+    if prune:
+        assigned, small = materialize_assignments(assigned)
+        scoped, emails_small = scope_to_assignments(tables, assigned, small)
+    else:
+        scoped, emails_small = tables, False
 
     flows = transactions_breakdown(
         scoped.transactions, tx_w, revenue_rule, emails=assigned, emails_small=emails_small
@@ -100,7 +107,7 @@ def assignment_summary(
     *,
     balance_match: str = "holder",
     revenue_rule: str = "flat",
-    prune: bool = True,
+    prune: bool | str = "auto",
 ) -> DataFrame:
     """Assignment summary for sales person ``code``.
 
@@ -110,7 +117,9 @@ def assignment_summary(
     else by e-mail.  ``balance_match="email"`` gives the historic variant
     that matches balances by e-mail only.  ``prune`` lets the plan shrink
     dimension and fact scans to this person's keys when those key sets are
-    proven small (results are the same either way).
+    proven small (results are the same either way); ``"auto"`` does so
+    only when the fact tables are large enough for it to pay
+    (``ledgerscope.prune.minFactBytes``, default 1 GiB).
 
     Columns: ``ASSIGNMENT_SUMMARY``.
     """
@@ -136,7 +145,7 @@ def assignment_summary_with_defaults(
     sort_dirs: Sequence[str | None] | None = None,
     *,
     as_of: DateLike = None,
-    prune: bool = True,
+    prune: bool | str = "auto",
 ) -> DataFrame:
     """Development form: ``start`` defaults to the first transaction day, ``end`` to ``as_of``.
 
