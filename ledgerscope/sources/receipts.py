@@ -23,7 +23,11 @@ def receipt_schema_with_corrupt() -> T.StructType:
 
 
 def read_receipts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Batch-read receipt files (one pretty-printed object per file when ``multi_line``)."""
+    """Batch-read receipt files (one pretty-printed object per file when ``multi_line``).
+
+    Spark refuses a query whose only column is ``_corrupt_record``; select
+    it together with another column (or land the result first).
+    """
     return (
         spark.read.schema(receipt_schema_with_corrupt())
         .option("multiLine", multi_line)
