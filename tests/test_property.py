@@ -88,8 +88,19 @@ def test_reports_equal_literal_sql(spark, make_tables, rows):
     assert multiset(r2.collect()) == multiset(want)
 
     r1 = assignment_rows(t, "P", WINDOW, prune=False)
+    got = r1.collect()
     want = con.sql(E._assignment_sql(WINDOW, WINDOW, fixture=False, person="P")).fetchall()
-    assert multiset(r1.collect()) == multiset(want)
+    assert multiset(got) == multiset(want)
+
+    # SURVEY 7.4: rows = sum over P's assignment rows of max(1, balance rows x P's rows of the pair)
+    mine = [r for r in rows["sales_assigned_accounts"] if r[0] == "P"]
+    expected = 0
+    for r in mine:
+        email, holder = r[2], r[5]
+        k = sum(1 for x in mine if x[2] == email and x[5] == holder) if email and holder else 0
+        d = sum(1 for b in rows["daily_balances"] if b[0] == email and b[1] == holder) if email and holder else 0
+        expected += max(1, k * d)
+    assert len(got) == expected
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
