@@ -23,7 +23,11 @@ RECOMMENDED = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``RECOMMENDED`` where the session has no value of its own."""
+    """Apply ``RECOMMENDED`` for keys the session reports no value for.
+
+    Spark 4 already defaults the AQE and ANSI keys to these values, so on a
+    stock session this changes nothing; it never overrides a value that is set.
+    """
     for key, value in RECOMMENDED.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)

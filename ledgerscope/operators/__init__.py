@@ -1,7 +1,7 @@
 """Report stages and the size-checked pruning around them."""
 
 from ledgerscope.operators.scope import scope_to_assignments
-from ledgerscope.operators.sizing import bounded, broadcast_limit, key_set, restrict
+from ledgerscope.operators.sizing import bounded, broadcast_limit, estimated_bytes, worth_pruning
 from ledgerscope.operators.stages import (
     ALL,
     account_holders,
@@ -37,11 +37,11 @@ __all__ = [
     "holder_inflow",
     "in_window",
     "inflow",
-    "key_set",
+    "estimated_bytes",
     "owner_inflow",
     "replicate",
     "resolve_accounts",
-    "restrict",
+    "worth_pruning",
     "scope_to_assignments",
     "transactions_breakdown",
     "weighted_balance_rows",

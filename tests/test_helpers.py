@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.dates import OMITTED, DateWindow, default_window
 from ledgerscope.functions.money import as_money
 from ledgerscope.functions.revenue import revenue
-from ledgerscope.operators.sizing import bounded, restrict
+from ledgerscope.operators.sizing import bounded, worth_pruning
 from ledgerscope.operators.stages import replicate
 
 
@@ -26,11 +26,26 @@ def test_bounded(spark):
     assert bounded(df, 10) and not bounded(df, 9)
 
 
-def test_restrict_falls_back_above_bound(spark):
-    big = spark.range(100).withColumnRenamed("id", "k")
-    keys = spark.range(5).withColumnRenamed("id", "k")
-    assert restrict(big, keys, "k", max_rows=10).count() == 5
-    assert restrict(big, keys, "k", max_rows=2).count() == 100  # unchanged: caller's join filters
+def test_prune_threshold(spark):
+    small = spark.range(10)
+    assert not worth_pruning(small)
+    spark.conf.set("ledgerscope.prune.minFactBytes", "1")
+    try:
+        assert worth_pruning(small)
+    finally:
+        spark.conf.unset("ledgerscope.prune.minFactBytes")
+
+
+def test_key_set_over_bound_leaves_tables_whole(spark, make_tables):
+    from ledgerscope.operators.scope import scope_to_assignments
+
+    t = make_tables(sales_assigned_accounts=[("P", "A", f"e{i}", "n", "p", "Customer") for i in range(5)])
+    spark.conf.set("ledgerscope.broadcast.maxRows", "3")
+    try:
+        scoped, small = scope_to_assignments(t, t.sales_assigned_accounts)
+    finally:
+        spark.conf.unset("ledgerscope.broadcast.maxRows")
+    assert small is False and scoped is t
 
 
 def test_default_window(spark):

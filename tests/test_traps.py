@@ -271,3 +271,19 @@ def test_null_holder_not_counted(make_tables):
     t = make_tables(sales_assigned_accounts=[saa("P", "Ann", "e1", None), saa("P", "Ann", "e2", "Customer")])
     r = sales_person_summary(t, YEAR).first()
     assert (r.totalnumberofaccounts, r.numberofcustomers, r.numberofbusiness) == (1, 1, 0)
+
+
+def test_hot_pair_is_weighted_not_materialised(make_tables):
+    # One (e-mail, holder) assigned 3000 times to P with 10 balance rows of ledger 1.
+    # Literal joins would build 3000 x (3000 x 10) = 90,000,000 rows; the report must
+    # give count 9e7 and ledger 3000 x 3000 x 10 x 1 = 9e7 without building them.
+    t = make_tables(
+        sales_assigned_accounts=[saa("P", "Ann", "hot", "Customer", name=f"n{i}") for i in range(3000)],
+        daily_balances=[("hot", "Customer", D(1), D(2))] * 10,
+        transactions=[("hot", "Outflow", D("0.01"), D(0), ts("1997-05-01 00:00:00"))],
+    )
+    r = sales_person_summary(t, YEAR).first()
+    assert r.totalnumberofaccounts == 90_000_000
+    assert r.totalledgerbalance == Decimal("90000000.00")
+    assert r.totalavailablebalance == Decimal("180000000.00")
+    assert r.totaloutflow == Decimal("900000.00")  # 0.01 x 9e7 joined rows
