@@ -62,6 +62,13 @@ def build_queries(t):
     }
 
 
+def plan_shape(df) -> dict[str, int]:
+    """Exchanges in the planned physical plan (before AQE re-planning at run time)."""
+    text = str(df._jdf.queryExecution().executedPlan().toString())
+    shuffles = sum(1 for line in text.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line)
+    return {"shuffles": shuffles, "broadcasts": text.count("BroadcastExchange"), "scans": text.count("FileScan parquet")}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
@@ -77,8 +84,9 @@ def main() -> None:
     queries = build_queries(tables)
     for make in queries.values():  # one warm-up pass over everything (JIT, file listing caches)
         make().write.format("noop").mode("overwrite").save()
-    results = {}
+    results, shapes = {}, {}
     for name, make in queries.items():
+        shapes[name] = plan_shape(make())
         times = []
         for _ in range(runs):
             start = time.time()
@@ -100,6 +108,7 @@ def main() -> None:
                 "runs": runs,
                 "spark": spark.version,
                 "setup_land_tables_sec": round(land_sec, 3),
+                "plan_shape": shapes,
             }
         )
     )
