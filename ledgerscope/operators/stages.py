@@ -304,6 +304,19 @@ def transactions_breakdown(
 # balances
 
 
+def balance_totals(balances: DataFrame) -> DataFrame:
+    """Per (``Email``, ``AccountHolder``): balance row count ``_d`` and sums ``_ledger``, ``_available``."""
+    return (
+        balances.where(F.col("UserName").isNotNull() & F.col("AccountHolder").isNotNull())
+        .groupBy(F.col("UserName").alias("Email"), "AccountHolder")
+        .agg(
+            F.count(F.lit(1)).alias("_d"),
+            F.sum(F.col("TotalLedgerBalance").cast(MONEY)).alias("_ledger"),
+            F.sum(F.col("TotalAvailableBalance").cast(MONEY)).alias("_available"),
+        )
+    )
+
+
 def balance_weights(balances: DataFrame, assigned: DataFrame) -> DataFrame:
     """Per assigned (``Email``, ``AccountHolder``): balance rows and how often each repeats.
 
@@ -318,15 +331,7 @@ def balance_weights(balances: DataFrame, assigned: DataFrame) -> DataFrame:
         .groupBy("Email", "AccountHolder")
         .agg(F.count(F.lit(1)).alias("_k"))
     )
-    d = (
-        balances.groupBy(F.col("UserName").alias("Email"), "AccountHolder")
-        .agg(
-            F.count(F.lit(1)).alias("_d"),
-            F.sum(F.col("TotalLedgerBalance").cast(MONEY)).alias("_ledger"),
-            F.sum(F.col("TotalAvailableBalance").cast(MONEY)).alias("_available"),
-        )
-    )
-    return d.join(k, ["Email", "AccountHolder"], "inner")
+    return balance_totals(balances).join(k, ["Email", "AccountHolder"], "inner")
 
 
 def weighted_balance_rows(balances: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -379,6 +384,7 @@ __all__ = [
     "assigned_accounts",
     "assigned_balances",
     "assignment_counts",
+    "balance_totals",
     "balance_weights",
     "balances_by_email",
     "credits_per_account",

@@ -10,25 +10,30 @@ there are none), and the inflow total once per joined row of the group.
 
 This plan reaches the same numbers without materialising those rows:
 assignments are first collapsed to distinct (code, assignee, e-mail,
-holder) with a count, balances to one row per pair with their row count and
-sums, and the multiplicities are applied as integer weights.  Counts and
-inflow depend only on the code, so they are joined after the group by, to
-one row per group.  Revenue uses the tiered rule.
+holder) with a count ``_n`` -- the only pass over the assignment table
+besides the inflow weights -- balances to one row per pair with their row
+count and sums, and the multiplicities are applied as integer weights.
+Assignments per pair (``_k``) and per sales person (the business and
+customer counts) are window sums over those collapsed rows; a window group
+holds at most one row per distinct (code, assignee), however many
+assignment rows there are.  Inflow depends only on the code, so it is
+joined after the group by.  Revenue uses the tiered rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.money import count_as_int, money_total, revenue_total
 from ledgerscope.operators.stages import (
     ALL,
+    BUSINESS,
+    CUSTOMER,
     assigned_accounts,
-    assignment_counts,
-    balance_weights,
+    balance_totals,
     inflow,
     transactions_breakdown,
 )
@@ -55,26 +60,29 @@ def sales_person_rows(
     )
 
     keyed = saa.groupBy(*GROUP, "Email", "AccountHolder").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = keyed.withColumn("_k", F.sum("_n").over(Window.partitionBy("Email", "AccountHolder")))
     # No e-mail filter here: the left join from the assignments drops
     # transactions of unassigned e-mails just the same.
     flows = transactions_breakdown(tables.transactions, tx_w, revenue_rule, emails=None)
-    balances = balance_weights(tables.daily_balances, saa)
 
     rows = (
-        keyed.join(flows, F.col("Email") == F.col("EmailAddress"), "left")
+        keyed.join(balance_totals(tables.daily_balances), ["Email", "AccountHolder"], "left")
+        .join(flows, F.col("Email") == F.col("EmailAddress"), "left")
         .drop("EmailAddress")
-        .join(balances, ["Email", "AccountHolder"], "left")
     )
     joined_rows = F.when(F.col("_d").isNotNull(), F.col("_k") * F.col("_d")).otherwise(F.lit(1))
     w = F.col("_n") * joined_rows
+    holder = F.col("AccountHolder")
     per_group = rows.groupBy(*GROUP).agg(
         F.sum(w).alias("_rows"),
-        F.sum(F.when(F.col("AccountHolder").isNotNull(), w).otherwise(F.lit(0))).alias("_accounts"),
+        F.sum(F.when(holder.isNotNull(), w).otherwise(F.lit(0))).alias("_accounts"),
         F.sum(F.col("totaloutflow") * w).alias("_outflow"),
         F.sum(F.col("totalfees") * w).alias("_fees"),
         F.sum(F.col("totalrevenue") * w).alias("_revenue"),
         F.sum(F.col("_ledger") * (F.col("_k") * F.col("_n"))).alias("_ledger"),
         F.sum(F.col("_available") * (F.col("_k") * F.col("_n"))).alias("_available"),
+        F.sum(F.when(holder == F.lit(BUSINESS), F.col("_n")).otherwise(F.lit(0))).alias("_business"),
+        F.sum(F.when(holder == F.lit(CUSTOMER), F.col("_n")).otherwise(F.lit(0))).alias("_customers"),
     )
 
     credit = inflow(
@@ -86,8 +94,15 @@ def sales_person_rows(
         cr_w,
         key="SalesPersonCode",
     )
-    counts = assignment_counts(tables.sales_assigned_accounts)
-    out = per_group.join(credit, "SalesPersonCode", "left").join(counts, "SalesPersonCode", "left")
+    # Per-person counts over all of the person's assignments (every assignee
+    # row shows the full counts); a null code never matches, so it gets 0.
+    person = Window.partitionBy("SalesPersonCode")
+    code_known = F.col("SalesPersonCode").isNotNull()
+    out = (
+        per_group.join(credit, "SalesPersonCode", "left")
+        .withColumn("numberofbusiness", F.when(code_known, F.sum("_business").over(person)).otherwise(F.lit(0)))
+        .withColumn("numberofcustomers", F.when(code_known, F.sum("_customers").over(person)).otherwise(F.lit(0)))
+    )
     return out.select(
         F.col("SalesPersonCode").cast("string").alias("salespersoncode"),
         F.col("AssignedTo").cast("string").alias("assignedto"),
