@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.config import ensure_checkpoint_dir
-from ledgerscope.operators.sizing import bounded, broadcast_limit
+from ledgerscope.operators.sizing import bounded, broadcast_limit, literal_limit
 from ledgerscope.operators.stages import account_holders, holder_key
 from ledgerscope.sources.tables import Tables
 
@@ -30,10 +30,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _small_set(df: DataFrame, limit: int) -> DataFrame | None:
+class KeySet:
+    """A materialised, distinct, counted key set (and its values when very few)."""
+
+    def __init__(self, df: DataFrame, col: str, literal_max: int):
+        self.df = df
+        self.col = col
+        self.count = df.count()
+        self.values = [r[0] for r in df.select(col).collect()] if self.count <= literal_max else None
+
+    def push_into(self, big: DataFrame, col: str) -> DataFrame:
+        """Keep ``big``'s rows whose ``col`` is in the set.
+
+        A broadcast semi join, plus -- when the set is very small -- a literal
+        ``isin`` that reaches the Parquet scan (``In`` up to Parquet's in-list
+        threshold, a min/max range above it), so with files sorted by ``col``
+        whole row groups are skipped.  Values are collected only when the
+        exact count is within ``ledgerscope.pushdown.maxKeys`` (default 10,000).
+        """
+        out = big.join(F.broadcast(self.df.select(F.col(self.col).alias(col))), col, "left_semi")
+        return out.where(F.col(col).isin(self.values)) if self.values is not None else out
+
+
+def _small_set(df: DataFrame, col: str, limit: int) -> KeySet | None:
     """Materialise ``df``'s distinct rows; None when there are more than ``limit``."""
-    keys = materialize(df.distinct())
-    return keys if keys.count() <= limit else None
+    keys = KeySet(materialize(df.distinct()), col, literal_limit(df))
+    return keys if keys.count <= limit else None
 
 
 def materialize_assignments(assigned: DataFrame) -> tuple[DataFrame, bool]:
@@ -47,31 +69,40 @@ def materialize_assignments(assigned: DataFrame) -> tuple[DataFrame, bool]:
     return materialize(assigned), True
 
 
-def scope_to_assignments(tables: Tables, assigned: DataFrame, assigned_small: bool | None = None) -> tuple[Tables, bool]:
-    """Return (pruned tables, whether the e-mail set is small enough to broadcast)."""
+def scope_to_assignments(
+    tables: Tables, assigned: DataFrame, assigned_small: bool | None = None
+) -> tuple[Tables, bool]:
+    """Return (pruned tables, whether they were pruned to the person's e-mails).
+
+    When the second value is True, ``transactions``, ``customers``,
+    ``businesses`` and ``daily_balances`` hold only rows of the assigned
+    e-mails.
+    """
     limit = broadcast_limit(assigned)
     if assigned_small is False:
         return tables, False
-    emails = _small_set(assigned.select("Email").where(F.col("Email").isNotNull()), limit)
+    emails = _small_set(assigned.select("Email").where(F.col("Email").isNotNull()), "Email", limit)
     if emails is None:
         return tables, False
 
-    def semi(big: DataFrame, col: str) -> DataFrame:
-        return big.join(F.broadcast(emails.withColumnRenamed("Email", col)), col, "left_semi")
-
-    customers = semi(tables.customers, "UserName")
-    businesses = semi(tables.businesses, "Email")
-    balances = semi(tables.daily_balances, "UserName")
-    scoped = tables.replace(customers=customers, businesses=businesses, daily_balances=balances)
+    customers = emails.push_into(tables.customers, "UserName")
+    businesses = emails.push_into(tables.businesses, "Email")
+    balances = emails.push_into(tables.daily_balances, "UserName")
+    transactions = emails.push_into(tables.transactions, "EmailAddress")
+    scoped = tables.replace(
+        customers=customers, businesses=businesses, daily_balances=balances, transactions=transactions
+    )
 
-    owners = _small_set(
+    owner_set = _small_set(
         holder_key(account_holders(assigned, customers, businesses))
         .where(F.col("_owner").isNotNull())
         .select("_kind", "_owner"),
+        "_owner",
         limit,
     )
-    if owners is None:
+    if owner_set is None:
         return scoped, True
+    owners = owner_set.df
     cids = owners.where(F.col("_kind") == "C").select(F.col("_owner").alias("_cid"))
     bids = owners.where(F.col("_kind") == "B").select(F.col("_owner").alias("_bid"))
     # Keep an account row if either owner column is reachable; two broadcast
@@ -83,13 +114,10 @@ def scope_to_assignments(tables: Tables, assigned: DataFrame, assigned_small: bo
         .drop("_cid", "_bid")
     )
     numbers = _small_set(
-        accounts.select(F.col("AccountNumber").alias("BeneficiaryAccountNumber")).where(
-            F.col("BeneficiaryAccountNumber").isNotNull()
-        ),
-        limit,
+        accounts.select("AccountNumber").where(F.col("AccountNumber").isNotNull()), "AccountNumber", limit
     )
     if numbers is None:
         return scoped.replace(accounts=accounts), True
     accounts = materialize(accounts)
-    credits = tables.post_credit_transactions.join(F.broadcast(numbers), "BeneficiaryAccountNumber", "left_semi")
+    credits = numbers.push_into(tables.post_credit_transactions, "BeneficiaryAccountNumber")
     return scoped.replace(accounts=accounts, post_credit_transactions=credits), True

@@ -60,8 +60,10 @@ def assignment_rows(
     else:
         scoped, emails_small = tables, False
 
+    # Pruned scopes already hold only the person's e-mails; otherwise the
+    # breakdown aggregates first and then keeps the person's e-mails.
     flows = transactions_breakdown(
-        scoped.transactions, tx_w, revenue_rule, emails=assigned, emails_small=emails_small
+        scoped.transactions, tx_w, revenue_rule, emails=None if emails_small else assigned
     )
     credit = inflow(
         assigned,

@@ -102,3 +102,11 @@ def test_pruned_report_reads_checkpointed_key_sets(spark, landed):
     p = plan(assignment_rows(landed, "SAL-0003", YEAR, prune=True))
     assert "Scan ExistingRDD" in p  # checkpointed key sets, not re-derived chains
     assert "BroadcastHashJoin LeftSemi" in p
+
+
+def test_pruned_report_pushes_person_keys_into_fact_scans(spark, landed):
+    p = plan(assignment_rows(landed, "SAL-0003", YEAR, prune=True))
+    tx_scan = [blk for blk in p.split("\n\n") if "transactions]" in blk and "Scan parquet" in blk]
+    cr_scan = [blk for blk in p.split("\n\n") if "post_credit_transactions]" in blk and "Scan parquet" in blk]
+    assert tx_scan and "In(EmailAddress" in tx_scan[0]
+    assert cr_scan and "In(BeneficiaryAccountNumber" in cr_scan[0]
