@@ -36,8 +36,12 @@ class KeySet:
     def __init__(self, df: DataFrame, col: str, literal_max: int):
         self.df = df
         self.col = col
-        self.count = df.count()
-        self.values = [r[0] for r in df.select(col).collect()] if self.count <= literal_max else None
+        # One bounded read: at most literal_max + 1 values reach the driver.
+        head = [r[0] for r in df.select(col).limit(literal_max + 1).collect()]
+        if len(head) <= literal_max:
+            self.values, self.count = head, len(head)
+        else:
+            self.values, self.count = None, df.count()
 
     def push_into(self, big: DataFrame, col: str) -> DataFrame:
         """Keep ``big``'s rows whose ``col`` is in the set.
