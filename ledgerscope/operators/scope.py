@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.config import ensure_checkpoint_dir
-from ledgerscope.operators.sizing import bounded, broadcast_limit, literal_limit
+from ledgerscope.operators.sizing import bounded, broadcast_limit, in_list_limit
 from ledgerscope.operators.stages import account_holders, holder_key
 from ledgerscope.sources.tables import Tables
 
@@ -31,34 +31,38 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 class KeySet:
-    """A materialised, distinct, counted key set (and its values when very few)."""
+    """A materialised, distinct key set with its exact size and key range."""
 
-    def __init__(self, df: DataFrame, col: str, literal_max: int):
+    def __init__(self, df: DataFrame, col: str, in_list_max: int):
         self.df = df
         self.col = col
-        # One bounded read: at most literal_max + 1 values reach the driver.
-        head = [r[0] for r in df.select(col).limit(literal_max + 1).collect()]
-        if len(head) <= literal_max:
-            self.values, self.count = head, len(head)
-        else:
-            self.values, self.count = None, df.count()
+        stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        self.count, self.lo, self.hi = stats["n"], stats["lo"], stats["hi"]
+        self.values = (
+            [r[0] for r in df.select(col).collect()] if 0 < self.count <= in_list_max else None
+        )
 
     def push_into(self, big: DataFrame, col: str) -> DataFrame:
         """Keep ``big``'s rows whose ``col`` is in the set.
 
-        A broadcast semi join, plus -- when the set is very small -- a literal
-        ``isin`` that reaches the Parquet scan (``In`` up to Parquet's in-list
-        threshold, a min/max range above it), so with files sorted by ``col``
-        whole row groups are skipped.  Values are collected only when the
-        exact count is within ``ledgerscope.pushdown.maxKeys`` (default 10,000).
+        A broadcast semi join does the exact filtering.  In front of it goes a
+        predicate Parquet can use to skip row groups: the keys themselves as
+        ``isin`` when there are at most Parquet's in-list threshold of them,
+        else the key range ``between(min, max)`` -- which is also what Parquet
+        would derive from a longer list.  With files sorted by ``col`` the
+        scan reads only the row groups that can hold the keys.
         """
         out = big.join(F.broadcast(self.df.select(F.col(self.col).alias(col))), col, "left_semi")
-        return out.where(F.col(col).isin(self.values)) if self.values is not None else out
+        if self.values is not None:
+            return out.where(F.col(col).isin(self.values))
+        if self.lo is not None:
+            return out.where(F.col(col).between(F.lit(self.lo), F.lit(self.hi)))
+        return out
 
 
 def _small_set(df: DataFrame, col: str, limit: int) -> KeySet | None:
     """Materialise ``df``'s distinct rows; None when there are more than ``limit``."""
-    keys = KeySet(materialize(df.distinct()), col, literal_limit(df))
+    keys = KeySet(materialize(df.distinct()), col, in_list_limit(df))
     return keys if keys.count <= limit else None
 
 

@@ -17,14 +17,9 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 CONF_KEY = "ledgerscope.broadcast.maxRows"
 
 
-# Keys few enough to put into the plan as a literal list (pushed to Parquet).
-DEFAULT_LITERAL_KEYS = 10_000
-LITERAL_CONF_KEY = "ledgerscope.pushdown.maxKeys"
-
-
-def literal_limit(df: DataFrame) -> int:
-    value = df.sparkSession.conf.get(LITERAL_CONF_KEY, None)
-    return int(value) if value else DEFAULT_LITERAL_KEYS
+def in_list_limit(df: DataFrame) -> int:
+    """Parquet's in-list pushdown threshold: longer lists only push their min/max range."""
+    return int(df.sparkSession.conf.get("spark.sql.parquet.pushdown.inFilterThreshold", "10"))
 
 
 def broadcast_limit(df: DataFrame) -> int:
