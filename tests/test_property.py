@@ -21,7 +21,7 @@ from ledgerscope.plans.salesperson import sales_person_rows
 
 WINDOW = DateWindow.of("1997-01-01", "1997-12-31")
 EMAILS = ["e1", "e2", "e3", None]
-HOLDERS = ["Customer", "Business", None]
+HOLDERS = ["Customer", "Business", "Other", None]
 CODES = ["P", "Q", None]
 IDS = ["i1", "i2", "i3", None]
 NUMS = ["n1", "n2", "n3", None]
