@@ -1,10 +1,12 @@
-"""Size-checked broadcasts.
+"""Size checks behind every explicit broadcast, and the pruning threshold.
 
 Nothing is broadcast on faith.  ``bounded`` runs a bounded count
-(``limit(n + 1).count()``), which reads no more than it must; only a side
-proven to hold at most ``n`` rows is hinted for broadcast.  Above the bound
-the plan keeps its shuffle join, and AQE may still switch to a broadcast at
-run time after measuring the materialised side.
+(``limit(n + 1).count()``), which reads no more than it must; the key sets
+of ``operators.scope`` are counted exactly after they are checkpointed.
+Only a side proven to hold at most ``ledgerscope.broadcast.maxRows`` rows
+is hinted for broadcast.  Above the bound the plan keeps its shuffle join,
+and AQE may still switch to a broadcast at run time after measuring the
+materialised side.
 """
 
 from __future__ import annotations
