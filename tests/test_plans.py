@@ -110,3 +110,14 @@ def test_pruned_report_pushes_person_keys_into_fact_scans(spark, landed):
     cr_scan = [blk for blk in p.split("\n\n") if "post_credit_transactions]" in blk and "Scan parquet" in blk]
     assert tx_scan and ("In(EmailAddress" in tx_scan[0] or "GreaterThanOrEqual(EmailAddress" in tx_scan[0])
     assert cr_scan and any(f"{op}(BeneficiaryAccountNumber" in cr_scan[0] for op in ("In", "GreaterThanOrEqual"))
+
+
+@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").queries()))
+def test_no_query_uses_pairs_or_python(spark, no_broadcast, name):
+    # Every registered query: no Cartesian product or nested-loop join (pairs),
+    # no Python UDF evaluation (everything stays in the JVM).
+    import __spark_entry__ as E
+
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in p, f"{name} plans {bad}"
