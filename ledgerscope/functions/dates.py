@@ -72,12 +72,21 @@ def default_window(
     * ``as_of`` defaults to today; pass it for repeatable runs.
 
     The earliest date is one global ``MIN`` over a single column, fetched as
-    a scalar so both bounds stay literals that reach the Parquet scan.
+    a scalar so both bounds stay literals that reach the Parquet scan.  When
+    the table is landed partitioned by month (``created_month``), the
+    earliest month is found from partition values first and only that
+    month is scanned: exact, because a row's month is derived from its own
+    timestamp.
     """
     today = parse_date(as_of) or dt.date.today()
     first = parse_date(start)
     if first is None:
-        earliest = transactions.agg(F.to_date(F.min("DateCreated")).alias("d")).first()["d"]
+        rows = transactions
+        if "created_month" in transactions.columns:
+            first_month = transactions.agg(F.min("created_month").alias("m")).first()["m"]
+            if first_month is not None:
+                rows = transactions.where(F.col("created_month") == F.lit(first_month))
+        earliest = rows.agg(F.to_date(F.min("DateCreated")).alias("d")).first()["d"]
         first = earliest if earliest is not None else today - dt.timedelta(days=365)
     last = today if isinstance(end, _Omitted) else parse_date(end)
     return DateWindow(first, last)

@@ -121,3 +121,11 @@ def test_no_query_uses_pairs_or_python(spark, no_broadcast, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in p, f"{name} plans {bad}"
+
+
+def test_default_window_on_landed_facts_reads_one_month(spark, landed):
+    from ledgerscope.functions.dates import OMITTED, default_window
+
+    got = default_window(landed.transactions, None, OMITTED, as_of="1999-01-01")
+    want = default_window(fixture_tables(spark, SF_SMALL).transactions, None, OMITTED, as_of="1999-01-01")
+    assert got == want
