@@ -132,20 +132,23 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None
     directories at any scale) and sorted by their join key within each
     partition, so a date window prunes whole directories and the key
     columns carry tight row-group statistics.
-    Range partitioning on (month, key, timestamp) spreads one month, and even
-    one hot key inside it, over many writer tasks; it never sends a whole
-    month to one task.
+    Range partitioning on (month, key, timestamp, row hash) spreads one
+    month, and even one hot key inside it, over many writer tasks: the last
+    range key is a deterministic hash of the whole row, so rows sharing a
+    key are still split between tasks.  Files stay sorted by the key.
     """
     for name, df in tables.as_dict().items():
         sort_key = SORT_KEYS[name]
         out = os.path.join(root, name)
+        spread = F.xxhash64(*[F.col(c) for c in df.columns])
         part = PARTITION_COLUMNS.get(name)
         if part is not None:
             date_col, part_col = part
             landed = df.withColumn(part_col, F.trunc(F.col(date_col).cast("date"), "month"))
-            landed = landed.repartitionByRange(part_col, sort_key, date_col).sortWithinPartitions(
+            landed = landed.repartitionByRange(part_col, sort_key, date_col, spread).sortWithinPartitions(
                 part_col, sort_key, date_col
             )
             landed.write.mode(mode).partitionBy(part_col).parquet(out)
         else:
-            df.repartitionByRange(sort_key).sortWithinPartitions(sort_key).write.mode(mode).parquet(out)
+            landed = df.repartitionByRange(sort_key, spread).sortWithinPartitions(sort_key)
+            landed.write.mode(mode).parquet(out)

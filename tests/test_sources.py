@@ -50,3 +50,20 @@ def test_landing_layout_and_round_trip(spark, make_tables):
     assert back.transactions.count() == 2 and back.sales_assigned_accounts.count() == 1
     with pytest.raises(Exception):
         write_tables(t, root)  # never overwrites by default
+
+
+def test_landing_splits_a_hot_key_between_writer_tasks(spark, make_tables):
+    # 400 assignments of one sales person: range partitioning on the key alone
+    # would put them all in one task; the row hash splits them.
+    t = make_tables(sales_assigned_accounts=[("HOT", "A", f"e{i}", "n", "p", "Customer") for i in range(400)])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny data would be merged
+    try:
+        root = tempfile.mkdtemp(prefix="ledgerscope-hot-")
+        write_tables(t, root)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [f for f in os.listdir(os.path.join(root, "sales_assigned_accounts")) if f.endswith(".parquet")]
+    assert len(files) > 1
+    assert spark.read.parquet(os.path.join(root, "sales_assigned_accounts")).count() == 400
