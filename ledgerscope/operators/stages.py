@@ -61,12 +61,14 @@ def in_window(df: DataFrame, ts_col: str, window: DateWindow) -> DataFrame:
     return out
 
 
-def replicate(df: DataFrame, times: str, chunk: int = 4096) -> DataFrame:
+def replicate(df: DataFrame, times: str, chunk: int = 4096, copy_col: str | None = None) -> DataFrame:
     """Emit each row ``times`` times (null or < 1 counts as 1); drops ``times``.
 
     Two nested explodes keep every generated array at most
     ``max(chunk, times / chunk)`` long, so a row repeated millions of times
-    never materialises one huge array.
+    never materialises one huge array.  ``copy_col`` keeps the copy's index
+    (0-based), e.g. as a final sort key that lets a range partitioner split
+    a long run of identical copies between tasks.
     """
     n = F.greatest(F.coalesce(F.col(times).cast("long"), F.lit(1)), F.lit(1))
     outer = df.withColumn("_rep_n", n).withColumn(
@@ -74,6 +76,8 @@ def replicate(df: DataFrame, times: str, chunk: int = 4096) -> DataFrame:
     )
     size = F.least(F.lit(chunk).cast("long"), F.col("_rep_n") - F.col("_rep_chunk") * chunk)
     inner = outer.withColumn("_rep_i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+    if copy_col is not None:
+        inner = inner.withColumn(copy_col, F.col("_rep_chunk") * chunk + F.col("_rep_i") - 1)
     return inner.drop("_rep_n", "_rep_chunk", "_rep_i", times)
 
 

@@ -25,7 +25,7 @@ from ledgerscope.operators.stages import (
     transactions_breakdown,
     weighted_balance_rows,
 )
-from ledgerscope.plans.ordering import ascending, order_result
+from ledgerscope.plans.ordering import ascending, sort_columns
 from ledgerscope.schemas import ASSIGNMENT_SUMMARY, check_shape
 from ledgerscope.sources.tables import Tables
 
@@ -45,8 +45,13 @@ def assignment_rows(
     balance_match: str = "holder",
     revenue_rule: str = "flat",
     prune: bool | str = "auto",
+    copy_col: str | None = None,
 ) -> DataFrame:
-    """The unsorted assignment summary (see ``assignment_summary``)."""
+    """The unsorted assignment summary (see ``assignment_summary``).
+
+    ``copy_col`` adds the index of each repeated balance row (0 otherwise),
+    for use as a last sort key.
+    """
     tx_w = as_window(tx_window)
     cr_w = as_window(credit_window) if credit_window is not None else tx_w
     assigned = assigned_accounts(tables.sales_assigned_accounts, code).select(
@@ -78,13 +83,16 @@ def assignment_rows(
     rows = rows.join(credit, "Email", "left")
     if balance_match == "holder":
         balances = weighted_balance_rows(scoped.daily_balances, assigned)
-        rows = replicate(rows.join(balances, ["Email", "AccountHolder"], "left"), "_k")
+        rows = replicate(rows.join(balances, ["Email", "AccountHolder"], "left"), "_k", copy_col=copy_col)
     elif balance_match == "email":
         balances = balances_by_email(scoped.daily_balances, assigned).withColumnRenamed("UserName", "Email")
         rows = rows.join(balances, "Email", "left")
+        if copy_col is not None:
+            rows = rows.withColumn(copy_col, F.lit(0).cast("long"))
     else:
         raise ValueError("balance_match must be 'holder' or 'email'")
 
+    extra = [F.col(copy_col)] if copy_col is not None else []
     return rows.select(
         F.col("Email").cast("string").alias("email"),
         F.col("AccountName").cast("string").alias("accountname"),
@@ -96,6 +104,7 @@ def assignment_rows(
         revenue_total(F.col("totalrevenue")).alias("totalrevenue"),
         money_total(F.col("TotalLedgerBalance")).alias("totalledgerbalance"),
         money_total(F.col("TotalAvailableBalance")).alias("totalavailablebalance"),
+        *extra,
     )
 
 
@@ -133,9 +142,14 @@ def assignment_summary(
         balance_match=balance_match,
         revenue_rule=revenue_rule,
         prune=prune,
+        copy_col="_copy",
     )
-    check_shape(rows.schema, ASSIGNMENT_SUMMARY)
-    return order_result(rows, sort_fields, sort_dirs, default=[ascending("email")])
+    check_shape(rows.drop("_copy").schema, ASSIGNMENT_SUMMARY)
+    # The copy index is the last sort key, so a long run of identical repeated
+    # rows is still split between range partitions; it is dropped after the sort.
+    visible = [c for c in rows.columns if c != "_copy"]
+    keys = sort_columns(visible, sort_fields, sort_dirs) or [ascending("email")]
+    return rows.orderBy(*keys, F.col("_copy").asc()).drop("_copy")
 
 
 def assignment_summary_with_defaults(
