@@ -38,17 +38,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only if the session has none.
 
     A cluster names a shared directory in ``spark.checkpoint.dir``; that is
-    used as is.  Only an unconfigured (local, test) session gets a fresh
-    temporary directory.
+    used as is.  Only an unconfigured local-mode session (tests, the
+    benchmark) gets a fresh temporary directory; on a cluster a missing
+    setting is an error, because a machine-local folder is not shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="ledgerscope-ckpt-")
-    sc.setCheckpointDir(target)
-    return sc.getCheckpointDir() or target
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a shared directory (e.g. on the cluster's file system); "
+                "the reports checkpoint small key sets and sorted results there"
+            )
+        configured = tempfile.mkdtemp(prefix="ledgerscope-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "ledgerscope") -> SparkSession:
