@@ -287,3 +287,25 @@ def test_hot_pair_is_weighted_not_materialised(make_tables):
     assert r.totalledgerbalance == Decimal("90000000.00")
     assert r.totalavailablebalance == Decimal("180000000.00")
     assert r.totaloutflow == Decimal("900000.00")  # 0.01 x 9e7 joined rows
+
+
+def test_pruning_fallbacks_give_the_same_rows(spark, make_tables):
+    # P: 2 assignments, owner c1 with 5 accounts. Each bound below fails at a
+    # different step (assignments, owners, account numbers); results never change.
+    t = make_tables(
+        sales_assigned_accounts=[saa("P", "Ann", "e1", "Customer"), saa("P", "Ann", "e2", "Customer")],
+        customers=[("c1", "e1"), ("c2", "e2")],
+        accounts=[(f"A{i}", "c1", None) for i in range(5)] + [("B0", "c2", None)],
+        post_credit_transactions=[(f"A{i}", D(10 + i), ts("1997-03-01 00:00:00")) for i in range(5)],
+        transactions=[("e1", "Outflow", D(5), D("10.75"), ts("1997-05-01 00:00:00"))],
+        daily_balances=[("e1", "Customer", D(7), D(6))],
+    )
+    want = sorted(tuple(r) for r in assignment_summary(t, "P", YEAR, prune=False).collect())
+    for bound in ("1", "2", "4", "100"):
+        spark.conf.set("ledgerscope.broadcast.maxRows", bound)
+        try:
+            got = sorted(tuple(r) for r in assignment_summary(t, "P", YEAR, prune=True).collect())
+        finally:
+            spark.conf.unset("ledgerscope.broadcast.maxRows")
+        assert got == want, bound
+    assert dict((r[0], r[5]) for r in want)["e1"] == Decimal("60.00")  # 10+11+12+13+14
