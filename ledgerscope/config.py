@@ -74,3 +74,35 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scale_settings(fact_bytes: int, cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for facts of ``fact_bytes`` on ``cores`` executor cores.
+
+    Shuffles of the reports carry partial aggregates, far smaller than the
+    facts, so the input size is an upper bound: start with one shuffle
+    partition per ``target_partition_bytes`` of facts (at least two waves of
+    tasks, at most 100,000) and let AQE coalesce them to the advisory size.
+    Scans split files at 256 MB so a task's input fits in memory with room
+    for its aggregation buffers; skewed join partitions above five times
+    the median and 4x the advisory size are split.
+    """
+    initial = max(2 * cores, min(100_000, -(-fact_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
+def size_for(spark: SparkSession, facts: list, cores: int) -> dict[str, str]:
+    """Apply ``scale_settings`` for the optimizer's size estimate of ``facts``; returns what was set."""
+    from ledgerscope.operators.sizing import estimated_bytes
+
+    settings = scale_settings(sum(estimated_bytes(f) for f in facts), cores)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    return settings

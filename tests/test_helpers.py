@@ -76,3 +76,15 @@ def test_money_text_cast_strict_and_lenient(spark):
     assert [r[0] for r in df.select(as_money("a", lenient=True)).collect()] == [Decimal("12.50"), None]
     with pytest.raises(Exception):
         df.select(as_money("a")).collect()
+
+
+def test_scale_settings():
+    from ledgerscope.config import scale_settings
+
+    # 100 TB on 8,000 cores: capped at 100,000 initial partitions of ~128 MB
+    big = scale_settings(100 * 1024**4, 8000)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    # 10 GB on 64 cores: 80 partitions of 128 MB, at least two waves (128)
+    mid = scale_settings(10 * 1024**3, 64)
+    assert mid["spark.sql.shuffle.partitions"] == "128"
+    assert mid["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
