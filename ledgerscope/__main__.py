@@ -19,7 +19,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.config import tune
+from ledgerscope.config import size_for, tune
 from ledgerscope.functions.dates import OMITTED
 from ledgerscope.plans.assignment import assignment_summary, assignment_summary_with_defaults
 from ledgerscope.plans.salesperson import sales_person_summary
@@ -57,6 +57,11 @@ def _report_args(p: argparse.ArgumentParser) -> None:
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     p.add_argument("--mode", default="errorifexists")
     p.add_argument("--show", type=int, default=0)
+    p.add_argument(
+        "--size-shuffles",
+        action="store_true",
+        help="size shuffle and scan partitions from the facts' estimated bytes and the cluster's cores",
+    )
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -87,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     tables = read_parquet_tables(spark, args.tables)
+    if args.size_shuffles:
+        size_for(spark, [tables.transactions, tables.post_credit_transactions], spark.sparkContext.defaultParallelism)
     fields, dirs = _sort(args.sort)
     credit = (args.credit_start, args.credit_end) if (args.credit_start or args.credit_end) else None
     if args.command == "assignment-summary":

@@ -20,7 +20,8 @@ def test_cli_end_to_end(spark):
     assert spark.read.parquet(r1).count() == 2
     r2 = os.path.join(base, "r2")
     assert main(["sales-person-summary", "--tables", tables, "--start", "1997-01-01", "--end", "1997-12-31",
-                 "--out", r2, "--format", "csv"]) == 0
+                 "--out", r2, "--format", "csv", "--size-shuffles"]) == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert spark.read.option("header", True).csv(r2).count() > 0
     dev = os.path.join(base, "dev")
     assert main(["assignment-summary", "--tables", tables, "--code", "SAL-0003", "--as-of", "1997-06-30", "--out", dev]) == 0
