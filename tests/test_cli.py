@@ -21,6 +21,10 @@ def test_cli_end_to_end(spark):
     r2 = os.path.join(base, "r2")
     assert main(["sales-person-summary", "--tables", tables, "--start", "1997-01-01", "--end", "1997-12-31",
                  "--out", r2, "--format", "csv", "--size-shuffles"]) == 0
+    from ledgerscope.config import scale_settings
+
+    for key in scale_settings(1, 1):  # restore the session for the tests that follow
+        spark.conf.unset(key)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert spark.read.option("header", True).csv(r2).count() > 0
     dev = os.path.join(base, "dev")
