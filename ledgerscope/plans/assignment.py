@@ -61,15 +61,14 @@ def assignment_rows(
         prune = worth_pruning(tables.transactions, tables.post_credit_transactions)
     if prune:
         assigned, small = materialize_assignments(assigned)
-        scoped, emails_small = scope_to_assignments(tables, assigned, small)
+        scoped, _ = scope_to_assignments(tables, assigned, small)
     else:
-        scoped, emails_small = tables, False
+        scoped = tables
 
-    # Pruned scopes already hold only the person's e-mails; otherwise the
-    # breakdown aggregates first and then keeps the person's e-mails.
-    flows = transactions_breakdown(
-        scoped.transactions, tx_w, revenue_rule, emails=None if emails_small else assigned
-    )
+    # No e-mail filter on the breakdown: a pruned scope already holds only the
+    # person's e-mails, and otherwise the left join from the person's
+    # assignments below drops every other e-mail just the same.
+    flows = transactions_breakdown(scoped.transactions, tx_w, revenue_rule, emails=None)
     credit = inflow(
         assigned,
         scoped.post_credit_transactions,
