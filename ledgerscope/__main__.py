@@ -50,8 +50,8 @@ def _report_args(p: argparse.ArgumentParser) -> None:
     p.add_argument("--tables", required=True, help="directory holding the seven landed tables")
     p.add_argument("--start", default=None)
     p.add_argument("--end", default=None)
-    p.add_argument("--credit-start", default=None)
-    p.add_argument("--credit-end", default=None)
+    p.add_argument("--credit-start", default=None, help="credit window start (default: --start)")
+    p.add_argument("--credit-end", default=None, help="credit window end (default: --end)")
     p.add_argument("--sort", action="append", help="FIELD[:A|D], repeatable; only A ascends")
     p.add_argument("--out", default=None)
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
@@ -95,7 +95,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.size_shuffles:
         size_for(spark, [tables.transactions, tables.post_credit_transactions], spark.sparkContext.defaultParallelism)
     fields, dirs = _sort(args.sort)
-    credit = (args.credit_start, args.credit_end) if (args.credit_start or args.credit_end) else None
+    # A credit bound not given falls back to the transaction window's bound.
+    credit = (
+        (args.credit_start or args.start, args.credit_end or args.end)
+        if (args.credit_start or args.credit_end)
+        else None
+    )
     if args.command == "assignment-summary":
         if args.start is None and not args.historic and credit is None:
             end = args.end if args.end is not None else OMITTED

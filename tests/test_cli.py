@@ -27,6 +27,13 @@ def test_cli_end_to_end(spark):
         spark.conf.unset(key)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert spark.read.option("header", True).csv(r2).count() > 0
+    # only --credit-end given: credits run from --start to 1998-12-31
+    split = os.path.join(base, "split")
+    assert main(["assignment-summary", "--tables", tables, "--code", "SAL-0003", "--start", "1997-01-01",
+                 "--end", "1997-12-31", "--credit-end", "1998-12-31", "--out", split]) == 0
+    narrow = {r.email: r.totalinflow for r in spark.read.parquet(r1).collect()}
+    wide = {r.email: r.totalinflow for r in spark.read.parquet(split).collect()}
+    assert all(wide[e] >= narrow[e] for e in narrow) and sum(wide.values()) > sum(narrow.values())
     dev = os.path.join(base, "dev")
     assert main(["assignment-summary", "--tables", tables, "--code", "SAL-0003", "--as-of", "1997-06-30", "--out", dev]) == 0
     assert spark.read.parquet(dev).count() == 2
