@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import quality
+from ledgerscope.llm import quality, secrets, tokens
 from ledgerscope.llm.common import documents
 
+#: Where the public vocabulary files lie; the operators take the path of a file.
+TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    except ImportError:
+        return os.path.join(TOKENIZER_DIR, name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), tokenizer_path())
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(secrets.training_sample(docs)))
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -16,6 +38,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op3_secret_scans": op3_secret_scans,
     "op8_quality_rules": op8_quality_rules,
 }
 
