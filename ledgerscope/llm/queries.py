@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import quality, secrets, tokens
-from ledgerscope.llm.common import documents
+from ledgerscope.llm import language, packing, quality, secrets, tokens, toxicity
+from ledgerscope.llm.common import crc_remainder, documents
 
 #: Where the public vocabulary files lie; the operators take the path of a file.
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -32,15 +32,34 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.training_sample(docs)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    remainder = crc_remainder("doc_id", 5)
+    return toxicity.score(docs, toxicity.fit(docs, labels, remainder != 0), remainder == 0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    remainder = crc_remainder("doc_id", 4)
+    return language.predict(docs, language.fit(docs, remainder != 2), remainder == 2)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.assess(docs, quality.fit(docs))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_secret_scans": op3_secret_scans,
+    "op4_toxicity": op4_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
