@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import language, licenses, packing, quality, secrets, tokens, toxicity
+from ledgerscope.llm import decontaminate, language, licenses, packing, quality, secrets, tokens, toxicity
 from ledgerscope.llm.common import crc_remainder, documents
 
 #: Where the public vocabulary files lie; the operators take the path of a file.
@@ -27,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secrets.scan(docs, secrets.train(secrets.training_sample(docs)))
@@ -59,6 +63,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
     "op5_license_scans": op5_license_scans,
