@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import reduce
@@ -138,10 +139,10 @@ class BlockMaxWand:
     def __init__(self, index: Bm25Index):
         self.index = index
 
-    def search(self, query: set[str], least: float | None = None) -> list[int]:
-        """Items in order; ``least`` is the lowest threshold that can be reached (default: of all items)."""
+    def search(self, query: set[str], within: list[int] | None = None) -> list[int]:
+        """Items in order; ``within`` lists the items in reach, in order, where that is known."""
         index = self.index
-        least = index.least if least is None else least
+        least = index.least if within is None else min((index.thresholds[i] for i in within), default=math.inf)
         # Cursors: [item, bound of the list, blocks, block, place in the block]
         cursors = [[bs[0].first, index.bounds[w], bs, 0, 0] for w in query if (bs := index.lists.get(w))]
         found = []
@@ -156,6 +157,16 @@ class BlockMaxWand:
             if pivot is None:
                 break
             item = cursors[pivot][0]
+            if within is not None:
+                k = bisect_left(within, item)
+                if k == len(within):
+                    break
+                if within[k] > item:  # nothing before the next item in reach counts
+                    for c in cursors:
+                        if c[0] < within[k]:
+                            self._advance(c, within[k])
+                    cursors = [c for c in cursors if c[0] < math.inf]
+                    continue
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             # Block bounds at the pivot item.
@@ -229,8 +240,8 @@ class Scanner:
             known.update((w, i) for w, i in new.items() if len(w) <= 64)
         return np.array(values, np.int64)
 
-    def candidate_passages(self, split: list[list[str]]) -> list[tuple[int, int, float]]:
-        """(text, first word, lowest threshold in reach) of the passages whose essential words can reach some item."""
+    def candidate_passages(self, split: list[list[str]]) -> list[tuple[int, int, list[int]]]:
+        """(text, first word, items in reach) of the passages whose essential words can reach some item."""
         index, half = self.index, self.passage // 2
         flat = [w for raw in split for w in raw]
         if not flat or not len(index.post_items):
@@ -257,19 +268,18 @@ class Scanner:
         found, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(back, weights=np.concatenate(weights), minlength=len(found))
         found = found[sums >= index.needed[found % len(index.ids)] * (1 - 1e-9)]
-        hit, start = np.unique(found // len(index.ids), return_index=True)
-        if not len(hit):
-            return []
-        least = np.minimum.reduceat(np.array(index.thresholds)[found % len(index.ids)], start) * (1 - 1e-9)
-        of = np.searchsorted(base, hit, side="right") - 1
-        return [(int(t), int((p - base[t]) * half), float(x)) for t, p, x in zip(of, hit, least, strict=True)]
+        out: dict[int, list[int]] = defaultdict(list)
+        for p, item in zip((found // len(index.ids)).tolist(), (found % len(index.ids)).tolist(), strict=True):
+            out[p].append(item)
+        of = np.searchsorted(base, list(out), side="right") - 1
+        return [(int(t), int(p - base[t]) * half, items) for t, (p, items) in zip(of, out.items(), strict=True)]
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, float, float, int]]]:
         """For each text, (item id, question overlap, answer overlap, first word) of each verified item."""
         split = [t.split() for t in texts]
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for t, a, least in self.candidate_passages(split):
-            for item in self.wand.search({w for w in map(normal, split[t][a : a + self.passage]) if w}, least):
+        for t, a, within in self.candidate_passages(split):
+            for item in self.wand.search({w for w in map(normal, split[t][a : a + self.passage]) if w}, within):
                 found[t][item].append(a)
         out: list[list[tuple[int, float, float, int]]] = [[] for _ in texts]
         for t, items in found.items():
