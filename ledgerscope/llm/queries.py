@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, language, licenses, packing, quality, secrets, tokens, toxicity
+from ledgerscope.llm import decontaminate, jaccard, language, licenses, packing, quality, secrets, tokens, toxicity
 from ledgerscope.llm.common import crc_remainder, documents
 
 #: Where the public vocabulary files lie; the operators take the path of a file.
@@ -46,6 +46,10 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), licenses.templates(spark))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     remainder = crc_remainder("doc_id", 4)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
     "op5_license_scans": op5_license_scans,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
