@@ -76,3 +76,23 @@ def map_batches(
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
+
+
+def map_texts(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """``df`` with each text replaced by what ``fn`` gives for it; rows for which it gives ``None`` go.
+
+    ``fn`` sees null texts as empty; a text that it returns unchanged stays as
+    it was (null stays null).  All other columns pass through unchanged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.schema.names.index(text_col)
+            before = b.column(k).to_pylist()
+            after = fn([t or "" for t in before])
+            keep = pa.array([t is not None for t in after])
+            texts = [old if new is None or new == (old or "") else new for old, new in zip(before, after, strict=True)]
+            columns = [pa.array(texts, b.schema.field(k).type) if i == k else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(keep)
+
+    return df.mapInArrow(run, df.schema)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import id_and_text, map_batches
+from ledgerscope.llm.common import id_and_text, map_batches, map_texts
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SHINGLE = 5
@@ -313,30 +314,51 @@ def _scanner(key: str, index: Bm25Index, passage: int, min_overlap: float) -> Sc
 MATCHES = "doc_id long, item_id long, question_overlap double, answer_overlap double, first_word long"
 
 
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, min_score: float, passage: int, max_items: int) -> list[tuple]:
+    """(broadcast index, key) of each shard of at most about ``max_items`` items."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    shards = max(1, -(-items.count() // max_items))
+    out = []
+    for shard in range(shards):
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard) if shards > 1 else items
+        index = Bm25Index(sorted((r["id"], r["text"]) for r in rows.collect()), min_score, passage)
+        out.append((benchmark.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex))
+    return out
+
+
+def _scan(texts: list[str], shared, key: str, passage: int, min_overlap: float) -> list[list[tuple[int, float, float, int]]]:
+    scanner = _scanner(key, shared.value, passage, min_overlap)
+    return [found for at in range(0, len(texts), 128) for found in scanner.scan(texts[at : at + 128])]
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     passage: int = 128, min_score: float = 0.5, min_overlap: float = 0.6, max_items: int = 20_000,
 ) -> DataFrame:
     """Verified matches: ``doc_id, item_id``, overlaps and the word where the first passage starts."""
-    import uuid
-
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    shards = max(1, -(-items.count() // max_items))
     texts = id_and_text(docs, id_col, text_col)
     results = []
-    for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard) if shards > 1 else items
-        index = Bm25Index(sorted((r["id"], r["text"]) for r in rows.collect()), min_score, passage)
-        shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
+    for shared, key in _indexes(benchmark, item_col, item_text_col, min_score, passage, max_items):
 
         def batch(cols, shared=shared, key=key):
-            scanner = _scanner(key, shared.value, passage, min_overlap)
-            found = []
-            for at in range(0, len(cols["text"]), 128):
-                matches = scanner.scan(cols["text"][at : at + 128])
-                found += [(d, *m) for d, ms in zip(cols["doc_id"][at : at + 128], matches, strict=True) for m in ms]
+            matches = _scan(cols["text"], shared, key, passage, min_overlap)
+            found = [(d, *m) for d, ms in zip(cols["doc_id"], matches, strict=True) for m in ms]
             names = ("doc_id", "item_id", "question_overlap", "answer_overlap", "first_word")
             return dict(zip(names, map(list, zip(*found, strict=True)), strict=True)) if found else None
 
         results.append(map_batches(texts, batch, MATCHES))
     return reduce(DataFrame.unionByName, results)
+
+
+def keep(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    passage: int = 128, min_score: float = 0.5, min_overlap: float = 0.6, max_items: int = 20_000,
+) -> DataFrame:
+    """The documents without a verified match, all columns unchanged."""
+    for shared, key in _indexes(benchmark, item_col, item_text_col, min_score, passage, max_items):
+
+        def clean(texts, shared=shared, key=key):
+            return [None if ms else t for t, ms in zip(texts, _scan(texts, shared, key, passage, min_overlap), strict=True)]
+
+        docs = map_texts(docs, text_col, clean)
+    return docs

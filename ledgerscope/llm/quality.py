@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import SPACE, id_and_text, map_batches
+from ledgerscope.llm.common import SPACE, id_and_text, map_batches, map_texts
 
 WS = SPACE.encode()
 SYMBOLS = b"#*$%&|<>"
@@ -187,22 +187,37 @@ def divergence(text: bytes, words: list[bytes], refs: References) -> tuple[float
     return float(c[best]), float(w[best]), best
 
 
-def assess(
-    docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text",
-    max_class_js: float = 0.30, max_word_js: float = 0.45, min_chars: int = 200, min_words: int = 100,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """Greatest distances to the nearest language, and the lengths from which they are compared."""
+
+    max_class_js: float = 0.30
+    max_word_js: float = 0.45
+    min_chars: int = 200
+    min_words: int = 100
+
+
+def verdict(text: bytes, refs: References, limits: Limits) -> tuple:
+    """Counts of ``rules``, class distance, word distance, nearest language, kept."""
+    words = text.split()
+    counts = rules(text, words)
+    c, w, best = divergence(text, words, refs)
+    far = (counts[1] >= limits.min_chars and c > limits.max_class_js) or (counts[0] >= limits.min_words and w > limits.max_word_js)
+    return (*counts, c, w, refs.langs[best] if best >= 0 else None, not counts[5] and not far)
+
+
+def assess(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per document: counts, ``base_failed``, distances, nearest language and ``kept``."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_js", "word_js", "nearest_lang", "kept"]
 
     def batch(cols):
-        rows = []
-        for text in cols["text"]:
-            words = text.split()
-            counts = rules(text, words)
-            c, w, best = divergence(text, words, refs)
-            far = (counts[1] >= min_chars and c > max_class_js) or (counts[0] >= min_words and w > max_word_js)
-            rows.append((*counts, c, w, refs.langs[best] if best >= 0 else None, not counts[5] and not far))
+        rows = [verdict(text, refs, limits) for text in cols["text"]]
         return {"doc_id": cols["doc_id"]} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_js double, word_js double, nearest_lang string, kept boolean"
     return map_batches(id_and_text(docs, id_col, text_col), batch, schema, binary=("text",))
+
+
+def keep(docs: DataFrame, refs: References, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """The documents that pass, all columns unchanged."""
+    return map_texts(docs, text_col, lambda texts: [t if verdict(t.encode(), refs, limits)[-1] else None for t in texts])

@@ -3,8 +3,8 @@
 Two order-1 character models give the log-likelihood of a token: one trained
 on random strings, one on ordinary identifiers (words and words joined into
 identifiers).  A token whose log-likelihood ratio exceeds ``min_llr`` in total
-and ``min_rate`` per character, and that has ``min_distinct`` characters, is reported as kind ``markov``, unless a
-pattern match already covers a part of it.
+and ``min_rate`` per character, and that has ``min_distinct`` characters, is
+reported as kind ``markov``, unless a pattern match already covers a part of it.
 
 ``training_sample`` builds the labelled strings from a bounded hash sample of
 the documents (``max_docs``): values that the patterns find and generated
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash_sample, id_and_text, map_batches
+from ledgerscope.llm.common import hash_sample, id_and_text, map_batches, map_texts
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -135,9 +135,29 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.unionByName(made)
 
 
-def scan(
-    docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text", min_llr: float = 20.0, min_rate: float = 0.8, min_distinct: int = 8,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """What a token outside the patterns needs: total ratio, ratio per character, distinct characters."""
+
+    min_llr: float = 20.0
+    min_rate: float = 0.8
+    min_distinct: int = 8
+
+
+def markov_spans(text: str, base: list[tuple[int, int, int]], model: MarkovModel, limits: Limits) -> list[tuple[int, int, int]]:
+    """Spans of random-looking tokens that no pattern match touches."""
+    spans = []
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        if any(x < b and a < y for x, _, y in base):
+            continue
+        llr = model.llr(m.group())
+        if llr >= limits.min_llr and llr >= limits.min_rate * (b - a) and len(set(m.group())) >= limits.min_distinct:
+            spans.append((a, 3, b))
+    return spans
+
+
+def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per document: counts of each kind, digest of the pattern spans, all spans."""
 
     def batch(cols):
@@ -146,14 +166,7 @@ def scan(
         for text in cols["text"]:
             spans = base_spans(text)
             base = joined(spans)
-            more = []
-            for m in _TOKEN.finditer(text):
-                a, b = m.span()
-                if any(x < b and a < y for x, _, y in spans):
-                    continue
-                llr = model.llr(m.group())
-                if llr >= min_llr and llr >= min_rate * (b - a) and len(set(m.group())) >= min_distinct:
-                    more.append((a, 3, b))
+            more = markov_spans(text, spans, model, limits)
             count = [sum(k == i for _, k, _ in spans) for i in range(3)]
             values = [*count, len(more), hashlib.sha256(base.encode()).hexdigest(), joined(sorted(spans + more)) if more else base]
             for n, v in zip(names, values, strict=True):
@@ -162,3 +175,26 @@ def scan(
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
     return map_batches(id_and_text(docs, id_col, text_col), batch, schema)
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """``text`` with each run of overlapping spans replaced by ``mark``."""
+    out, last = [], 0
+    for a, _, b in sorted(spans):
+        if a >= last:
+            out += [text[last:a], mark]
+        last = max(last, b)
+    return "".join([*out, text[last:]])
+
+
+def redact(docs: DataFrame, model: MarkovModel, text_col: str = "text", mark: str = "[secret]", limits: Limits = Limits()) -> DataFrame:
+    """``docs`` with every span replaced by ``mark``; other columns and texts without spans are unchanged."""
+
+    def texts_of(texts):
+        out = []
+        for t in texts:
+            base = base_spans(t)
+            out.append(redacted(t, base + markov_spans(t, base, model, limits), mark))
+        return out
+
+    return map_texts(docs, text_col, texts_of)
