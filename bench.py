@@ -38,9 +38,6 @@ def build_queries(t):
         "assignment_review_split_windows": lambda: assignment_summary(
             t, "SAL-0003", YEAR, TWO_YEARS, ["totalOutflow", "email"], ["A", "D"]
         ),
-        # same, forcing the large-scale plan: scans pruned to the person's checkpointed key sets
-        # ("auto" picks this only when the facts exceed ledgerscope.prune.minFactBytes)
-        "assignment_summary_pruned": lambda: assignment_summary(t, "SAL-0003", YEAR, prune=True),
         # summary per sales person (tiered revenue), sorted by available balance
         "sales_person_summary": lambda: sales_person_summary(
             t, YEAR, None, ["totalAvailableBalance"], ["D"]

@@ -1,30 +1,33 @@
-"""Command line: run a report over landed tables, land the fixture, ingest receipts.
+"""Command line: run a report over landed tables, land tables, ingest receipts.
 
     python -m ledgerscope assignment-summary --tables ROOT --code SAL-0003 \\
         --start 2024-01-01 --end 2024-12-31 [--credit-start .. --credit-end ..] \\
-        [--sort totalOutflow:A --sort email:D] [--out PATH [--format parquet|csv]] [--show 20]
+        [--sort totalOutflow:A --sort email:D] (--out PATH [--format parquet|csv|json] | --preview N)
     python -m ledgerscope sales-person-summary --tables ROOT --start .. --end .. [...]
+    python -m ledgerscope land --tables ROOT --out ROOT [--buckets N]
     python -m ledgerscope land-fixture --sf-dir /root/testdata/sf0.1 --out ROOT
     python -m ledgerscope ingest-receipts --source DIR --target DIR --checkpoint DIR
 
 The session comes from ``SparkSession.builder.getOrCreate()`` (spark-submit
-or the platform supplies master and resources).  ``--start`` omitted on the
-assignment summary applies the defaults of its development form.
+or the platform supplies master and resources).  On the assignment summary
+``--end`` defaults to ``--as-of`` (today) and ``--start`` to the day of the
+first transaction; the sales-person summary and ``--historic`` need both.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.config import size_for, tune
-from ledgerscope.functions.dates import OMITTED
-from ledgerscope.plans.assignment import assignment_summary, assignment_summary_with_defaults
+from ledgerscope.functions.dates import OMITTED, DateWindow, default_window, parse_date
+from ledgerscope.plans.assignment import assignment_summary
 from ledgerscope.plans.salesperson import sales_person_summary
 from ledgerscope.sources.fixture import fixture_tables
-from ledgerscope.sources.tables import read_parquet_tables, write_tables
+from ledgerscope.sources.tables import PARTITION_COLUMNS, read_parquet_tables, write_tables
 from ledgerscope.streaming.receipts import ingest_receipts
 
 
@@ -40,10 +43,16 @@ def _sort(specs: list[str] | None) -> tuple[list[str] | None, list[str] | None]:
 
 
 def _emit(df: DataFrame, args: argparse.Namespace) -> None:
-    if args.out:
-        df.write.mode(args.mode).format(args.format).option("header", True).save(args.out)
-    if args.show or not args.out:
-        df.show(args.show or 20, truncate=False)
+    """Write the whole report, or print a preview of the rows asked for; the report runs once."""
+    if not args.out:
+        print(f"preview: at most {args.preview} rows")
+        df.show(args.preview, truncate=False)
+        return
+    df.write.mode(args.mode).format(args.format).option("header", True).save(args.out)
+    if args.preview:
+        written = df.sparkSession.read.format(args.format).option("header", True).load(args.out)
+        print(f"preview of {args.out}: at most {args.preview} rows")
+        written.show(args.preview, truncate=False)
 
 
 def _report_args(p: argparse.ArgumentParser) -> None:
@@ -56,15 +65,15 @@ def _report_args(p: argparse.ArgumentParser) -> None:
     p.add_argument("--out", default=None)
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     p.add_argument("--mode", default="errorifexists")
-    p.add_argument("--show", type=int, default=0)
+    p.add_argument("--preview", type=int, default=0, help="print this many rows")
     p.add_argument(
         "--size-shuffles",
         action="store_true",
-        help="size shuffle and scan partitions from the facts' estimated bytes and the cluster's cores",
+        help="size shuffle and scan partitions from the facts' stored bytes and the cluster's cores",
     )
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="ledgerscope")
     sub = parser.add_subparsers(dest="command", required=True)
     a = sub.add_parser("assignment-summary")
@@ -74,49 +83,70 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--historic", action="store_true", help="match balances by e-mail only")
     s = sub.add_parser("sales-person-summary")
     _report_args(s)
+    c = sub.add_parser("land", help="copy tables into the landed layout")
+    c.add_argument("--tables", required=True)
+    c.add_argument("--out", required=True)
     f = sub.add_parser("land-fixture")
     f.add_argument("--sf-dir", required=True)
     f.add_argument("--out", required=True)
+    for p in (c, f):
+        p.add_argument("--buckets", type=int, default=0, help="key buckets of each month's facts")
+    c.add_argument("--size-shuffles", action="store_true")
     r = sub.add_parser("ingest-receipts")
     r.add_argument("--source", required=True)
     r.add_argument("--target", required=True)
     r.add_argument("--checkpoint", required=True)
+    r.add_argument("--multi-line", action="store_true", help="pretty-printed objects; each file is one task")
+    r.add_argument("--max-files", type=int, default=None, help="most files in one batch")
+    return parser
+
+
+def _check(parser: argparse.ArgumentParser, args: argparse.Namespace) -> None:
+    if not args.out and args.preview <= 0:
+        parser.error("give --out PATH for the report, or --preview N for some of its rows")
+    if (args.command == "sales-person-summary" or getattr(args, "historic", False)) and not (args.start and args.end):
+        parser.error("--start and --end are required here")
+
+
+def _size(spark: SparkSession, root: str) -> None:
+    facts = [os.path.join(root, t) for t in PARTITION_COLUMNS]
+    size_for(spark, facts, spark.sparkContext.defaultParallelism)
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = _parser()
     args = parser.parse_args(argv)
+    if args.command.endswith("summary"):
+        _check(parser, args)
 
     spark = tune(SparkSession.builder.getOrCreate())
     if args.command == "land-fixture":
-        write_tables(fixture_tables(spark, args.sf_dir), args.out)
+        write_tables(fixture_tables(spark, args.sf_dir), args.out, buckets=args.buckets)
         return 0
     if args.command == "ingest-receipts":
-        ingest_receipts(spark, args.source, args.target, args.checkpoint).awaitTermination()
+        ingest_receipts(
+            spark, args.source, args.target, args.checkpoint, multi_line=args.multi_line, max_files=args.max_files
+        ).awaitTermination()
         return 0
 
-    tables = read_parquet_tables(spark, args.tables)
     if args.size_shuffles:
-        size_for(spark, [tables.transactions, tables.post_credit_transactions], spark.sparkContext.defaultParallelism)
+        _size(spark, args.tables)
+    tables = read_parquet_tables(spark, args.tables)
+    if args.command == "land":
+        write_tables(tables, args.out, buckets=args.buckets)
+        return 0
     fields, dirs = _sort(args.sort)
-    # A credit bound not given falls back to the transaction window's bound.
-    credit = (
-        (args.credit_start or args.start, args.credit_end or args.end)
-        if (args.credit_start or args.credit_end)
-        else None
-    )
     if args.command == "assignment-summary":
-        if args.start is None and not args.historic and credit is None:
-            end = args.end if args.end is not None else OMITTED
-            df = assignment_summary_with_defaults(tables, args.code, None, end, fields, dirs, as_of=args.as_of)
-        else:
-            df = assignment_summary(
-                tables,
-                args.code,
-                (args.start, args.end),
-                credit,
-                fields,
-                dirs,
-                balance_match="email" if args.historic else "holder",
-            )
+        # Each bound has its own default, whatever the other options are.
+        window = default_window(tables.transactions, args.start, args.end or OMITTED, args.as_of)
+        match = "email" if args.historic else "holder"
+    else:
+        window = DateWindow.of(args.start, args.end)
+    credit = DateWindow(parse_date(args.credit_start) or window.start, parse_date(args.credit_end) or window.end)
+    if args.command == "assignment-summary":
+        df = assignment_summary(tables, args.code, window, credit, fields, dirs, balance_match=match)
     else:
-        df = sales_person_summary(tables, (args.start, args.end), credit, fields, dirs)
+        df = sales_person_summary(tables, window, credit, fields, dirs)
     _emit(df, args)
     return 0
 

@@ -21,16 +21,23 @@ RECOMMENDED = {
     "spark.sql.ansi.enabled": "true",
 }
 
+# Defaults of Spark that these plans need otherwise: bucket pruning must also
+# work where the key set is not broadcast.
+REPLACED = {"spark.sql.optimizer.dynamicPartitionPruning.reuseBroadcastOnly": ("true", "false")}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RECOMMENDED`` for keys the session reports no value for.
 
-    Spark 4 already defaults the AQE and ANSI keys to these values, so on a
-    stock session this changes nothing; it never overrides a value that is set.
+    Spark 4 already defaults the AQE and ANSI keys to these values; none that
+    is set is overridden.  ``REPLACED`` keys are changed from Spark's default.
     """
     for key, value in RECOMMENDED.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
+    for key, (default, value) in REPLACED.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -82,12 +89,12 @@ def scale_settings(fact_bytes: int, cores: int, target_partition_bytes: int = 12
     Shuffles of the reports carry partial aggregates, far smaller than the
     facts, so the input size is an upper bound: start with one shuffle
     partition per ``target_partition_bytes`` of facts (at least two waves of
-    tasks, at most 100,000) and let AQE coalesce them to the advisory size.
+    tasks) and let AQE coalesce them to the advisory size.
     Scans split files at 256 MB so a task's input fits in memory with room
     for its aggregation buffers; skewed join partitions above five times
     the median and 4x the advisory size are split.
     """
-    initial = max(2 * cores, min(100_000, -(-fact_bytes // target_partition_bytes)))
+    initial = max(2 * cores, -(-fact_bytes // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(initial),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
@@ -98,11 +105,11 @@ def scale_settings(fact_bytes: int, cores: int, target_partition_bytes: int = 12
     }
 
 
-def size_for(spark: SparkSession, facts: list, cores: int) -> dict[str, str]:
-    """Apply ``scale_settings`` for the optimizer's size estimate of ``facts``; returns what was set."""
-    from ledgerscope.operators.sizing import estimated_bytes
+def size_for(spark: SparkSession, fact_paths: list[str], cores: int) -> dict[str, str]:
+    """Apply ``scale_settings`` for the stored size of the facts under ``fact_paths``; returns what was set."""
+    from ledgerscope.sources.tables import stored_bytes
 
-    settings = scale_settings(sum(estimated_bytes(f) for f in facts), cores)
+    settings = scale_settings(stored_bytes(spark, fact_paths), cores)
     for key, value in settings.items():
         spark.conf.set(key, value)
     return settings

@@ -1,7 +1,5 @@
 """Report stages and the size-checked pruning around them."""
 
-from ledgerscope.operators.scope import scope_to_assignments
-from ledgerscope.operators.sizing import bounded, broadcast_limit, estimated_bytes, worth_pruning
 from ledgerscope.operators.stages import (
     ALL,
     account_holders,
@@ -31,18 +29,13 @@ __all__ = [
     "assignment_counts",
     "balance_weights",
     "balances_by_email",
-    "bounded",
-    "broadcast_limit",
     "credits_per_account",
     "holder_inflow",
     "in_window",
     "inflow",
-    "estimated_bytes",
     "owner_inflow",
     "replicate",
     "resolve_accounts",
-    "worth_pruning",
-    "scope_to_assignments",
     "transactions_breakdown",
     "weighted_balance_rows",
 ]

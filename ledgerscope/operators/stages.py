@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.dates import DateWindow
 from ledgerscope.functions.revenue import INFLOW, OUTFLOW, revenue, when_type
 from ledgerscope.schemas import MONEY
-from ledgerscope.sources.tables import PARTITION_COLUMNS
+from ledgerscope.sources.tables import PARTITION_COLUMNS, bucket_column, bucket_of
 
 CUSTOMER = "Customer"
 BUSINESS = "Business"
@@ -61,6 +61,21 @@ def in_window(df: DataFrame, ts_col: str, window: DateWindow) -> DataFrame:
     return out
 
 
+def with_keys(fact: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``fact`` whose ``key_col`` is among ``keys`` (its only column), as a lazy semi join.
+
+    When the fact was landed with a bucket column of that key, the join is on
+    (bucket, key): the bucket is a partition column, so dynamic partition
+    pruning skips the directories of all other buckets at run time.
+    """
+    wanted = keys.toDF(key_col).where(F.col(key_col).isNotNull()).distinct()
+    bucket = bucket_column(fact)
+    if bucket is None:
+        return fact.join(wanted, key_col, "left_semi")
+    wanted = wanted.withColumn(bucket, bucket_of(F.col(key_col), bucket))
+    return fact.join(wanted, [bucket, key_col], "left_semi")
+
+
 def replicate(df: DataFrame, times: str, chunk: int = 4096, copy_col: str | None = None) -> DataFrame:
     """Emit each row ``times`` times (null or < 1 counts as 1); drops ``times``.
 
@@ -113,26 +128,29 @@ def assignment_counts(saa: DataFrame) -> DataFrame:
 # holders and accounts (row level)
 
 
+def holder_records(customers: DataFrame, businesses: DataFrame) -> DataFrame:
+    """Customer and business records under one key: (``_kind``, ``_owner``, ``Email``, ``AccountHolder``)."""
+    cust = customers.select(
+        F.lit("C").alias("_kind"), F.col("Id").alias("_owner"), F.col("UserName").alias("Email"), F.lit(CUSTOMER).alias("AccountHolder")
+    )
+    biz = businesses.select(F.lit("B").alias("_kind"), F.col("Id").alias("_owner"), F.col("Email"), F.lit(BUSINESS).alias("AccountHolder"))
+    return cust.unionByName(biz).where(F.col("Email").isNotNull())
+
+
 def account_holders(assigned: DataFrame, customers: DataFrame, businesses: DataFrame) -> DataFrame:
     """Each assignment with the id of its holder: ``CustomerId`` or ``BusinessId``.
 
-    Two left joins whose condition also tests the holder kind, so an
-    assignment whose e-mail has no customer (or is a business) keeps its row
-    with a null id.  Duplicate user names multiply rows, as in the reports.
+    One left join on (e-mail, holder kind): an assignment whose e-mail has no
+    record of its kind keeps its row with null ids.  Duplicate user names
+    multiply rows, as in the reports.
     """
-    holder = F.col("AccountHolder")
     a = assigned.select("SalesPersonCode", "Email", "AccountHolder")
-    c = customers.select(F.col("Id").alias("_cust_id"), F.col("UserName").alias("_cust_user"))
-    b = businesses.select(F.col("Id").alias("_biz_id"), F.col("Email").alias("_biz_email"))
-    joined = a.join(c, (holder == F.lit(CUSTOMER)) & (F.col("_cust_user") == F.col("Email")), "left").join(
-        b, (holder == F.lit(BUSINESS)) & (F.col("_biz_email") == F.col("Email")), "left"
-    )
-    return joined.select(
+    return a.join(holder_records(customers, businesses), ["Email", "AccountHolder"], "left").select(
         "SalesPersonCode",
         "Email",
         "AccountHolder",
-        F.when(holder == F.lit(CUSTOMER), F.col("_cust_id")).alias("CustomerId"),
-        F.when(holder == F.lit(BUSINESS), F.col("_biz_id")).alias("BusinessId"),
+        F.when(F.col("_kind") == F.lit("C"), F.col("_owner")).alias("CustomerId"),
+        F.when(F.col("_kind") == F.lit("B"), F.col("_owner")).alias("BusinessId"),
     )
 
 
@@ -190,41 +208,34 @@ def credits_per_account(credits: DataFrame, window: DateWindow) -> DataFrame:
     )
 
 
-def owner_inflow(per_account: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Credit total per owner (``_kind``, ``_owner``); each account row counts once."""
-    return (
-        account_owners(accounts)
-        .join(per_account, "AccountNumber", "inner")
-        .groupBy("_kind", "_owner")
-        .agg(F.sum("_amt").alias("_amt"))
-    )
+def owner_inflow(per_account: DataFrame, owners: DataFrame) -> DataFrame:
+    """Credit total per owner (``_kind``, ``_owner``); each account row of ``owners`` counts once."""
+    return owners.join(per_account, "AccountNumber", "inner").groupBy("_kind", "_owner").agg(F.sum("_amt").alias("_amt"))
 
 
-def holder_inflow(owner_in: DataFrame, customers: DataFrame, businesses: DataFrame) -> DataFrame:
+def holder_inflow(owner_in: DataFrame, records: DataFrame) -> DataFrame:
     """Credit total per (``Email``, ``AccountHolder``) over every holder record with that e-mail.
 
     Duplicate customer or business records for one e-mail each count, as the
     row-level joins would count them.
     """
-    cust = customers.select(
-        F.lit("C").alias("_kind"),
-        F.col("Id").alias("_owner"),
-        F.col("UserName").alias("Email"),
-        F.lit(CUSTOMER).alias("AccountHolder"),
-    )
-    biz = businesses.select(
-        F.lit("B").alias("_kind"),
-        F.col("Id").alias("_owner"),
-        F.col("Email").alias("Email"),
-        F.lit(BUSINESS).alias("AccountHolder"),
-    )
-    return (
-        cust.unionByName(biz)
-        .where(F.col("Email").isNotNull())
-        .join(owner_in, ["_kind", "_owner"], "inner")
-        .groupBy("Email", "AccountHolder")
-        .agg(F.sum("_amt").alias("_amt"))
-    )
+    return records.join(owner_in, ["_kind", "_owner"], "inner").groupBy("Email", "AccountHolder").agg(F.sum("_amt").alias("_amt"))
+
+
+def credit_per_holder(
+    credits: DataFrame, accounts: DataFrame, customers: DataFrame, businesses: DataFrame, window: DateWindow, emails: DataFrame | None = None
+) -> DataFrame:
+    """Credit total per (``Email``, ``AccountHolder``): per account, then per owner, then per holder record.
+
+    ``emails`` (one column) restricts every table to these e-mails' records,
+    accounts and credits by lazy semi joins before anything is summed.
+    """
+    records, owners = holder_records(customers, businesses), account_owners(accounts)
+    if emails is not None:
+        records = records.join(emails.toDF("Email").distinct(), "Email", "left_semi")
+        owners = owners.join(records.select("_kind", "_owner").distinct(), ["_kind", "_owner"], "left_semi")
+        credits = with_keys(credits, "BeneficiaryAccountNumber", owners.select("AccountNumber"))
+    return holder_inflow(owner_inflow(credits_per_account(credits, window), owners), records)
 
 
 def inflow(
@@ -240,13 +251,11 @@ def inflow(
 
     Same value as joining every credit to every (assignment, holder record,
     account) row and summing per key, computed without those rows: credits
-    per account -> per owner -> per (e-mail, holder) -> weighted by how many
-    assignment rows share the (key, e-mail, holder).  A key appears only
-    when at least one credit reaches it.  Result: (``key``, ``totalinflow``).
+    per (e-mail, holder), weighted by how many assignment rows share the
+    (key, e-mail, holder).  A key appears only when at least one credit
+    reaches it.  Result: (``key``, ``totalinflow``).
     """
-    per_email = holder_inflow(
-        owner_inflow(credits_per_account(credits, window), accounts), customers, businesses
-    )
+    per_email = credit_per_holder(credits, accounts, customers, businesses, window)
     group = [key] if key == "Email" else [key, "Email"]
     weights = assigned.groupBy(*group, "AccountHolder").agg(F.count(F.lit(1)).alias("_n"))
     return (
@@ -265,19 +274,17 @@ def transactions_breakdown(
     window: DateWindow,
     rule: str = "flat",
     emails: DataFrame | None = None,
-    emails_small: bool = False,
     deposit: bool = False,
 ) -> DataFrame:
     """Outflow, fees and revenue per e-mail inside ``window``.
 
     ``emails`` (a frame with an ``Email`` column) keeps only e-mails in it.
-    When the caller has proven the e-mail set small (``emails_small``) it is
-    broadcast into the scan before aggregation; otherwise the transactions
-    are aggregated first (partial aggregation shrinks them to one row per
-    e-mail per task before the shuffle) and only the aggregate meets the
-    e-mail set.  Both orders give the same rows, because the filter is on
-    the grouping key.  ``emails=None`` skips the filter for callers that
-    join the result to assignments anyway.
+    The transactions are aggregated first (partial aggregation shrinks them
+    to one row per e-mail per task before the shuffle) and only the aggregate
+    meets the e-mail set, which suits a set of most e-mails; for a few
+    e-mails apply ``with_keys`` to ``tx`` instead.  Both orders give the same
+    rows, because the filter is on the grouping key.  ``emails=None`` skips
+    the filter for callers that join the result to assignments anyway.
 
     Result: ``EmailAddress``, ``totaloutflow``, ``totalfees``,
     ``totalrevenue`` (and ``totaldeposit`` when ``deposit``).
@@ -297,9 +304,6 @@ def transactions_breakdown(
     if emails is None:
         return rows.groupBy("EmailAddress").agg(*measures)
     keys = emails.select(F.col("Email").alias("EmailAddress")).where(F.col("EmailAddress").isNotNull())
-    if emails_small:
-        rows = rows.join(F.broadcast(keys.distinct()), "EmailAddress", "left_semi")
-        return rows.groupBy("EmailAddress").agg(*measures)
     summed = rows.groupBy("EmailAddress").agg(*measures)
     return summed.join(keys.distinct(), "EmailAddress", "inner")
 
@@ -367,15 +371,17 @@ def assigned_balances(balances: DataFrame, assigned: DataFrame) -> DataFrame:
     )
 
 
-def balances_by_email(balances: DataFrame, assigned: DataFrame) -> DataFrame:
+def balances_by_email(balances: DataFrame, assigned: DataFrame, keep_holder: bool = False) -> DataFrame:
     """Historic form: balance rows whose user name is any assigned e-mail (holder ignored).
 
     A semi join, so rows are never repeated.  Result: ``UserName``,
-    ``TotalLedgerBalance``, ``TotalAvailableBalance``.
+    ``TotalLedgerBalance``, ``TotalAvailableBalance`` (and ``AccountHolder``
+    after the user name when ``keep_holder``).
     """
     emails = assigned.select(F.col("Email").alias("UserName")).where(F.col("UserName").isNotNull())
     return balances.join(emails.distinct(), "UserName", "left_semi").select(
         "UserName",
+        *(["AccountHolder"] if keep_holder else []),
         F.col("TotalLedgerBalance").cast(MONEY).alias("TotalLedgerBalance"),
         F.col("TotalAvailableBalance").cast(MONEY).alias("TotalAvailableBalance"),
     )
@@ -391,8 +397,10 @@ __all__ = [
     "balance_totals",
     "balance_weights",
     "balances_by_email",
+    "credit_per_holder",
     "credits_per_account",
     "holder_inflow",
+    "holder_records",
     "in_window",
     "inflow",
     "owner_inflow",
@@ -400,4 +408,5 @@ __all__ = [
     "resolve_accounts",
     "transactions_breakdown",
     "weighted_balance_rows",
+    "with_keys",
 ]

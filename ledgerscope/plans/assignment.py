@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.dates import OMITTED, DateLike, DateWindow, default_window
 from ledgerscope.functions.money import money_total, revenue_total
-from ledgerscope.operators.scope import materialize_assignments, scope_to_assignments
-from ledgerscope.operators.sizing import worth_pruning
 from ledgerscope.operators.stages import (
     assigned_accounts,
     balances_by_email,
-    inflow,
+    credit_per_holder,
     replicate,
     transactions_breakdown,
-    weighted_balance_rows,
+    with_keys,
 )
 from ledgerscope.plans.ordering import ascending, sort_columns
 from ledgerscope.schemas import ASSIGNMENT_SUMMARY, check_shape
@@ -36,6 +34,9 @@ def as_window(w: WindowLike) -> DateWindow:
     return w if isinstance(w, DateWindow) else DateWindow.of(*w)
 
 
+SALTS = 16
+
+
 def assignment_rows(
     tables: Tables,
     code: object,
@@ -44,52 +45,55 @@ def assignment_rows(
     *,
     balance_match: str = "holder",
     revenue_rule: str = "flat",
-    prune: bool | str = "auto",
     copy_col: str | None = None,
 ) -> DataFrame:
     """The unsorted assignment summary (see ``assignment_summary``).
 
+    One lazy plan at every size: the person's e-mails restrict facts and
+    dimensions by semi joins before anything is aggregated, the measures are
+    joined per distinct (e-mail, holder), and the assignment rows come back
+    at the end over a salted key, so a third of them may share one e-mail.
+    Rows without an e-mail match nothing and go round the joins.
+
     ``copy_col`` adds the index of each repeated balance row (0 otherwise),
     for use as a last sort key.
     """
+    if balance_match not in ("holder", "email"):
+        raise ValueError("balance_match must be 'holder' or 'email'")
     tx_w = as_window(tx_window)
     cr_w = as_window(credit_window) if credit_window is not None else tx_w
     assigned = assigned_accounts(tables.sales_assigned_accounts, code).select(
-        "SalesPersonCode", "Email", "AccountName", "PhoneNumber", "AccountHolder"
+        "Email", "AccountName", "PhoneNumber", "AccountHolder"
     )
-    if prune == "auto":
-        prune = worth_pruning(tables.transactions, tables.post_credit_transactions)
-    if prune:
-        assigned, small = materialize_assignments(assigned)
-        scoped, _ = scope_to_assignments(tables, assigned, small)
-    else:
-        scoped = tables
-
-    # No e-mail filter on the breakdown: a pruned scope already holds only the
-    # person's e-mails, and otherwise the left join from the person's
-    # assignments below drops every other e-mail just the same.
-    flows = transactions_breakdown(scoped.transactions, tx_w, revenue_rule, emails=None)
-    credit = inflow(
-        assigned,
-        scoped.post_credit_transactions,
-        scoped.accounts,
-        scoped.customers,
-        scoped.businesses,
-        cr_w,
-        key="Email",
+    known = assigned.where(F.col("Email").isNotNull())
+    emails = known.select("Email").distinct()
+    pairs = known.groupBy("Email", "AccountHolder").agg(F.count(F.lit(1)).alias("_k"))
+
+    flows = transactions_breakdown(with_keys(tables.transactions, "EmailAddress", emails), tx_w, revenue_rule)
+    credit = credit_per_holder(
+        tables.post_credit_transactions, tables.accounts, tables.customers, tables.businesses, cr_w, emails
     )
-    rows = assigned.join(flows, F.col("Email") == F.col("EmailAddress"), "left").drop("EmailAddress")
-    rows = rows.join(credit, "Email", "left")
+    inflow = pairs.join(credit, ["Email", "AccountHolder"], "inner").groupBy("Email").agg(
+        F.sum(F.col("_amt") * F.col("_k")).alias("totalinflow")
+    )
+    by_pair = pairs.join(flows.withColumnRenamed("EmailAddress", "Email"), "Email", "left").join(inflow, "Email", "left")
+    balances = balances_by_email(tables.daily_balances, emails, keep_holder=balance_match == "holder").withColumnRenamed("UserName", "Email")
     if balance_match == "holder":
-        balances = weighted_balance_rows(scoped.daily_balances, assigned)
-        rows = replicate(rows.join(balances, ["Email", "AccountHolder"], "left"), "_k", copy_col=copy_col)
-    elif balance_match == "email":
-        balances = balances_by_email(scoped.daily_balances, assigned).withColumnRenamed("UserName", "Email")
-        rows = rows.join(balances, "Email", "left")
-        if copy_col is not None:
-            rows = rows.withColumn(copy_col, F.lit(0).cast("long"))
+        balances = balances.withColumn("_found", F.lit(True))
+        by_pair = by_pair.join(balances, ["Email", "AccountHolder"], "left")
+        copies = F.when(F.col("_found"), F.col("_k")).otherwise(F.lit(1))
     else:
-        raise ValueError("balance_match must be 'holder' or 'email'")
+        by_pair = by_pair.join(balances, "Email", "left")
+        copies = F.lit(1)
+    measures = ["totaloutflow", "totalinflow", "totalfees", "totalrevenue", "TotalLedgerBalance", "TotalAvailableBalance"]
+    by_pair = by_pair.select("Email", "AccountHolder", *measures, copies.cast("long").alias("_copies"))
+
+    salted = by_pair.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = known.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).alias("l")
+    on = (F.col("l.Email") == F.col("r.Email")) & (F.col("l._salt") == F.col("r._salt")) & F.col("l.AccountHolder").eqNullSafe(F.col("r.AccountHolder"))
+    rows = left.join(salted.alias("r"), on, "left").select("l.Email", "AccountName", "PhoneNumber", "l.AccountHolder", *measures, "_copies")
+    rows = rows.unionByName(assigned.where(F.col("Email").isNull()), allowMissingColumns=True)
+    rows = replicate(rows, "_copies", copy_col=copy_col)
 
     extra = [F.col(copy_col)] if copy_col is not None else []
     return rows.select(
@@ -117,7 +121,6 @@ def assignment_summary(
     *,
     balance_match: str = "holder",
     revenue_rule: str = "flat",
-    prune: bool | str = "auto",
 ) -> DataFrame:
     """Assignment summary for sales person ``code``.
 
@@ -125,11 +128,7 @@ def assignment_summary(
     bounds inward credits; either is a ``DateWindow`` or a ``(start, end)``
     pair, and a None bound empties that side.  Sorted by the caller's keys,
     else by e-mail.  ``balance_match="email"`` gives the historic variant
-    that matches balances by e-mail only.  ``prune`` lets the plan shrink
-    dimension and fact scans to this person's keys when those key sets are
-    proven small (results are the same either way); ``"auto"`` does so
-    only when the fact tables are large enough for it to pay
-    (``ledgerscope.prune.minFactBytes``, default 1 GiB).
+    that matches balances by e-mail only.
 
     Columns: ``ASSIGNMENT_SUMMARY``.
     """
@@ -140,7 +139,6 @@ def assignment_summary(
         credit_window,
         balance_match=balance_match,
         revenue_rule=revenue_rule,
-        prune=prune,
         copy_col="_copy",
     )
     check_shape(rows.drop("_copy").schema, ASSIGNMENT_SUMMARY)
@@ -160,7 +158,6 @@ def assignment_summary_with_defaults(
     sort_dirs: Sequence[str | None] | None = None,
     *,
     as_of: DateLike = None,
-    prune: bool | str = "auto",
 ) -> DataFrame:
     """Development form: ``start`` defaults to the first transaction day, ``end`` to ``as_of``.
 
@@ -168,4 +165,4 @@ def assignment_summary_with_defaults(
     the first transaction are left out when ``start`` is defaulted.
     """
     window = default_window(tables.transactions, start, end, as_of)
-    return assignment_summary(tables, code, window, None, sort_fields, sort_dirs, prune=prune)
+    return assignment_summary(tables, code, window, None, sort_fields, sort_dirs)

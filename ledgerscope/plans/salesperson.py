@@ -27,14 +27,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.money import count_as_int, money_total, revenue_total
+from ledgerscope.functions.money import count_as_int, money_total, revenue_total, weighted
 from ledgerscope.operators.stages import (
     ALL,
     BUSINESS,
     CUSTOMER,
     assigned_accounts,
     balance_totals,
-    inflow,
+    credit_per_holder,
     transactions_breakdown,
 )
 from ledgerscope.plans.assignment import WindowLike, as_window
@@ -61,12 +61,16 @@ def sales_person_rows(
 
     keyed = saa.groupBy(*GROUP, "Email", "AccountHolder").agg(F.count(F.lit(1)).alias("_n"))
     keyed = keyed.withColumn("_k", F.sum("_n").over(Window.partitionBy("Email", "AccountHolder")))
+    credit = credit_per_holder(
+        tables.post_credit_transactions, tables.accounts, tables.customers, tables.businesses, cr_w
+    )
     # No e-mail filter here: the left join from the assignments drops
     # transactions of unassigned e-mails just the same.
     flows = transactions_breakdown(tables.transactions, tx_w, revenue_rule, emails=None)
 
     rows = (
         keyed.join(balance_totals(tables.daily_balances), ["Email", "AccountHolder"], "left")
+        .join(credit, ["Email", "AccountHolder"], "left")
         .join(flows, F.col("Email") == F.col("EmailAddress"), "left")
         .drop("EmailAddress")
     )
@@ -76,30 +80,22 @@ def sales_person_rows(
     per_group = rows.groupBy(*GROUP).agg(
         F.sum(w).alias("_rows"),
         F.sum(F.when(holder.isNotNull(), w).otherwise(F.lit(0))).alias("_accounts"),
-        F.sum(F.col("totaloutflow") * w).alias("_outflow"),
-        F.sum(F.col("totalfees") * w).alias("_fees"),
-        F.sum(F.col("totalrevenue") * w).alias("_revenue"),
-        F.sum(F.col("_ledger") * (F.col("_k") * F.col("_n"))).alias("_ledger"),
-        F.sum(F.col("_available") * (F.col("_k") * F.col("_n"))).alias("_available"),
+        F.sum(weighted(F.col("totaloutflow"), w)).alias("_outflow"),
+        F.sum(weighted(F.col("totalfees"), w)).alias("_fees"),
+        F.sum(weighted(F.col("totalrevenue"), w)).alias("_revenue"),
+        F.sum(weighted(F.col("_ledger"), F.col("_k") * F.col("_n"))).alias("_ledger"),
+        F.sum(weighted(F.col("_available"), F.col("_k") * F.col("_n"))).alias("_available"),
+        F.sum(F.col("_amt") * F.col("_n")).alias("_credit"),  # null without any credit
         F.sum(F.when(holder == F.lit(BUSINESS), F.col("_n")).otherwise(F.lit(0))).alias("_business"),
         F.sum(F.when(holder == F.lit(CUSTOMER), F.col("_n")).otherwise(F.lit(0))).alias("_customers"),
     )
 
-    credit = inflow(
-        saa,
-        tables.post_credit_transactions,
-        tables.accounts,
-        tables.customers,
-        tables.businesses,
-        cr_w,
-        key="SalesPersonCode",
-    )
-    # Per-person counts over all of the person's assignments (every assignee
-    # row shows the full counts); a null code never matches, so it gets 0.
+    # Per-person inflow and counts over all of the person's assignments (every
+    # assignee row shows them in full); a null code never matches, so it gets none.
     person = Window.partitionBy("SalesPersonCode")
     code_known = F.col("SalesPersonCode").isNotNull()
     out = (
-        per_group.join(credit, "SalesPersonCode", "left")
+        per_group.withColumn("totalinflow", F.when(code_known, F.sum("_credit").over(person)))
         .withColumn("numberofbusiness", F.when(code_known, F.sum("_business").over(person)).otherwise(F.lit(0)))
         .withColumn("numberofcustomers", F.when(code_known, F.sum("_customers").over(person)).otherwise(F.lit(0)))
     )

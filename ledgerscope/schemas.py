@@ -1,18 +1,21 @@
 """Declared schemas: the seven source tables, both report results, the receipt.
 
 The source tables have no published DDL; their columns are known from use.
-Money lands as ``decimal(18,2)``; report outputs widen to ``decimal(38,2)``
-for money and ``decimal(38,4)`` for revenue so that sums of sums never
-round.  Counts are ``int``.
+Money lands as ``decimal(20,6)``: the reports sum unrounded amounts, so rows
+keep up to six decimals (a source with more raises instead of rounding).
+Report outputs widen to ``decimal(38,6)`` for money and ``decimal(38,8)`` for
+revenue (a fee times a rate of two decimals), so sums of sums never round.
+Weighted sums allow totals below 10**19 and weights below 10**10
+(``functions.money.weighted``).  Counts are ``int``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
-MONEY_TOTAL = T.DecimalType(38, 2)
-REVENUE_TOTAL = T.DecimalType(38, 4)
+MONEY = T.DecimalType(20, 6)
+MONEY_TOTAL = T.DecimalType(38, 6)
+REVENUE_TOTAL = T.DecimalType(38, 8)
 
 TABLE_NAMES = (
     "sales_assigned_accounts",
@@ -71,6 +74,9 @@ TABLE_SCHEMAS = {
     "daily_balances": DAILY_BALANCES,
 }
 
+# Columns that a source may lack; they are then null.
+OPTIONAL_COLUMNS = {"daily_balances": ("BalanceDate",)}
+
 # Result of the assignment summary (one row per assigned account and balance row).
 ASSIGNMENT_SUMMARY = T.StructType(
     _strings("email", "accountname", "phonenumber", "accountholder")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,14 @@ def plus_hours(ts: str, hours: Column) -> Column:
 
 
 def money(c: Column | str) -> Column:
+    """Supplied (floating-point) money to whole cents, as ``MONEY``."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast(MONEY)
+    return c.cast("decimal(18,2)").cast(MONEY)
+
+
+def mills(c: Column) -> Column:
+    """An integer number of thousandths, as ``MONEY``."""
+    return (c.cast("decimal(10,0)") * F.lit(Decimal("0.001"))).cast(MONEY)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,13 +101,35 @@ def sales_assigned_accounts(customer: DataFrame, supplier: DataFrame) -> DataFra
         F.lit(None).cast("string").alias("PhoneNumber"),
         F.lit("Customer").alias("AccountHolder"),
     )
-    return primary.unionByName(business).unionByName(second).unionByName(unassigned)
+    # The same assignment twice; an assignment without an e-mail; other holder kinds.
+    repeated = primary.where(F.pmod(F.substring("PhoneNumber", 4, 8).cast("int"), F.lit(12)) == 7)
+    no_email = customer.where(F.col("c_custkey") % 20 == 1).select(
+        _code(nation).alias("SalesPersonCode"),
+        _agent(nation).alias("AssignedTo"),
+        F.lit(None).cast("string").alias("Email"),
+        F.col("c_name").alias("AccountName"),
+        F.concat(F.lit("080"), pad("c_custkey", 8)).alias("PhoneNumber"),
+        F.lit("Customer").alias("AccountHolder"),
+    )
+    other = supplier.where(F.col("s_suppkey") % 3 == 1).select(
+        _code(snation).alias("SalesPersonCode"),
+        _agent(snation).alias("AssignedTo"),
+        business_email().alias("Email"),
+        F.col("s_name").alias("AccountName"),
+        F.concat(F.lit("090"), pad("s_suppkey", 8)).alias("PhoneNumber"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.lit("Partner")).alias("AccountHolder"),
+    )
+    out = primary
+    for part in (business, second, unassigned, repeated, no_email, other):
+        out = out.unionByName(part)
+    return out
 
 
 def customers(customer: DataFrame) -> DataFrame:
-    return customer.select(
+    once = customer.select(
         F.concat(F.lit("CU"), pad("c_custkey", 8)).alias("Id"), customer_email().alias("UserName")
     )
+    return once.unionByName(once.where(F.pmod(F.substring("Id", 3, 8).cast("int"), F.lit(18)) == 1))  # duplicate records
 
 
 def businesses(supplier: DataFrame) -> DataFrame:
@@ -137,11 +166,13 @@ def transactions(orders: DataFrame) -> DataFrame:
     )
     status = F.col("o_orderstatus")
     ttype = (
-        F.when(status == "F", F.lit("Outflow")).when(status == "O", F.lit("Inflow")).otherwise(F.lit("Reversal"))
+        F.when(key % 17 == 0, F.lit(None).cast("string"))
+        .when(status == "F", F.lit("Outflow")).when(status == "O", F.lit("Inflow")).otherwise(F.lit("Reversal"))
     )
     slot = key % 5
     fee = (
-        F.when(slot == 0, money(F.lit("10.75")))
+        F.when(key % 15 == 0, F.lit(Decimal("10.754")).cast(MONEY))  # near a tier, but not on it
+        .when(slot == 0, money(F.lit("10.75")))
         .when(slot == 1, money(F.lit("26.88")))
         .when(slot == 2, money(F.lit("53.75")))
         .when(slot == 3, F.lit(None).cast(MONEY))
@@ -150,7 +181,7 @@ def transactions(orders: DataFrame) -> DataFrame:
     return orders.select(
         email.alias("EmailAddress"),
         ttype.alias("TransactionType"),
-        money("o_totalprice").alias("Amount"),
+        (money("o_totalprice") + mills(key % 4)).cast(MONEY).alias("Amount"),
         fee.alias("TransactionFee"),
         plus_hours("o_orderdate", key % 24).alias("DateCreated"),
     )

@@ -22,8 +22,10 @@ def receipt_schema_with_corrupt() -> T.StructType:
     return T.StructType(RECEIPT.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
-def read_receipts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Batch-read receipt files (one pretty-printed object per file when ``multi_line``).
+def read_receipts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Batch-read receipt files: JSON lines, which split between tasks.
+
+    ``multi_line`` reads pretty-printed objects instead; each file is then one task.
 
     Spark refuses a query whose only column is ``_corrupt_record``; select
     it together with another column (or land the result first).
@@ -38,6 +40,10 @@ def read_receipts(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def parse_receipts(json_text: Column | str) -> Column:
-    """Parse a receipt held as JSON text in a column; the result is a struct."""
+    """Parse a receipt held as JSON text in a column; the result is a struct.
+
+    Its last field, ``_corrupt_record``, holds the text of a record that does
+    not parse as a whole; the fields that do parse are kept.
+    """
     c = F.col(json_text) if isinstance(json_text, str) else json_text
-    return F.from_json(c, RECEIPT, {"mode": "PERMISSIVE"})
+    return F.from_json(c, receipt_schema_with_corrupt(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})

@@ -8,13 +8,15 @@ those columns and pushes date and key predicates into Parquet.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.schemas import TABLE_NAMES, TABLE_SCHEMAS
+from ledgerscope.functions.money import exact
+from ledgerscope.schemas import MONEY, OPTIONAL_COLUMNS, TABLE_NAMES, TABLE_SCHEMAS
 
 
 @dataclass(frozen=True)
@@ -43,23 +45,51 @@ PARTITION_COLUMNS: dict[str, tuple[str, str]] = {
 }
 
 
+# They may also carry a bucket of their join key as a second partition column;
+# its name says how many buckets there are.
+_BUCKET = re.compile(r"key_bucket_of_(\d+)$")
+
+
+def bucket_column(df: DataFrame) -> str | None:
+    """The bucket partition column of a landed fact, if it has one."""
+    return next((c for c in df.columns if _BUCKET.fullmatch(c)), None)
+
+
+def bucket_of(key: Column, bucket: str) -> Column:
+    """The bucket of a key, as landing wrote it under the column named ``bucket``."""
+    return F.pmod(F.xxhash64(key), F.lit(int(_BUCKET.fullmatch(bucket)[1]))).cast("int")
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project ``df`` onto the declared schema of table ``name`` (cast by name).
 
     Columns the reports do not use are dropped; a missing optional column
-    (``BalanceDate``) is added as null.  Casting text money follows ANSI
-    rules: bad text raises instead of turning into null.
+    (``OPTIONAL_COLUMNS``) is added as null and any other missing column
+    raises.  Bad money text raises (ANSI rules), and so does money with more
+    decimals than the declared type keeps.
     """
     schema = TABLE_SCHEMAS[name]
     have = {c.lower(): c for c in df.columns}
+    types = dict(df.dtypes)
+    missing = [f.name for f in schema.fields if f.name.lower() not in have and f.name not in OPTIONAL_COLUMNS.get(name, ())]
+    if missing:
+        raise ValueError(f"table {name} has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
     cols = []
     for f in schema.fields:
         src = have.get(f.name.lower())
-        col = F.col(f"`{src}`") if src is not None else F.lit(None)
-        cols.append(col.cast(f.dataType).alias(f.name))
+        if src is None:
+            col = F.lit(None).cast(f.dataType)
+        elif f.dataType == MONEY:
+            col = exact(F.col(f"`{src}`"), types[src], f"{name}.{f.name}")
+        else:
+            col = F.col(f"`{src}`").cast(f.dataType)
+        cols.append(col.alias(f.name))
     part = PARTITION_COLUMNS.get(name)
-    if part is not None and part[1].lower() in have:
-        cols.append(F.col(have[part[1].lower()]).cast("date").alias(part[1]))
+    if part is not None:
+        if part[1].lower() in have:
+            cols.append(F.col(have[part[1].lower()]).cast("date").alias(part[1]))
+        if (bucket := bucket_column(df)) is not None:
+            cols.append(F.col(bucket).cast("int").alias(bucket))
     return df.select(*cols)
 
 
@@ -85,6 +115,9 @@ def read_catalog_tables(
     return Tables(**{t: conform(spark.table(names[t]), t) for t in TABLE_NAMES})
 
 
+JDBC_PARTITIONING = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def read_jdbc_tables(
     spark: SparkSession,
     url: str,
@@ -98,10 +131,14 @@ def read_jdbc_tables(
     ``partitioning`` gives, per table, the JDBC options ``partitionColumn``,
     ``lowerBound``, ``upperBound`` and ``numPartitions`` so that the large
     fact tables are read by many tasks in parallel instead of one.
-    Not exercised in the test suite: it needs a live database.
+    Every fact table must have them: without, one task would read it whole.
+    Reading is not exercised in the test suite: it needs a live database.
     """
     props = dict(properties or {})
     parts = dict(partitioning or {})
+    for t in PARTITION_COLUMNS:
+        if lacking := [o for o in JDBC_PARTITIONING if o not in parts.get(t, {})]:
+            raise ValueError(f"partitioning of {t} lacks {', '.join(lacking)}")
     dfs = {}
     for t in TABLE_NAMES:
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", dbtables[t])
@@ -125,17 +162,18 @@ SORT_KEYS: dict[str, str] = {
 }
 
 
-def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None:
+def write_tables(tables: Tables, root: str, mode: str = "errorifexists", buckets: int = 0) -> None:
     """Land the tables as Parquet under ``root`` using ``SORT_KEYS`` and ``PARTITION_COLUMNS``.
 
-    Facts are partitioned by month of their date (a bounded number of
-    directories at any scale) and sorted by their join key within each
-    partition, so a date window prunes whole directories and the key
-    columns carry tight row-group statistics.
-    Range partitioning on (month, key, timestamp, row hash) spreads one
-    month, and even one hot key inside it, over many writer tasks: the last
-    range key is a deterministic hash of the whole row, so rows sharing a
-    key are still split between tasks.  Files stay sorted by the key.
+    Facts are partitioned by month of their date and, with ``buckets``, by a
+    hash bucket of their join key (``month x buckets`` directories at any
+    scale), and sorted by that key: a date window prunes months, a report of
+    one person prunes the buckets of everyone else.  Choose ``buckets`` so
+    that a directory holds at least a file's worth of rows.
+    Range partitioning on (month, bucket, key, timestamp, row hash) spreads
+    one month, and even one hot key inside it, over many writer tasks: the
+    last range key is a deterministic hash of the whole row, so rows sharing
+    a key are still split between tasks.  Files stay sorted by the key.
     """
     for name, df in tables.as_dict().items():
         sort_key = SORT_KEYS[name]
@@ -144,11 +182,20 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None
         part = PARTITION_COLUMNS.get(name)
         if part is not None:
             date_col, part_col = part
-            landed = df.withColumn(part_col, F.trunc(F.col(date_col).cast("date"), "month"))
-            landed = landed.repartitionByRange(part_col, sort_key, date_col, spread).sortWithinPartitions(
-                part_col, sort_key, date_col
-            )
-            landed.write.mode(mode).partitionBy(part_col).parquet(out)
+            old = bucket_column(df)
+            landed = (df.drop(old) if old else df).withColumn(part_col, F.trunc(F.col(date_col).cast("date"), "month"))
+            by = [part_col]
+            if buckets:
+                by.append(f"key_bucket_of_{buckets}")
+                landed = landed.withColumn(by[1], bucket_of(F.col(sort_key), by[1]))
+            landed = landed.repartitionByRange(*by, sort_key, date_col, spread).sortWithinPartitions(*by, sort_key, date_col)
+            landed.write.mode(mode).partitionBy(*by).parquet(out)
         else:
             landed = df.repartitionByRange(sort_key, spread).sortWithinPartitions(sort_key)
             landed.write.mode(mode).parquet(out)
+
+
+def stored_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the files under ``paths`` (file listing only; contents are not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.agg(F.sum("length")).first()[0] or 0

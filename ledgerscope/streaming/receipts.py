@@ -18,15 +18,21 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerscope.sources.receipts import CORRUPT, receipt_schema_with_corrupt
 
 
-def receipt_stream(spark: SparkSession, source_dir: str, multi_line: bool = True, max_files: int = 1000) -> DataFrame:
-    """A streaming DataFrame of receipts, with the source file name and ingest time."""
-    return (
+def receipt_stream(spark: SparkSession, source_dir: str, multi_line: bool = False, max_files: int | None = None) -> DataFrame:
+    """A streaming DataFrame of receipts, with the source file name and ingest time.
+
+    ``max_files`` bounds the files of one batch (default: all that are there).
+    """
+    reader = (
         spark.readStream.schema(receipt_schema_with_corrupt())
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", max_files)
-        .json(source_dir)
+    )
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return (
+        reader.json(source_dir)
         .withColumn("_source_file", F.col("_metadata.file_path"))
         .withColumn("_ingested_at", F.current_timestamp())
     )
@@ -38,11 +44,12 @@ def ingest_receipts(
     target_dir: str,
     checkpoint_dir: str,
     available_now: bool = True,
-    multi_line: bool = True,
+    multi_line: bool = False,
+    max_files: int | None = None,
 ) -> StreamingQuery:
     """Start appending new receipt files from ``source_dir`` to Parquet at ``target_dir``."""
     writer = (
-        receipt_stream(spark, source_dir, multi_line)
+        receipt_stream(spark, source_dir, multi_line, max_files)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint_dir)
         .outputMode("append")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
 from conftest import SF_SMALL
 
 from ledgerscope.__main__ import main
+from ledgerscope.sources.fixture import fixture_tables
+from ledgerscope.sources.tables import read_parquet_tables, stored_bytes, write_tables
 
 
 def test_cli_end_to_end(spark):
@@ -37,3 +40,41 @@ def test_cli_end_to_end(spark):
     dev = os.path.join(base, "dev")
     assert main(["assignment-summary", "--tables", tables, "--code", "SAL-0003", "--as-of", "1997-06-30", "--out", dev]) == 0
     assert spark.read.parquet(dev).count() == 2
+
+
+def test_cli_defaults_and_usage(spark, capsys):
+    base = tempfile.mkdtemp(prefix="ledgerscope-cli-")
+    tables = os.path.join(base, "tables")
+    assert main(["land-fixture", "--sf-dir", SF_SMALL, "--out", tables]) == 0
+    report = ["assignment-summary", "--tables", tables, "--code", "SAL-0003"]
+    runs = {
+        "full": ["--start", "1995-01-01", "--end", "2001-12-31"],
+        "no-end": ["--start", "1995-01-01"],
+        "no-start": ["--end", "2001-12-31", "--credit-start", "1995-01-01"],
+        "credit-only": ["--credit-start", "1995-01-01"],
+    }
+    flows = {}
+    for name, args in runs.items():
+        out = os.path.join(base, name)
+        assert main([*report, *args, "--out", out]) == 0
+        flows[name] = sorted((r.email, r.totaloutflow, r.totalinflow) for r in spark.read.parquet(out).collect())
+    assert all(f == flows["full"] for f in flows.values()) and any(r[1] > 0 for r in flows["full"])
+    for bad in ([*report, "--start", "1997-01-01"], [*report, "--historic", "--out", "x"], [*report, "--historic", "--end", "1997-01-01", "--out", "x"],
+                ["sales-person-summary", "--tables", tables, "--out", "x"], ["sales-person-summary", "--tables", tables, "--start", "1997-01-01", "--out", "x"]):
+        with pytest.raises(SystemExit) as e:
+            main(bad)
+        assert e.value.code == 2
+    assert main([*report, *runs["full"], "--preview", "1"]) == 0
+    assert "preview: at most 1 rows" in capsys.readouterr().out
+
+
+def test_land_copies_into_buckets(spark):
+    base = tempfile.mkdtemp(prefix="ledgerscope-land-")
+    first, second = os.path.join(base, "a"), os.path.join(base, "b")
+    small = fixture_tables(spark, SF_SMALL)
+    small = small.replace(transactions=small.transactions.limit(40), post_credit_transactions=small.post_credit_transactions.limit(40))
+    write_tables(small, first)
+    assert main(["land", "--tables", first, "--out", second, "--buckets", "4"]) == 0
+    copy = read_parquet_tables(spark, second)
+    assert copy.transactions.count() == 40 and "key_bucket_of_4" in copy.transactions.columns
+    assert stored_bytes(spark, [os.path.join(second, "transactions")]) > 0

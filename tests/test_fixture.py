@@ -35,6 +35,6 @@ def test_fixture_table_matches_sql(spark, name):
 def test_fixture_counts_match_fixtures_md(spark):
     t = fixture_tables(spark, SF_SMALL)
     counts = {n: df.count() for n, df in t.as_dict().items()}
-    assert counts["sales_assigned_accounts"] == 116 and counts["accounts"] == 190
+    assert counts["sales_assigned_accounts"] == 139 and counts["accounts"] == 190
     assert counts["transactions"] == 1500 and counts["post_credit_transactions"] == 6000
     assert counts["daily_balances"] == 161

@@ -1,4 +1,4 @@
-"""Small helpers: replication, bounded counts, windows, revenue rules, casts."""
+"""Small helpers: replication, windows, revenue rules, casts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.dates import OMITTED, DateWindow, default_window
 from ledgerscope.functions.money import as_money
 from ledgerscope.functions.revenue import revenue
-from ledgerscope.operators.sizing import bounded, worth_pruning
 from ledgerscope.operators.stages import replicate
 
 
@@ -21,33 +20,6 @@ def test_replicate_counts(spark):
     assert out == {"a": 3, "b": 1, "c": 1, "d": 10001}
 
 
-def test_bounded(spark):
-    df = spark.range(10)
-    assert bounded(df, 10) and not bounded(df, 9)
-
-
-def test_prune_threshold(spark):
-    small = spark.range(10)
-    assert not worth_pruning(small)
-    spark.conf.set("ledgerscope.prune.minFactBytes", "1")
-    try:
-        assert worth_pruning(small)
-    finally:
-        spark.conf.unset("ledgerscope.prune.minFactBytes")
-
-
-def test_key_set_over_bound_leaves_tables_whole(spark, make_tables):
-    from ledgerscope.operators.scope import scope_to_assignments
-
-    t = make_tables(sales_assigned_accounts=[("P", "A", f"e{i}", "n", "p", "Customer") for i in range(5)])
-    spark.conf.set("ledgerscope.broadcast.maxRows", "3")
-    try:
-        scoped, small = scope_to_assignments(t, t.sales_assigned_accounts)
-    finally:
-        spark.conf.unset("ledgerscope.broadcast.maxRows")
-    assert small is False and scoped is t
-
-
 def test_default_window(spark):
     tx = spark.createDataFrame(
         [(dt.datetime(1996, 3, 4, 15, 0),), (dt.datetime(1997, 1, 1),)], "DateCreated timestamp_ntz"
@@ -81,9 +53,9 @@ def test_money_text_cast_strict_and_lenient(spark):
 def test_scale_settings():
     from ledgerscope.config import scale_settings
 
-    # 100 TB on 8,000 cores: capped at 100,000 initial partitions of ~128 MB
+    # 100 TB on 8,000 cores: one initial partition per 128 MB
     big = scale_settings(100 * 1024**4, 8000)
-    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.shuffle.partitions"] == str(100 * 1024**4 // (128 << 20))
     # 10 GB on 64 cores: 80 partitions of 128 MB, at least two waves (128)
     mid = scale_settings(10 * 1024**3, 64)
     assert mid["spark.sql.shuffle.partitions"] == "128"

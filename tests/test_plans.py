@@ -7,7 +7,7 @@ import io
 import tempfile
 
 import pytest
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 from ledgerscope.functions.dates import DateWindow
 from ledgerscope.operators import stages as S
@@ -49,7 +49,7 @@ def test_resolved_accounts_is_an_equi_join(spark, no_broadcast):
 
 
 def test_reports_have_no_nested_loop_or_cartesian(spark, no_broadcast, landed):
-    for df in (sales_person_rows(landed, YEAR), assignment_rows(landed, "SAL-0003", YEAR, prune=False)):
+    for df in (sales_person_rows(landed, YEAR), assignment_rows(landed, "SAL-0003", YEAR)):
         p = plan(df)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
@@ -79,18 +79,12 @@ def test_large_email_set_filters_after_partial_aggregation(landed):
     assert "partial_sum" in p
 
 
-def test_small_email_set_is_broadcast_into_the_scan(landed):
-    emails = S.assigned_accounts(landed.sales_assigned_accounts, "SAL-0003")
-    p = plan(S.transactions_breakdown(landed.transactions, YEAR, "flat", emails=emails, emails_small=True))
-    assert "BroadcastHashJoin LeftSemi" in p
-
-
 def test_sales_person_summary_never_replicates_rows(landed):
     # repeated balance rows are weights, not generated rows (the only Generate
     # is the account-owner inline, at most two rows per account)
     p = plan(sales_person_rows(landed, YEAR))
     assert "sequence(" not in p
-    assert "sequence(" in plan(assignment_rows(landed, "SAL-0003", YEAR, prune=False))
+    assert "sequence(" in plan(assignment_rows(landed, "SAL-0003", YEAR))
 
 
 def test_person_filter_pushed_to_scan(landed):
@@ -98,27 +92,61 @@ def test_person_filter_pushed_to_scan(landed):
     assert "EqualTo(SalesPersonCode,SAL-0003)" in p
 
 
-def test_pruned_report_reads_checkpointed_key_sets(spark, landed):
-    p = plan(assignment_rows(landed, "SAL-0003", YEAR, prune=True))
-    assert "Scan ExistingRDD" in p  # checkpointed key sets, not re-derived chains
-    assert "BroadcastHashJoin LeftSemi" in p
+@pytest.fixture(scope="module")
+def bucketed(spark):
+    """One year of facts, landed by month and key bucket."""
+    t = fixture_tables(spark, SF_MID)
+    year = {
+        "transactions": S.in_window(t.transactions, "DateCreated", YEAR),
+        "post_credit_transactions": S.in_window(t.post_credit_transactions, "RequestDate", YEAR).limit(2000),
+    }
+    root = tempfile.mkdtemp(prefix="ledgerscope-buckets-")
+    write_tables(t.replace(**year), root, buckets=128)
+    return read_parquet_tables(spark, root)
+
+
+def test_one_person_prunes_buckets_of_both_facts(bucketed):
+    p = plan(assignment_rows(bucketed, "SAL-0003", YEAR))
+    facts = [b for b in p.split("\n\n") if "Scan parquet" in b and "transactions]" in b]
+    assert len(facts) == 2
+    assert all("dynamicpruning" in b and "key_bucket_of_128" in b for b in facts)
 
 
-def test_pruned_report_pushes_person_keys_into_fact_scans(spark, landed):
-    p = plan(assignment_rows(landed, "SAL-0003", YEAR, prune=True))
-    tx_scan = [blk for blk in p.split("\n\n") if "transactions]" in blk and "Scan parquet" in blk]
-    cr_scan = [blk for blk in p.split("\n\n") if "post_credit_transactions]" in blk and "Scan parquet" in blk]
-    assert tx_scan and ("In(EmailAddress" in tx_scan[0] or "GreaterThanOrEqual(EmailAddress" in tx_scan[0])
-    assert cr_scan and any(f"{op}(BeneficiaryAccountNumber" in cr_scan[0] for op in ("In", "GreaterThanOrEqual"))
+def test_one_person_reads_a_small_share_of_the_facts(spark, bucketed):
+    code = S.assigned_accounts(bucketed.sales_assigned_accounts, "SAL-0003")
+    some = code.where("Email is not null").limit(5)  # few keys, as a person among millions has
+    keys = S.with_keys(bucketed.transactions, "EmailAddress", some.select("Email"))
+    rows = keys.collect()
+    want = {r["Email"] for r in some.collect()}
+    everything = bucketed.transactions.collect()
+    assert sorted(map(str, rows)) == sorted(str(r) for r in everything if r["EmailAddress"] in want)
+    buckets = {r["key_bucket_of_128"] for r in rows}
+    in_buckets = sum(r["key_bucket_of_128"] in buckets for r in everything)
+    assert in_buckets < 0.1 * len(everything)  # all that the pruned scan opens
+
+
+def test_building_the_report_runs_no_job(spark, landed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "plan building")
+    try:
+        assignment_rows(landed, "SAL-0003", YEAR)
+        assert not tracker.getJobIdsForGroup("build-only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sales_person_summary_scans_assignments_once(landed, no_broadcast):
+    p = plan(sales_person_rows(landed, YEAR))
+    assert sum("Scan parquet" in b and "sales_assigned_accounts]" in b for b in p.split("\n\n")) == 1
 
 
-@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").queries()))
+@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__")._QUERIES))
 def test_no_query_uses_pairs_or_python(spark, no_broadcast, name):
     # Every registered query: no Cartesian product or nested-loop join (pairs),
     # no Python UDF evaluation (everything stays in the JVM).
     import __spark_entry__ as E
 
-    p = plan(E.queries()[name](spark, SF_SMALL))
+    p = plan(E._QUERIES[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in p, f"{name} plans {bad}"
 

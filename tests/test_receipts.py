@@ -45,8 +45,8 @@ def write_files(root: str, start: int, n: int, bad: bool = False) -> None:
 def test_batch_read_keeps_declared_types(spark):
     root = tempfile.mkdtemp(prefix="receipts-")
     write_files(root, 0, 3, bad=True)
-    df = read_receipts(spark, root)
-    assert dict(df.dtypes)["Amount"] == "decimal(18,2)"
+    df = read_receipts(spark, root, multi_line=True)
+    assert dict(df.dtypes)["Amount"] == "decimal(20,6)"
     assert dict(df.dtypes)["ExchangeRateMultiplier"] == "decimal(18,6)"
     assert dict(df.dtypes)["FirstName"] == "string"
     good = df.where(F.col(CORRUPT).isNull()).orderBy("NameEnquiryId").collect()
@@ -59,20 +59,38 @@ def test_batch_read_keeps_declared_types(spark):
 
 def test_parse_json_column(spark):
     df = spark.createDataFrame([(json.dumps(receipt(7)),), ("not json",)], "body string")
-    rows = df.select(parse_receipts("body").alias("r")).select("r.Reference", "r.Charges").collect()
-    assert rows[0].Reference == "reference-7" and rows[0].Charges == Decimal("19.50")
-    assert rows[1].Reference is None
+    rows = df.select(parse_receipts("body").alias("r")).select("r.Reference", "r.Charges", f"r.{CORRUPT}").collect()
+    assert rows[0].Reference == "reference-7" and rows[0].Charges == Decimal("19.50") and rows[0][CORRUPT] is None
+    assert rows[1].Reference is None and rows[1][CORRUPT] == "not json"
+
+
+def test_bad_field_and_wide_decimals_stay_visible(spark):
+    df = spark.createDataFrame([('{"Reference": "a", "Amount": "much"}',), ('{"Reference": "b", "Amount": 5000.005}',)], "body string")
+    rows = {r.Reference: r for r in df.select(parse_receipts("body").alias("r")).select("r.*").collect()}
+    assert rows["a"].Amount is None and "much" in rows["a"][CORRUPT]
+    assert rows["b"].Amount == Decimal("5000.005") and rows["b"][CORRUPT] is None
+
+
+def test_json_lines_are_the_default(spark):
+    root = tempfile.mkdtemp(prefix="receipt-lines-")
+    with open(os.path.join(root, "a.json"), "w") as fh:
+        fh.writelines(json.dumps(receipt(i)) + "\n" for i in range(5))
+        fh.write("broken\n")
+    df = read_receipts(spark, root).cache()
+    assert df.where(F.col(CORRUPT).isNull()).count() == 5
+    assert df.where(F.col(CORRUPT) == "broken").count() == 1
+    df.unpersist()
 
 
 def test_stream_ingest_is_incremental(spark):
     base = tempfile.mkdtemp(prefix="receipt-stream-")
     src, out, ckpt = (os.path.join(base, d) for d in ("in", "out", "ckpt"))
     write_files(src, 0, 2)
-    ingest_receipts(spark, src, out, ckpt).awaitTermination(120)
+    ingest_receipts(spark, src, out, ckpt, multi_line=True, max_files=2).awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
     write_files(src, 2, 3)
-    ingest_receipts(spark, src, out, ckpt).awaitTermination(120)
+    ingest_receipts(spark, src, out, ckpt, multi_line=True, max_files=2).awaitTermination(120)
     landed = spark.read.parquet(out)
     assert landed.count() == 5
     assert landed.select("Reference").distinct().count() == 5
-    assert dict(landed.dtypes)["Amount"] == "decimal(18,2)"
+    assert dict(landed.dtypes)["Amount"] == "decimal(20,6)"

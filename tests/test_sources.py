@@ -9,7 +9,7 @@ from decimal import Decimal
 
 import pytest
 
-from ledgerscope.sources.tables import conform, read_parquet_tables, write_tables
+from ledgerscope.sources.tables import conform, read_jdbc_tables, read_parquet_tables, write_tables
 
 
 def test_conform_casts_text_money_strictly(spark):
@@ -26,6 +26,24 @@ def test_conform_casts_text_money_strictly(spark):
         conform(bad, "transactions").collect()
 
 
+def test_conform_refuses_missing_columns_and_lost_decimals(spark):
+    df = spark.createDataFrame([("e1", "Outflow", "1.0000001")], "EmailAddress string, TransactionType string, Amt string")
+    with pytest.raises(ValueError, match="transactions has no column Amount, TransactionFee, DateCreated"):
+        conform(df, "transactions")
+    fine = "Beneficiary string, BeneficiaryAccountNumber string, Amount {}, RequestDate timestamp_ntz"
+    for kind, value in (("string", "1.0000001"), ("decimal(20,8)", Decimal("1.00000010"))):
+        bad = spark.createDataFrame([("x", "A1", value, None)], fine.format(kind))
+        with pytest.raises(Exception, match="more than 6 decimals"):
+            conform(bad, "post_credit_transactions").collect()
+    good = spark.createDataFrame([("x", "A1", Decimal("1.00100000"), None)], fine.format("decimal(20,8)"))
+    assert conform(good, "post_credit_transactions").first().Amount == Decimal("1.001")
+
+
+def test_jdbc_facts_must_be_partitioned(spark):
+    with pytest.raises(ValueError, match="partitioning of transactions lacks"):
+        read_jdbc_tables(spark, "jdbc:none", {})
+
+
 def test_conform_adds_missing_optional_column(spark):
     df = spark.createDataFrame([("e1", "Customer", Decimal("1.00"), Decimal("2.00"))],
                                "UserName string, AccountHolder string, TotalLedgerBalance decimal(10,2), TotalAvailableBalance decimal(10,2)")

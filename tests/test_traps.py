@@ -10,8 +10,10 @@ from decimal import Decimal
 
 from conftest import D, ts
 
+from pyspark.sql import functions as F
+
 from ledgerscope.operators import stages as S
-from ledgerscope.plans.assignment import assignment_summary
+from ledgerscope.plans.assignment import assignment_rows, assignment_summary
 from ledgerscope.plans.salesperson import sales_person_summary
 
 YEAR = ("1997-01-01", "1997-12-31")
@@ -223,9 +225,8 @@ def test_t13_one_email_pools_inflow(make_tables):
         accounts=[("A1", "c1", None), ("B1", None, "b1")],
         post_credit_transactions=[("A1", D(100), ts("1997-03-01 00:00:00")), ("B1", D(50), ts("1997-03-02 00:00:00"))],
     )
-    for prune in (True, False):
-        rows = assignment_summary(t, "P", YEAR, prune=prune).collect()
-        assert [r.totalinflow for r in rows] == [Decimal("150.00")] * 2
+    rows = assignment_summary(t, "P", YEAR).collect()
+    assert [r.totalinflow for r in rows] == [Decimal("150.00")] * 2
 
 
 def test_t14_duplicate_user_name_doubles_inflow(make_tables):
@@ -289,23 +290,33 @@ def test_hot_pair_is_weighted_not_materialised(make_tables):
     assert r.totaloutflow == Decimal("900000.00")  # 0.01 x 9e7 joined rows
 
 
-def test_pruning_fallbacks_give_the_same_rows(spark, make_tables):
-    # P: 2 assignments, owner c1 with 5 accounts. Each bound below fails at a
-    # different step (assignments, owners, account numbers); results never change.
+def test_hot_and_null_emails_are_split(spark, make_tables):
+    # A third of the rows share one e-mail, a third have none: no join task gets a whole group.
+    n = 6000
+    emails = ["hot"] * (n // 3) + [None] * (n // 3) + [f"e{i}" for i in range(n // 3)]
     t = make_tables(
-        sales_assigned_accounts=[saa("P", "Ann", "e1", "Customer"), saa("P", "Ann", "e2", "Customer")],
-        customers=[("c1", "e1"), ("c2", "e2")],
-        accounts=[(f"A{i}", "c1", None) for i in range(5)] + [("B0", "c2", None)],
-        post_credit_transactions=[(f"A{i}", D(10 + i), ts("1997-03-01 00:00:00")) for i in range(5)],
-        transactions=[("e1", "Outflow", D(5), D("10.75"), ts("1997-05-01 00:00:00"))],
-        daily_balances=[("e1", "Customer", D(7), D(6))],
+        sales_assigned_accounts=[saa("P", "Ann", e, "Customer", name=f"n{i}") for i, e in enumerate(emails)],
+        transactions=[("hot", "Outflow", D("2"), D("1"), ts("1997-05-01 00:00:00"))],
+    )
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = assignment_rows(t, "P", YEAR)
+        assert rows.count() == n
+        assert rows.where("email = 'hot' and totaloutflow = 2").count() == n // 3
+        assert rows.where("email is null and totaloutflow = 0").count() == n // 3
+        parts = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.when(F.col("email") == "hot", 1).otherwise(0)).alias("n")).collect()]
+        assert max(parts) < n // 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_money_is_summed_unrounded(make_tables):
+    day = ts("1997-05-01 00:00:00")
+    t = make_tables(
+        sales_assigned_accounts=[saa("P", "Ann", "e1", "Customer")],
+        transactions=[("e1", "Outflow", D("1.004"), D("10.754"), day)] * 3,
     )
-    want = sorted(tuple(r) for r in assignment_summary(t, "P", YEAR, prune=False).collect())
-    for bound in ("1", "2", "4", "100"):
-        spark.conf.set("ledgerscope.broadcast.maxRows", bound)
-        try:
-            got = sorted(tuple(r) for r in assignment_summary(t, "P", YEAR, prune=True).collect())
-        finally:
-            spark.conf.unset("ledgerscope.broadcast.maxRows")
-        assert got == want, bound
-    assert dict((r[0], r[5]) for r in want)["e1"] == Decimal("60.00")  # 10+11+12+13+14
+    r1, r2 = assignment_summary(t, "P", YEAR).first(), sales_person_summary(t, YEAR).first()
+    for r in (r1, r2):  # 10.754 is not the 10.75 tier
+        assert (r.totaloutflow, r.totalfees, r.totalrevenue) == (Decimal("3.012"), Decimal("32.262"), Decimal("30.00366"))
