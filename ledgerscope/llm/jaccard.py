@@ -20,10 +20,11 @@ bounded hash sample of documents; they decide the order, never the result.
 
 Join.  Words are dealt by key to tasks.  A group of at most ``small_group``
 documents gives all its pairs; of a larger one every member is paired with
-the least, and the group is kept aside.  Candidates are verified on the
-texts.  Aside groups whose members then are in more than one component are
-compared further, leaving out pairs that the triangle inequality of the
-Jaccard distance rules out; no link is lost and no cap applies.  Equal sets
+the least, and the group is kept aside.  Candidates whose parity bit sketches
+are too far apart (the Hamming distance is a lower bound too) are left out, the
+others are verified on the texts.  Aside groups whose members then are in more
+than one component are compared further in the same way; no link is lost and
+no cap applies.  Equal sets
 inside a map task are collapsed before anything is shuffled.
 
 Defined cases: null or empty texts and texts without words have no shingle
@@ -34,10 +35,12 @@ rows that repeat a document id are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import hash_sample, id_and_text, map_batches
@@ -47,6 +50,7 @@ from ledgerscope.llm.hashing import U, materialise, mix, shingle_hashes, slices,
 SLICE = 2_000_000  # bytes of text handled at once
 PARTS_PER_SHINGLE = 0.6
 LEAST_PARTS = 16
+SKETCH_WORDS = 16  # words of the bit sketch
 MAX_IDS = 1_000_000  # candidate documents whose ids are broadcast (8 MB); more are joined by shuffle
 
 
@@ -238,11 +242,50 @@ def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with one of the ids (one column)."""
+    ids = ids.toDF("doc_id").distinct()
+    small = ids.count() <= MAX_IDS
+    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """``doc``, its set's size ``n``, and its parity bit sketch in ``w0`` to ``w{SKETCH_WORDS-1}``.
+
+    Each shingle flips one of 64 * ``SKETCH_WORDS`` bits, so the Hamming distance
+    of two sketches is at most the symmetric difference of the sets.
+    """
+
+    def batch(cols):
+        out: dict[str, list] = {"doc": cols["doc_id"], "n": []} | {f"w{k}": [] for k in range(SKETCH_WORDS)}
+        for s in sets_of(cols["text"]):
+            bits = np.bincount((mix(s) >> U(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+            out["n"].append(len(s))
+            for k, w in enumerate(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()):
+                out[f"w{k}"].append(w)
+        return out
+
+    schema = "doc long, n long, " + ", ".join(f"w{k} long" for k in range(SKETCH_WORDS))
+    return map_batches(texts, batch, schema, binary=("text",)).dropDuplicates(["doc"])
+
+
+def alike(x: str, y: str) -> Column:
+    """Whether sizes and sketches of the rows aliased ``x`` and ``y`` allow a link: at most a seventh of both sets differs."""
+    hamming = reduce(add, (F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(SKETCH_WORDS)))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (3 * F.greatest(n, m) <= 4 * F.least(n, m)) & (7 * hamming <= n + m)
+
+
+def near(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sketches allow a link."""
+    x, y = sketch.alias("x"), sketch.alias("y")
+    first = pairs.join(x, F.col("a") == F.col("x.doc"))
+    return first.join(y, (F.col("b") == F.col("y.doc")) & alike("x", "y")).select("a", "b")
+
+
 def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, na, nb, inter`` of each pair of document ids, from the texts of these documents only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    small = ids.count() <= MAX_IDS
-    wanted = texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    wanted = _only(texts, pairs.select("a").union(pairs.select("b"))).groupBy("doc_id").agg(F.min("text").alias("text"))
     left = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -275,29 +318,25 @@ def links(texts: DataFrame, small_group: int = 12, sample_docs: int = 4000) -> t
     """Verified links ``a, b`` that connect all linked documents, and their components."""
     found = materialise(candidates(texts, small_group, sample_docs), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    measured = materialise(similarity(pairs, texts), "similarity")
-    edges = measured.where(LINKED).select("a", "b").union(found.where("kind = 2").select("a", "b"))
+    members = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc")).distinct()
+    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("doc"))
+    sketch = materialise(sketches(_only(texts, wanted)), "sketches")
+    close = materialise(near(pairs, sketch), "near")
+    edges = similarity(close, texts).where(LINKED).select("a", "b").union(found.where("kind = 2").select("a", "b"))
+    edges = materialise(edges, "links")
     nodes = materialise(components(edges), "components")
 
-    # Large groups that one star has not joined: compare the rest, except what the distances rule out.
-    members = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc")).distinct()
-    if members.limit(1).count() == 0:
-        return edges, nodes
+    # Large groups that one star has not joined: compare the rest, as far as the sketches allow a link.
     placed = members.join(nodes, members["doc"] == nodes["node"], "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
-    center = members.groupBy("grp").agg(F.min("doc").alias("center"))
-    open_ = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp").join(center, "grp")
-    rest = placed.join(open_, "grp")
-    distance = measured.select(F.col("a").alias("center"), F.col("b").alias("doc"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("far"))
-    rest = rest.join(distance, ["center", "doc"], "left")
-    # A member without a measured distance is the center itself, or too different in size to link with it.
-    rest = materialise(rest.select("grp", "doc", "comp", F.when(F.col("doc") == F.col("center"), 0.0).otherwise(F.col("far")).alias("far")), "rest")
+    open_ = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
+    rest = materialise(placed.join(open_, "grp", "left_semi"), "rest")
     if rest.limit(1).count() == 0:
         return edges, nodes
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.doc") < F.col("y.doc"))
-    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 0.25 + 1e-9, F.lit(True))
-    more = x.join(y, (F.col("x.grp") == F.col("y.grp")) & apart & near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    more = materialise(more.join(measured, ["a", "b"], "left_anti"), "rest-pairs")
+    own = rest.join(sketch, "doc")
+    x, y = own.alias("x"), own.alias("y")
+    apart = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.doc") < F.col("y.doc"))
+    more = x.join(y, apart & alike("x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    more = materialise(more.join(close, ["a", "b"], "left_anti"), "rest-pairs")
     late = similarity(more, texts).where(LINKED).select("a", "b")
     edges = materialise(edges.union(late), "links")
     return edges, materialise(components(edges), "components")
