@@ -18,9 +18,10 @@ run, as only equality of groups matters.
    repeated as a whole.
 3. Third digit, only where the runs of one gram differ (the borders of
    repeated passages): the full ``length`` bytes, string by string, for one
-   representative of each distinct run.
+   representative of each distinct run.  The representatives of a gram meet
+   in one task, as at most 2 * ``length`` bytes each.
 
-No group is gathered anywhere: counts are aggregated before the shuffle and
+Elsewhere no group is gathered: counts are aggregated before the shuffle and
 joined back, and AQE splits what a hot gram makes large.
 
 Defined cases: null and empty texts, and texts shorter than ``length``, lose
@@ -38,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import id_and_text, map_batches
-from ledgerscope.llm.hashing import Spans, U, materialise, slices
+from ledgerscope.llm.hashing import Spans, U, materialise, mix, slices
 
 GRAM = 64
 SLICE = 2_000_000  # bytes of text handled at once
+MAX_IDS = 1_000_000  # node ids that are broadcast (8 MB); more are joined by shuffle
 _PLACE = U((1 << 28) - 1)  # low bits of a key that hold the place in the slice
 
 
@@ -103,26 +105,63 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(batches, RUNS)
 
 
-def _strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The strings of the wanted runs one by one: ``gram, off, string, node, start, single``."""
+BORDERS = "gram long, off int, node long, lo long, single boolean, data binary"
+
+
+def only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of the given nodes (one column)."""
+    nodes = nodes.distinct()
+    return texts.join(F.broadcast(nodes) if nodes.count() <= MAX_IDS else nodes, "node", "left_semi")
+
+
+def _borders(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes of the wanted runs, and the offset of the gram in their first string."""
     lists = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "place", "single")).alias("runs"))  # at most one text's runs
-    joined = texts.groupBy("node").agg(F.min("text").alias("text")).join(lists, "node").select("node", "text", F.col("runs.gram").alias("grams"), F.col("runs.place").alias("places"), F.col("runs.single").alias("singles"))
+    joined = only(texts, wanted.select("node")).dropDuplicates(["node"]).join(lists, "node")
+    joined = joined.select("node", "text", F.col("runs.gram").alias("grams"), F.col("runs.place").alias("places"), F.col("runs.single").alias("singles"))
 
-    def batches(it):
-        for b in it:
-            for node, text, grams, places, singles in zip(*(c.to_pylist() for c in (b.column(0), b.column(1).cast(pa.binary()), *b.columns[2:])), strict=True):
-                strings = Spans(np.frombuffer(text, np.uint8)).fixed(length).view(np.int64)
-                place = np.array(places, np.int64)
+    def batch(cols):
+        rows = []
+        for node, text, grams, places, singles in zip(cols["node"], cols["text"], cols["grams"], cols["places"], cols["singles"], strict=True):
+            for gram, place, single in zip(grams, places, singles, strict=True):
                 lo, count, off = place >> 16, (place >> 8) & 255, place & 255
-                k = np.repeat(np.arange(len(place)), count)
-                step = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-                at = lo[k] + step
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(grams, np.int64)[k]), pa.array((off[k] - step).astype(np.int32)), pa.array(strings[at]), pa.array(np.full(len(k), node, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.array(singles, bool)[k])],
-                    names=["gram", "off", "string", "node", "start", "single"],
-                )
-
-    return joined.mapInArrow(batches, "gram long, off int, string long, node long, start int, single boolean")
+                rows.append((gram, off, node, lo, single, text[lo : lo + count - 1 + length]))
+        names = ("gram", "off", "node", "lo", "single", "data")
+        return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
+
+    return map_batches(joined, batch, BORDERS, binary=("text",))
+
+
+def _equal_strings(borders: DataFrame, length: int) -> DataFrame:
+    """``node, lo, hi`` of single runs' strings that another run of the same gram has at the same offset."""
+
+    def run(batches):
+        gram, off, node, lo, single, data = ([] for _ in range(6))
+        for b in batches:
+            for column, values in zip((gram, off, node, lo, single, data), b.columns, strict=True):
+                column += values.to_pylist()
+        if not data:
+            return
+        buffer, starts = _buffer(data)
+        count = np.diff(starts) - length + 1  # strings of each run
+        k = np.repeat(np.arange(len(data)), count)
+        step = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+        strings = Spans(buffer).fixed(length)[starts[k] + step]
+        key = mix(strings ^ mix(np.array(gram, np.int64).view(U)[k] + (np.array(off)[k] - step).astype(U)))
+        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero((size[group] > 1) & np.array(single)[k])
+        if not len(hit):
+            return
+        # Neighbouring strings of a run become one span.
+        new = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (k[hit[1:]] != k[hit[:-1]]))))
+        first, last = hit[new], hit[np.concatenate((new[1:], [len(hit)])) - 1]
+        begin = np.array(lo, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(node, np.int64)[k[first]]), pa.array(begin[k[first]] + step[first]), pa.array(begin[k[last]] + step[last] + length)], names=["node", "lo", "hi"]
+        )
+
+    parts = int(borders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return borders.repartition(parts, "gram").mapInArrow(run, "node long, lo long, hi long")
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -138,11 +177,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     mixed = by_run.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     wanted = by_run.join(mixed, "gram", "left_semi").select("gram", "first.node", "first.place", (F.col("n") == 1).alias("single"))
-    strings = materialise(_strings(texts, wanted, length), "strings")
-    key = ["gram", "off", "string"]
-    twice = strings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    parts = strings.where("single").join(twice, key, "left_semi")
-    return whole.union(parts.select("node", F.col("start").cast("long").alias("lo"), (F.col("start") + length).cast("long").alias("hi")))
+    return whole.union(_equal_strings(_borders(texts, wanted, length), length))
 
 
 def covered(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -160,8 +195,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """One row per document: ``n_bytes, n_removed, n_spans, kept_sha256`` and the kept bytes' ``spans`` removed."""
     texts = id_and_text(docs, id_col, text_col).withColumn("node", F.coalesce("doc_id", F.xxhash64("text"))).select("doc_id", "node", "text")
     marks = repeated_spans(texts.select("node", "text"), length)
-    marks = marks.distinct().groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # at most one text's strings
-    joined = texts.join(marks, "node", "left").select("doc_id", "text", F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
+    marks = materialise(marks.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")  # at most one text's strings
+    ids = marks.select("node")
+    if ids.count() <= MAX_IDS:  # texts without marks need no shuffle
+        rest = texts.join(F.broadcast(ids), "node", "left_anti").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
+        joined = only(texts, ids).join(marks, "node").unionByName(rest)
+    else:
+        joined = texts.join(marks, "node", "left")
+    joined = joined.select("doc_id", "text", F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
 
     def batch(cols):
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
