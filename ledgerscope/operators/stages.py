@@ -71,9 +71,9 @@ def with_keys(fact: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
     wanted = keys.toDF(key_col).where(F.col(key_col).isNotNull()).distinct()
     bucket = bucket_column(fact)
     if bucket is None:
-        return fact.join(wanted, key_col, "left_semi")
+        return fact.join(wanted, key_col, "left_semi").select(*fact.columns)
     wanted = wanted.withColumn(bucket, bucket_of(F.col(key_col), bucket))
-    return fact.join(wanted, [bucket, key_col], "left_semi")
+    return fact.join(wanted, [bucket, key_col], "left_semi").select(*fact.columns)
 
 
 def replicate(df: DataFrame, times: str, chunk: int = 4096, copy_col: str | None = None) -> DataFrame:
