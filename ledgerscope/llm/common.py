@@ -54,6 +54,31 @@ def hash_sample(df: DataFrame, key: str, max_rows: int, salt: int = 0) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < share)
 
 
+ROWS = 1024  # rows that are turned into Python objects at once
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``ROWS`` rows (an empty batch stays)."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), ROWS):
+            yield b.slice(at, ROWS)
+
+
+_STATE: dict[str, object] = {"owner": None}
+
+
+def worker_state(owner: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave for ``owner`` in this Python worker; a new owner's state replaces the old one.
+
+    Workers outlive jobs, so caches of operators that run one after another
+    would add up otherwise.
+    """
+    if _STATE["owner"] != owner:
+        _STATE.update(owner=None, value=None)
+        _STATE.update(owner=owner, value=make())
+    return _STATE["value"]
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str | StructType, binary: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -67,7 +92,7 @@ def map_batches(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(target)
-        for b in batches:
+        for b in _pieces(batches):
             cols = {}
             for name, col in zip(b.schema.names, b.columns, strict=True):
                 cols[name] = (col.cast(pa.binary()) if name in binary else col).to_pylist()
@@ -86,7 +111,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[str |
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             k = b.schema.names.index(text_col)
             before = b.column(k).to_pylist()
             after = fn([t or "" for t in before])

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import id_and_text, map_batches, map_texts
+from ledgerscope.llm.common import id_and_text, map_batches, map_texts, worker_state
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SHINGLE = 5
@@ -222,7 +222,7 @@ class BlockMaxWand:
 class Scanner:
     """Scans texts against one index; remembers the essential word of each raw word (bounded)."""
 
-    def __init__(self, index: Bm25Index, passage: int, min_overlap: float, cache_size: int = 300_000):
+    def __init__(self, index: Bm25Index, passage: int, min_overlap: float, cache_size: int = 100_000):
         self.index, self.passage, self.min_overlap, self.cache_size = index, passage, min_overlap, cache_size
         self.wand = BlockMaxWand(index)
         self.raw: dict[str, int] = {}
@@ -302,13 +302,8 @@ class Scanner:
         return {tuple(words[i : i + s]) for s in sizes for i in range(len(words) - s + 1)}
 
 
-_WORKER: dict[str, object] = {}
-
-
 def _scanner(key: str, index: Bm25Index, passage: int, min_overlap: float) -> Scanner:
-    if _WORKER.get("key") != key:
-        _WORKER.update(key=key, scanner=Scanner(index, passage, min_overlap))
-    return _WORKER["scanner"]
+    return worker_state(key, lambda: Scanner(index, passage, min_overlap))
 
 
 MATCHES = "doc_id long, item_id long, question_overlap double, answer_overlap double, first_word long"

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash_sample, map_batches
+from ledgerscope.llm.common import hash_sample, map_batches, worker_state
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000  # distinct raw words that a worker remembers
+_CACHE = 100_000  # distinct raw words that a worker remembers
 
 
 @dataclass(frozen=True)
@@ -114,14 +114,12 @@ def fit(
     return LanguageModel(langs, words, word_logs, grams, gram_logs, max_n)
 
 
-_WORKER: dict[str, object] = {}
-
-
 def _remembered(key: str, n_langs: int) -> dict:
     """The worker's rows of known raw words for the model ``key``."""
-    if _WORKER.get("key") != key or len(_WORKER["rows"]) > _CACHE:
-        _WORKER.update(key=key, rows={}, letters=[], table=np.zeros((1 << 12, n_langs)))
-    return _WORKER
+    known = worker_state(key, dict)
+    if not known or len(known["rows"]) > _CACHE:
+        known.update(rows={}, letters=[], table=np.zeros((1 << 12, n_langs)))
+    return known
 
 
 def predict(

@@ -45,7 +45,7 @@ for _i, _rx in enumerate(_CLASSES):
         if _rx.match(bytes([_b])):
             CLASS_OF[_b] = _i
 CLASS_OF[0x80:0xC0] = N_CLASSES  # continuation bytes are not counted
-_FLUSH = 200_000  # entries of a map task's counter before it is handed on
+_FLUSH = 100_000  # entries of a map task's counter before it is handed on
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,8 @@ def _count_batches(batches):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["lang", "kind", "item", "n"])
 
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        for lang, text in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
+            lang, text = lang.as_py(), text.as_py()
             c = counts.setdefault(lang, Counter())
             before = len(c)
             c.update(text.split())

@@ -27,13 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash_sample, id_and_text, map_batches
+from ledgerscope.llm.common import hash_sample, id_and_text, map_batches, worker_state
 
 #: The split that byte-level pre-tokenization makes before its merges (fixed by the file format).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_WORKER: dict[str, object] = {}  # per Python worker: encoders and caches, built on first use
-
 
 class Encoder:
     """Byte-level BPE of a ``tokenizers`` JSON file.
@@ -75,14 +73,6 @@ class Encoder:
         return np.split(ids, np.searchsorted(np.cumsum(self._n_bytes[ids]), ends[:-1], side="right"))
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of ``path``, one per worker."""
-    key = f"encoder:{path}"
-    if key not in _WORKER:
-        _WORKER[key] = Encoder(path)
-    return _WORKER[key]
-
-
 def units_of(text: str) -> list[str]:
     """Units of a text in any white space; their concatenation is the text."""
     parts = text.replace("\n", " \n").split(" ")
@@ -139,12 +129,12 @@ class UnitCache:
     """Values of units: ``inner`` by the part after the space (or with its line break), ``literal`` by the unit itself."""
 
     def __init__(self, path: str, as_bytes: bool, table: dict | None, cache_size: int, longest: int):
-        self.path, self.as_bytes = path, as_bytes
+        self.encoder, self.as_bytes = Encoder(path), as_bytes
         self.inner = Generations(cache_size, longest, table)
         self.literal = Generations(cache_size // 4, longest)
 
     def _encode(self, units: list[str]) -> list:
-        ids = encoder(self.path).each(units) if units else []
+        ids = self.encoder.each(units) if units else []
         return [x.astype("<u4").tobytes() for x in ids] if self.as_bytes else list(map(len, ids))
 
     def _fill(self, cache: Generations, keys: list[str], values: list, missing: list[str], units: list[str]) -> list:
@@ -182,10 +172,10 @@ class UnitCache:
 
 
 def _cache(path: str, as_bytes: bool, table, cache_size: int, longest: int) -> UnitCache:
-    key = f"units:{as_bytes}:{path}"
-    if key not in _WORKER:
-        _WORKER[key] = UnitCache(path, as_bytes, table.value if table is not None else None, cache_size, longest)
-    return _WORKER[key]
+    def make() -> UnitCache:
+        return UnitCache(path, as_bytes, table.value if table is not None else None, cache_size, longest)
+
+    return worker_state(f"units:{as_bytes}:{cache_size}:{path}", make)
 
 
 def frequent_units(docs: DataFrame, path: str, sample_docs: int = 2000, table_size: int = 50_000, longest: int = 64) -> dict[str, int]:
@@ -203,13 +193,13 @@ def frequent_units(docs: DataFrame, path: str, sample_docs: int = 2000, table_si
     sample = hash_sample(id_and_text(docs), "doc_id", sample_docs).select("text")
     rows = map_batches(sample, count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table_size).collect()
     names = [r["unit"] for r in rows]
-    encoded = encoder(path).each([u if u[0] == "\n" else " " + u for u in names]) if names else []
+    encoded = Encoder(path).each([u if u[0] == "\n" else " " + u for u in names]) if names else []
     return dict(zip(names, map(len, encoded), strict=True))
 
 
 def count_tokens(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024,
-    cache_size: int = 400_000, longest: int = 64, sample_docs: int = 2000, table_size: int = 50_000,
+    cache_size: int = 100_000, longest: int = 64, sample_docs: int = 2000, table_size: int = 50_000,
 ) -> DataFrame:
     """One row per document: ``n_bytes``, ``n_tokens`` and whether ``n_tokens`` exceeds ``limit``."""
     texts = id_and_text(docs, id_col, text_col)
@@ -225,7 +215,7 @@ def count_tokens(
     return map_batches(texts, batch, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def token_bytes(texts: list[str], path: str, cache_size: int = 300_000, longest: int = 64) -> list[bytes]:
+def token_bytes(texts: list[str], path: str, cache_size: int = 100_000, longest: int = 64) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     cache = _cache(path, True, None, cache_size, longest)
     out = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash_sample, map_batches
+from ledgerscope.llm.common import hash_sample, map_batches, worker_state
 
 # Fixed word lists (English, German, French, Spanish).
 THREATS = "kill killed hurt destroy shoot stab burn attack töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
@@ -44,7 +44,7 @@ _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _PLAIN, _THREAT, _TARGET, _NEGATION, _REPORT = range(5)
 _CLASS = {w: k for k, ws in ((_THREAT, THREATS), (_TARGET, TARGETS), (_NEGATION, NEGATIONS), (_REPORT, REPORTS)) for w in ws}
 _STEMS = range(3, 9)
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 @dataclass(frozen=True)
@@ -116,13 +116,12 @@ def features_of(tokens: list[Token]) -> tuple[float, float, float]:
     return float(np.log1p(sum(hit))), max(hit, default=0.0), len(hit) / max(n, 1)
 
 
-_WORKER: dict[str, object] = {}
-
-
-def _tokens(key: str, model: ToxicityModel) -> dict[str, Token]:
-    if _WORKER.get("key") != key or len(_WORKER["tokens"]) > _CACHE:
-        _WORKER.update(key=key, tokens={})
-    return _WORKER["tokens"]
+def _tokens(key: str) -> dict[str, Token]:
+    """The worker's known raw words for the model ``key``."""
+    known = worker_state(key, dict)
+    if len(known) > _CACHE:
+        known.clear()
+    return known
 
 
 def document_features(text: str, model: ToxicityModel, known: dict[str, Token]) -> tuple[float, float, float]:
@@ -186,7 +185,7 @@ def fit(
 
     def features(cols):
         m = grammar.value
-        known = _tokens(key, m)
+        known = _tokens(key)
         return {"x": [list(document_features(t, m, known)) for t in cols["text"]], "y": cols["y"]}
 
     found = map_batches(sample, features, "x array<double>, y int").collect()
@@ -201,7 +200,7 @@ def score(docs: DataFrame, model: ToxicityModel, held_out: Column, id_col: str =
 
     def batch(cols):
         m = shared.value
-        scores = [m.score(document_features(t, m, _tokens(key, m))) for t in cols["text"]]
+        scores = [m.score(document_features(t, m, _tokens(key))) for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
     texts = docs.select(
