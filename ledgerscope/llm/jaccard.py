@@ -47,7 +47,7 @@ from ledgerscope.llm.common import hash_sample, id_and_text, map_batches
 from ledgerscope.llm.components import components
 from ledgerscope.llm.hashing import U, materialise, mix, shingle_hashes, slices, word_hashes
 
-SLICE = 2_000_000  # bytes of text handled at once
+SLICE = 1_000_000  # bytes of text handled at once
 PARTS_PER_SHINGLE = 0.6
 LEAST_PARTS = 16
 SKETCH_WORDS = 16  # words of the bit sketch
