@@ -227,14 +227,16 @@ def credit_per_holder(
 ) -> DataFrame:
     """Credit total per (``Email``, ``AccountHolder``): per account, then per owner, then per holder record.
 
-    ``emails`` (one column) restricts every table to these e-mails' records,
-    accounts and credits by lazy semi joins before anything is summed.
+    ``emails`` (one column) restricts the credits to the accounts of these
+    e-mails' records by lazy semi joins before anything is summed.  The few
+    sums then meet accounts and records whole, which costs no second pass
+    over the semi joins; what other e-mails' records get of them is for the
+    caller's own join with its e-mails to drop.
     """
     records, owners = holder_records(customers, businesses), account_owners(accounts)
     if emails is not None:
-        records = records.join(emails.toDF("Email").distinct(), "Email", "left_semi")
-        owners = owners.join(records.select("_kind", "_owner").distinct(), ["_kind", "_owner"], "left_semi")
-        credits = with_keys(credits, "BeneficiaryAccountNumber", owners.select("AccountNumber"))
+        mine = records.join(emails.toDF("Email").distinct(), "Email", "left_semi").select("_kind", "_owner").distinct()
+        credits = with_keys(credits, "BeneficiaryAccountNumber", owners.join(mine, ["_kind", "_owner"], "left_semi").select("AccountNumber"))
     return holder_inflow(owner_inflow(credits_per_account(credits, window), owners), records)
 
 
