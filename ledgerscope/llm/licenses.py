@@ -9,14 +9,28 @@ shingle meets two windows of two shingles; one of them agrees in a given band
 with probability 2/3, so ``BANDS`` bands of one row miss it once in
 3**BANDS cases (``miss_probability``).
 
-Retrieved windows are then compared exactly: the template's shingles that
+Templates of at least ``LONG_WINDOW`` + ``STRIDE`` shingles (headers, full
+texts) have windows of ``LONG_WINDOW`` shingles: one at every shingle of the
+template, one every ``STRIDE`` shingles of a text.  Such a copy holds a whole
+window of the text, and that agrees in every one of ``LONG_BANDS`` bands; a
+changed word leaves a window three quarters of its shingles, so that it still
+agrees in most bands.
+
+Retrieved windows are then compared exactly (long ones with a stride more on
+either side, so that the ends of a copy count): the template's shingles that
 occur in them, as a share of the template's shingles, must reach
-``min_containment``; of templates found at the same place the one with the
-highest share counts.
+``min_containment``.  A match whose shingles, but for ``OWN`` of them, belong
+to a fuller match of another license is that license's text (BSD-2-Clause in
+BSD-3-Clause, a header of another version); with equally many shingles the
+higher share counts.
 
 Templates are a DataFrame (license, text).  Their index is broadcast, so
 ``MAX_INDEX`` bounds its rows; a larger table of templates is joined by
-shuffle.
+shuffle.  ``templates`` has the short notices of ``TEMPLATES``, the Creative
+Commons notices and the first sentences of their legal codes in every version,
+and the headers and full texts in ``license_texts``, without what is written
+anew for each program (names, years, addresses).  A license that is not in it
+is reported as one that it shares ``min_containment`` of the text with, if any.
 
 Defined cases: null or empty texts and texts of fewer words than a shingle
 match nothing; templates of fewer than five words are an error; repeated
@@ -28,15 +42,21 @@ from __future__ import annotations
 import math
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 WINDOW = 2
 BANDS = 12
+LONG_WINDOW = 32
+STRIDE = 16
+LONG_BANDS = 6
+OWN = 0.02  # share of a match's shingles that another license's match may lack
 MAX_INDEX = 200_000  # broadcast bound, in rows of the band index
-MAX_LISTED = 5_000  # band values that are also written into the scan's filter
+MAX_LISTED = 20_000  # band values that are also written into the scan's filter
+TEXTS = Path(__file__).parent / "license_texts"  # LICENSE.KIND.txt
 
 # The usual notices, as their licenses ask for them.
 TEMPLATES = {
@@ -47,16 +67,43 @@ TEMPLATES = {
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "EPL-1.0": ["made available under the terms of the Eclipse Public License v1.0", "made available under the terms of the Eclipse Public License, Version 1.0"],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0", "made available under the terms of the Eclipse Public License v2.0", "made available under the terms of the Eclipse Public License v. 2.0"],
+    "CC0-1.0": ["Licensed under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
 
+CC_TYPES = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivs",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivs",
+}
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def cc_notices() -> list[tuple[str, str]]:
+    """(license, text): notices and the legal code's first sentence of every type and version."""
+    rows = []
+    for short, long in CC_TYPES.items():
+        for version, area in CC_VERSIONS.items():
+            name = long.replace("NoDerivs", "NoDerivatives") if version == "4.0" else long
+            texts = [f"Licensed under CC {short} {version}."]
+            for full in {f"{name} {version} {area}", f"{name} {version}"}:
+                texts += [f"This work is licensed under a Creative Commons {full} License.", f"Licensed under the Creative Commons {full} License."]
+            if version == "4.0":
+                texts.append(f"You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License")
+            else:
+                texts += [f"Creative Commons Legal Code {full} CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM" for full in {f"{name} {version}", f"{name} {version} {area}"}]
+            rows += [(f"CC-{short}-{version}", t) for t in texts]
+    return rows
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    rows = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
+    rows = [(name, text) for name, texts in TEMPLATES.items() for text in texts] + cc_notices()
+    rows += [(f.name.rsplit(".", 2)[0], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
     return spark.createDataFrame(rows, "license string, text string")
 
 
@@ -92,19 +139,23 @@ def _banded(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.select(*keys, *[f"h{k}" for k in range(WINDOW)], F.inline(bands))
 
 
-def find(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.75) -> DataFrame:
-    """Matches: ``doc_id, license, containment, position`` (word where the first retrieved window starts)."""
-    rows = templates.select("license", "text", F.xxhash64("license", "text").alias("template"))
-    known = shingled(rows, ["template", "license"], F.col("text")).withColumn("n", F.size(F.array_distinct("_h")))
+def _long_windows(rows: DataFrame, keys: list[str], stride: int) -> DataFrame:
+    """One row per long window and band: the keys, the place and the shingles of the window and a stride around it, its band and value."""
+    last = F.size("_h") - LONG_WINDOW
+    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    first = lambda i: F.greatest(i - STRIDE, F.lit(0))
+    structs = F.transform(at, lambda i: F.struct(first(i).alias("at"), F.slice("_h", first(i) + 1, LONG_WINDOW + 2 * STRIDE).alias("near"), F.slice("_h", i + 1, LONG_WINDOW).alias("_s")))
+    windows = rows.select(*keys, F.inline(structs))
+    least = lambda b: F.array_min(F.transform("_s", lambda h: h.bitwiseXOR(F.xxhash64(F.lit("long"), F.lit(b)))))
+    return windows.select(*keys, "at", "near", F.posexplode(F.array(*[least(b) for b in range(LONG_BANDS)])).alias("band", "value"))
+
+
+def _short_hits(shingles: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
+    """``doc_id, template, license, n, shingle, at`` of the shingles of short templates in retrieved windows."""
     index = _banded(_windows(known, ["template"]), ["template"]).select("template", "band", "value").distinct()
-    parts = known.select("template", "license", "n", F.explode(F.array_distinct("_h")).alias("shingle"))
-    if known.where("n = 0").limit(1).count():
-        raise ValueError(f"a template has fewer than {SHINGLE} words")
     n_index = index.count()
     small = F.broadcast if n_index <= MAX_INDEX else lambda df: df
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    windows = _windows(shingled(texts, ["doc_id"], F.col("text")), ["doc_id"])
+    windows = _windows(shingles, ["doc_id"])
     if n_index <= MAX_LISTED:  # the same test as the join, before the rows are multiplied by the bands
         values: dict[int, list[int]] = {b: [] for b in range(BANDS)}
         for r in index.select("band", "value").distinct().collect():
@@ -112,13 +163,46 @@ def find(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
         windows = windows.where(reduce(or_, (_band_value(b).isin(v) for b, v in values.items())))
     retrieved = _banded(windows, ["doc_id", "at"]).join(small(index), ["band", "value"])
     pairs = retrieved.select("doc_id", "template", "at", F.explode(F.array(*[f"h{k}" for k in range(WINDOW)])).alias("shingle"))
-    exact = pairs.join(small(parts), ["template", "shingle"]).groupBy("doc_id", "template", "license", "n", "shingle").agg(F.min("at").alias("at"))
-    found = exact.groupBy("doc_id", "template", "license", "n").agg(F.count("*").alias("hit"), F.min("at").alias("at"))
+    return pairs.join(small(parts), ["template", "shingle"]).select("doc_id", "template", "license", "n", "shingle", "at")
+
+
+def _long_hits(shingles: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same for long templates; ``at`` is the shingle's place."""
+    index = _long_windows(known, ["template"], 1).select("template", "band", "value").distinct()
+    small = F.broadcast if (known.agg(F.sum("n")).first()[0] or 0) <= MAX_INDEX else lambda df: df
+    retrieved = _long_windows(shingles, ["doc_id"], STRIDE).join(small(index), ["band", "value"])
+    pairs = retrieved.select("doc_id", "template", "at", F.posexplode("near").alias("step", "shingle"))
+    return pairs.join(small(parts), ["template", "shingle"]).select("doc_id", "template", "license", "n", "shingle", (F.col("at") + F.col("step")).alias("at"))
+
+
+def _is_part(a: Column, b: Column) -> Column:
+    """Whether match ``a`` is text of the fuller match ``b``."""
+    fuller = (b["hit"] > a["hit"]) | ((b["hit"] == a["hit"]) & (b["share"] > a["share"]))
+    own = F.size(F.array_except(a["shingles"], b["shingles"]))
+    return (a["license"] != b["license"]) & fuller & (own <= a["hit"] * OWN)
+
+
+def find(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.75) -> DataFrame:
+    """Matches: ``doc_id, license, containment, position`` (word where the first retrieved window, in long templates the first shingle, starts)."""
+    rows = templates.select("license", "text", F.xxhash64("license", "text").alias("template"))
+    known = shingled(rows, ["template", "license"], F.col("text")).withColumn("n", F.size(F.array_distinct("_h"))).dropDuplicates(["template"])
+    if known.where("n = 0").limit(1).count():
+        raise ValueError(f"a template has fewer than {SHINGLE} words")
+    parts = known.select("template", "license", "n", F.explode(F.array_distinct("_h")).alias("shingle"))
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shingles = shingled(texts, ["doc_id"], F.col("text"))
+    long = F.size("_h") >= LONG_WINDOW + STRIDE
+    hits = _short_hits(shingles, known.where(~long), parts)
+    if known.where(long).limit(1).count():
+        hits = hits.union(_long_hits(shingles, known.where(long), parts))
+    exact = hits.groupBy("doc_id", "template", "license", "n", "shingle").agg(F.min("at").alias("at"))
+    found = exact.groupBy("doc_id", "template", "license", "n").agg(F.count("*").alias("hit"), F.min("at").alias("at"), F.collect_list("shingle").alias("shingles"))  # at most the template's
     found = found.where(F.col("hit") >= F.col("n") * min_containment).withColumn("share", F.col("hit") / F.col("n"))
-    # Notices that differ in a word or two (versions) start at the same place: the best one counts.
-    place = Window.partitionBy("doc_id", "at")  # a group has at most one row per template
-    found = found.withColumn("best", F.max("share").over(place)).where("share = best")
-    return found.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.min("at").alias("position"))
+    matches = found.groupBy("doc_id").agg(F.collect_list(F.struct("license", "hit", "share", "at", "shingles")).alias("m"))  # at most one per template
+    alone = F.filter("m", lambda a: ~F.exists("m", lambda b: _is_part(a, b)))
+    kept = matches.select("doc_id", F.inline(F.transform(alone, lambda a: F.struct(a["license"].alias("license"), a["share"].alias("share"), a["at"].alias("at")))))
+    return kept.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.min("at").alias("position"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.75) -> DataFrame:

@@ -190,6 +190,28 @@ def test_licenses(spark):
         licenses.find(docs, spark.createDataFrame([("x", "too short")], "license string, text string"))
 
 
+def test_full_license_texts(spark):
+    """Headers and full texts, from files and rewrapped as comments, with a changed word, and two in one document."""
+    rows, want = [], {}
+    for i, f in enumerate(sorted(licenses.TEXTS.glob("*.txt"))):
+        text = f.read_text(encoding="utf-8")
+        words = text.split()
+        words[len(words) // 2] = "changed"
+        for k, t in enumerate([text, "// " + text.replace("\n", "\n// "), " ".join(words)]):
+            rows.append((10 * i + k, prose(37 + i, i) + "\n" + t + "\n" + prose(60, i + 1)))
+            want[10 * i + k] = f.name.rsplit(".", 2)[0]
+    texts = {f.name: f.read_text(encoding="utf-8") for f in licenses.TEXTS.glob("*.txt")}
+    rows += [(9000, texts["GPL-2.0.header.txt"] + prose(50, 1) + " " + texts["GPL-3.0.header.txt"]), (9001, texts["MIT.full.txt"] + prose(9, 1) + " " + texts["Apache-2.0.header.txt"])]
+    want |= {9000: "GPL-2.0,GPL-3.0", 9001: "Apache-2.0,MIT"}
+    for i, (name, text) in enumerate(licenses.cc_notices()):
+        rows.append((9100 + i, prose(20, i) + "\n" + text + "\n" + prose(20, i + 1)))
+        want[9100 + i] = name
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs, licenses.templates(spark))
+    found = {r["doc_id"]: r["licenses"] for r in got.collect()}
+    assert {k: (v, found[k]) for k, v in want.items() if v != found[k]} == {}
+
+
 def test_license_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     plan = licenses.scan(docs, licenses.templates(spark))._jdf.queryExecution().executedPlan().toString()
