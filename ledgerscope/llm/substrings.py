@@ -17,12 +17,16 @@ run, as only equality of groups matters.
 2. Second digit: all bytes of the run of strings.  Runs that agree here are
    repeated as a whole.
 3. Third digit, only where the runs of one gram differ (the borders of
-   repeated passages): the full ``length`` bytes, string by string, for one
-   representative of each distinct run.  The representatives of a gram meet
-   in one task, as at most 2 * ``length`` bytes each.
+   repeated passages), for one representative of each distinct run: the bytes
+   that ``BLOCK`` neighbouring strings of the run have in common.  Blocks of
+   which these bytes occur once end here; blocks that agree in all bytes of
+   their strings are repeated as a whole.
+4. Fourth digit, only where blocks with the same common bytes differ, again
+   for one representative of each: the full ``length`` bytes, string by string.
 
-Elsewhere no group is gathered: counts are aggregated before the shuffle and
-joined back, and AQE splits what a hot gram makes large.
+No group is gathered in any pass: a unit is one row with two hashes, counts
+are aggregated before the shuffle and joined back, and AQE splits what a hot
+digit makes large.
 
 Defined cases: null and empty texts, and texts shorter than ``length``, lose
 nothing; equal rows count as two places; a row without an id is
@@ -35,13 +39,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import id_and_text, map_batches
 from ledgerscope.llm.hashing import Spans, U, materialise, mix, slices
 
 GRAM = 64
+BLOCK = 16  # neighbouring strings of a run that the third digit takes together
 SLICE = 2_000_000  # bytes of text handled at once
 MAX_IDS = 1_000_000  # node ids that are broadcast (8 MB); more are joined by shuffle
 _PLACE = U((1 << 28) - 1)  # low bits of a key that hold the place in the slice
@@ -105,7 +110,7 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(batches, RUNS)
 
 
-BORDERS = "gram long, off int, node long, lo long, single boolean, data binary"
+BORDERS = "gram long, off int, node long, lo long, data binary"
 
 
 def only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -116,68 +121,99 @@ def only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _borders(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted runs, and the offset of the gram in their first string."""
-    lists = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "place", "single")).alias("runs"))  # at most one text's runs
+    lists = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "place")).alias("runs"))  # at most one text's runs
     joined = only(texts, wanted.select("node")).dropDuplicates(["node"]).join(lists, "node")
-    joined = joined.select("node", "text", F.col("runs.gram").alias("grams"), F.col("runs.place").alias("places"), F.col("runs.single").alias("singles"))
+    joined = joined.select("node", "text", F.col("runs.gram").alias("grams"), F.col("runs.place").alias("places"))
 
     def batch(cols):
         rows = []
-        for node, text, grams, places, singles in zip(cols["node"], cols["text"], cols["grams"], cols["places"], cols["singles"], strict=True):
-            for gram, place, single in zip(grams, places, singles, strict=True):
+        for node, text, grams, places in zip(cols["node"], cols["text"], cols["grams"], cols["places"], strict=True):
+            for gram, place in zip(grams, places, strict=True):
                 lo, count, off = place >> 16, (place >> 8) & 255, place & 255
-                rows.append((gram, off, node, lo, single, text[lo : lo + count - 1 + length]))
-        names = ("gram", "off", "node", "lo", "single", "data")
+                rows.append((gram, off, node, lo, text[lo : lo + count - 1 + length]))
+        names = ("gram", "off", "node", "lo", "data")
         return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
 
     return map_batches(joined, batch, BORDERS, binary=("text",))
 
 
-def _equal_strings(borders: DataFrame, length: int) -> DataFrame:
-    """``node, lo, hi`` of single runs' strings that another run of the same gram has at the same offset."""
-
-    def run(batches):
-        gram, off, node, lo, single, data = ([] for _ in range(6))
-        for b in batches:
-            for column, values in zip((gram, off, node, lo, single, data), b.columns, strict=True):
-                column += values.to_pylist()
-        if not data:
-            return
-        buffer, starts = _buffer(data)
-        count = np.diff(starts) - length + 1  # strings of each run
-        k = np.repeat(np.arange(len(data)), count)
-        step = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-        strings = Spans(buffer).fixed(length)[starts[k] + step]
-        key = mix(strings ^ mix(np.array(gram, np.int64).view(U)[k] + (np.array(off)[k] - step).astype(U)))
-        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero((size[group] > 1) & np.array(single)[k])
-        if not len(hit):
-            return
-        # Neighbouring strings of a run become one span.
-        new = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (k[hit[1:]] != k[hit[:-1]]))))
-        first, last = hit[new], hit[np.concatenate((new[1:], [len(hit)])) - 1]
-        begin = np.array(lo, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(node, np.int64)[k[first]]), pa.array(begin[k[first]] + step[first]), pa.array(begin[k[last]] + step[last] + length)], names=["node", "lo", "hi"]
-        )
-
-    parts = int(borders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return borders.repartition(parts, "gram").mapInArrow(run, "node long, lo long, hi long")
+def blocks_of(gram: np.ndarray, off: np.ndarray, data: list[bytes], length: int, step: int) -> tuple[np.ndarray, ...]:
+    """Runs cut into blocks of strings: run index, hash of the bytes common to a full block, hash of all bytes, first string, number, gram offset.
 
+    Cuts depend on a string's gram offset alone, so equal strings of two runs lie in blocks with equal common bytes.
+    """
+    buffer, starts = _buffer(data)
+    spans = Spans(buffer)
+    count = np.diff(starts) - length + 1  # strings of each run
+    k = np.repeat(np.arange(len(data)), count)
+    i = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+    block = (off[k] - i) // step
+    new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (block[1:] != block[:-1]))))
+    k, i, block, number = k[new], i[new], block[new], np.diff(np.concatenate((new, [len(block)])))
+    near, far = block * step, np.minimum(block * step + step - 1, length - GRAM)  # gram offsets of a full block's strings
+    at = starts[k] + off[k]
+    common = mix(spans.of(at - near, at - far + length) ^ mix(gram.view(U)[k] + near.astype(U)))
+    first = starts[k] + i
+    return k, common, spans.of(first, first + number - 1 + length) ^ mix((off[k] - i).astype(U)), i, number, off[k] - i
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """``node, lo, hi`` of byte ranges that repeated strings cover (they may overlap)."""
-    runs = _runs(texts, length)
+
+def _blocks(borders: DataFrame, length: int, step: int) -> DataFrame:
+    """The blocks of border runs, as runs."""
+
+    def batches(it):
+        for b in it:
+            gram, off, node, lo = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+            data = b.column(4).to_pylist()
+            for x, y in slices(data, SLICE // 8):  # a run has about a string for two bytes
+                k, common, run, i, number, first = blocks_of(gram[x:y], off[x:y], data[x:y], length, step)
+                place = ((lo[x:y][k] + i) << 16) | (number << 8) | first
+                cols = [common.view(np.int64), run.view(np.int64), node[x:y][k], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "run", "node", "place"])
+
+    return borders.select("gram", "off", "node", "lo", "data").mapInArrow(batches, RUNS)
+
+
+def _cut(borders: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
+    """The bytes of the wanted blocks, as border runs; a run has one gram place in its text."""
+    lists = blocks.withColumn("at", _start() + F.col("place").bitwiseAND(255)).groupBy("node", "at").agg(F.collect_list("place").alias("places"))  # at most one run's
+    joined = borders.withColumn("at", F.col("lo") + F.col("off")).join(lists, ["node", "at"])
+    part = joined.select("gram", "node", "lo", "data", F.explode("places").alias("place"))
+    count = F.shiftright("place", 8).bitwiseAND(255)
+    cut = F.substring(F.col("data"), (_start() - F.col("lo") + 1).cast("int"), (count - 1 + length).cast("int"))
+    return part.select("gram", F.col("place").bitwiseAND(255).cast("int").alias("off"), "node", _start().alias("lo"), cut.alias("data"))
+
+
+def _start() -> Column:
+    return F.shiftright("place", 16)
+
+
+def _spans(runs: DataFrame, length: int) -> DataFrame:
+    return runs.select("node", _start().alias("lo"), (_start() + F.shiftright("place", 8).bitwiseAND(255) - 1 + length).alias("hi"))
+
+
+def _repeated(runs: DataFrame) -> DataFrame:
+    """The runs whose gram occurs more than once."""
     shared = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    hits = materialise(runs.join(shared, "gram", "left_semi"), "hits")
+    return runs.join(shared, "gram", "left_semi")
+
+
+def _pass(runs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of runs that are repeated as a whole, and one of each distinct run (gram, node, place) of grams that have several."""
+    hits = materialise(_repeated(runs), "hits")
     by_run = hits.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("node", "place")).alias("first"))
     by_run = materialise(by_run, "runs")
     whole = hits.join(by_run.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi")
-    start = F.shiftright("place", 16)
-    whole = whole.select("node", start.alias("lo"), (start + F.shiftright("place", 8).bitwiseAND(255) - 1 + length).alias("hi"))
-
     mixed = by_run.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    wanted = by_run.join(mixed, "gram", "left_semi").select("gram", "first.node", "first.place", (F.col("n") == 1).alias("single"))
-    return whole.union(_equal_strings(_borders(texts, wanted, length), length))
+    return _spans(whole, length), by_run.join(mixed, "gram", "left_semi").select("gram", "first.node", "first.place")
+
+
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """``node, lo, hi`` of byte ranges that repeated strings cover (they may overlap)."""
+    runs, wanted = _pass(_runs(texts, length), length)
+    borders = materialise(_borders(texts, wanted, length), "borders")
+    blocks, wanted = _pass(_blocks(borders, length, BLOCK), length)
+    strings = _blocks(_cut(borders, wanted, length), length, 1)
+    return runs.union(blocks).union(_spans(_repeated(strings), length))
 
 
 def covered(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:

@@ -182,6 +182,19 @@ def test_repeats_edges(spark):
     assert substrings.remove_repeats(empty(spark)).collect() == []
 
 
+def test_a_passage_in_unlike_contexts_meets_in_no_task(spark):
+    passage = prose(90, 5)
+    rows = [(i, prose(60, 100 + i) + passage[i % 40 :] + (passage[: 150 + i] if i % 3 else "") + prose(60, 300 + i)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for length in (64, 100, 200):
+        got = collections.Counter(map(tuple, substrings.remove_repeats(docs, length).collect()))
+        assert got == brute_repeats(rows, length)
+    plan = substrings.repeated_spans(docs.selectExpr("doc_id as node", "text"), 200)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    for upper, lower in zip(lines, lines[1:], strict=False):  # Python gets rows of a text or of a run, never of a gram
+        assert not ("MapInArrow" in upper and "hashpartitioning(gram" in lower)
+
+
 def test_sliding_min():
     rng = np.random.default_rng(2)
     for n, w in ((5, 5), (9, 2), (100, 7), (64, 64), (137, 10)):
