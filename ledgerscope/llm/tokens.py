@@ -32,13 +32,23 @@ from ledgerscope.llm.common import hash_sample, id_and_text, map_batches, worker
 #: The split that byte-level pre-tokenization makes before its merges (fixed by the file format).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+LONG_SPACE = 100_000  # white-space characters in a row that are looked for
+
+
+def _long_space(text: str) -> bool:
+    """Whether an aligned piece of ``LONG_SPACE`` characters is white space, as in any run of twice as many."""
+    return any(text[i : i + LONG_SPACE].isspace() for i in range(0, len(text) - LONG_SPACE + 1, LONG_SPACE))
+
 
 class Encoder:
     """Byte-level BPE of a ``tokenizers`` JSON file.
 
     Long runs of text go through ``tiktoken`` with the vocabulary of the same
     file, several times faster than the JSON library on one core; the tests
-    hold both equal over all code points, random strings and the documents.
+    hold both equal over all code points, random strings, long runs and the
+    documents.  Its split pattern backtracks over white space and fails on runs
+    of about a million characters; texts with such a run (``_long_space``) go to
+    the JSON library itself.
     """
 
     def __init__(self, path: str):
@@ -52,6 +62,7 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+        self._path, self._library = path, None
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self._coder = tiktoken.Encoding("bpe", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -62,6 +73,12 @@ class Encoder:
             self._n_bytes[i] = len(t.encode())
 
     def ids(self, text: str) -> np.ndarray:
+        if _long_space(text):
+            if self._library is None:
+                import tokenizers
+
+                self._library = tokenizers.Tokenizer.from_file(self._path)
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
         return self._coder.encode_to_numpy(text, allowed_special="all")
 
     def each(self, units: list[str]) -> list[np.ndarray]:

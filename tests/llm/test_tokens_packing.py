@@ -38,6 +38,13 @@ def test_ids_equal_the_library_around_every_code_point():
     assert [np.frombuffer(b, "<u4").tolist() for b in found] == reference_ids(texts)
 
 
+def test_ids_equal_the_library_on_long_white_space():
+    n = 2_000_000
+    texts = [" " * n, "a" + "\n" * n + "b", "a b " + "\t" * n + " c d", "x\ty" + " \r\n" * (n // 3) + "<|endoftext|>z", " " * 150_000 + "a", "　" * (n // 2)]
+    found = tokens.token_bytes(texts, PATH)
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == reference_ids(texts)
+
+
 def test_units_concatenate_to_the_text():
     for t in edge_texts():
         assert "".join(tokens.units_of(t or "")) == (t or "")
