@@ -27,11 +27,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` (long) and ``text`` (null becomes empty) only."""
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` (long), ``text`` (null becomes empty) and the columns ``keep`` only."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *keep,
     )
 
 
@@ -103,10 +104,10 @@ def map_batches(
     return df.mapInArrow(run, target)
 
 
-def map_texts(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[str | None]]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, fn: Callable[..., list[str | None]], more: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with each text replaced by what ``fn`` gives for it; rows for which it gives ``None`` go.
 
-    ``fn`` sees null texts as empty; a text that it returns unchanged stays as
+    ``fn`` also gets the values of the columns ``more``.  It sees null texts as empty; a text that it returns unchanged stays as
     it was (null stays null).  All other columns pass through unchanged.
     """
 
@@ -114,7 +115,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[str |
         for b in _pieces(batches):
             k = b.schema.names.index(text_col)
             before = b.column(k).to_pylist()
-            after = fn([t or "" for t in before])
+            after = fn([t or "" for t in before], *(b.column(b.schema.names.index(c)).to_pylist() for c in more))
             keep = pa.array([t is not None for t in after])
             texts = [old if new is None or new == (old or "") else new for old, new in zip(before, after, strict=True)]
             columns = [pa.array(texts, b.schema.field(k).type) if i == k else c for i, c in enumerate(b.columns)]

@@ -6,11 +6,13 @@ distance.  A document passes when some language is near in both; a histogram
 is only compared when the document is long enough for it (``min_chars``,
 ``min_words``), so short documents are never judged on noise.
 
-References are counted over all documents with a language (``fit``).  They
-are small by construction: a language needs ``lang_share`` of all words (at
-most 1 / lang_share languages), a common word ``word_share`` of its
-language's words (at most 1 / word_share words).  Without references every
-document passes the divergence test.
+References are counted over all documents with a language (``fit``): every
+language of at least ``min_count`` words has one, whatever its share, so that a
+common word (``word_share`` of its language's words) rests on ten occurrences
+or more.  They are small by construction: at most 1 / word_share words a
+language and ``MAX_LANGS`` languages.  A document whose own language has no
+reference passes the divergence test, as does every document without
+references; one without a language is compared with all.
 
 Defined cases: null or empty text has no words and fails the base rule;
 one-word and very long texts follow the same rules.
@@ -45,6 +47,7 @@ for _i, _rx in enumerate(_CLASSES):
         if _rx.match(bytes([_b])):
             CLASS_OF[_b] = _i
 CLASS_OF[0x80:0xC0] = N_CLASSES  # continuation bytes are not counted
+MAX_LANGS = 1000  # references that are collected and broadcast
 _FLUSH = 100_000  # entries of a map task's counter before it is handed on
 
 
@@ -96,7 +99,7 @@ def _count_batches(batches):
     yield flush()
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_share: float = 0.002, lang_share: float = 0.005) -> References:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_share: float = 0.002, min_count: int = 5000) -> References:
     """References counted over all documents with a language; the result is bounded (see module)."""
     texts = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
@@ -104,9 +107,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_sh
     counts = texts.mapInArrow(_count_batches, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     try:
-        totals = {r["lang"]: r["n"] for r in counts.where("kind = 'n'").orderBy(F.desc("n")).limit(int(1 / lang_share)).collect()}
-        all_words = sum(totals.values())
-        totals = {lang: n for lang, n in totals.items() if n >= lang_share * all_words and n > 0}
+        enough = counts.where((F.col("kind") == "n") & (F.col("n") >= max(1, min_count)))
+        totals = {r["lang"]: r["n"] for r in enough.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
         langs = sorted(totals)
         if not langs:
             return References()
@@ -116,8 +118,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_sh
         counts.unpersist()
     vocab = {w: i for i, w in enumerate(sorted({r["item"].encode() for r in rows if r["kind"] == "w"}))}
     classes, words = np.zeros((len(langs), N_CLASSES)), np.zeros((len(langs), len(vocab) + 1))
+    place = {lang: k for k, lang in enumerate(langs)}
     for r in rows:
-        k = langs.index(r["lang"])
+        k = place[r["lang"]]
         if r["kind"] == "c":
             classes[k, int(r["item"])] = r["n"]
         else:
@@ -137,6 +140,14 @@ def js_distance(hist: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(_entropy(m) - (_entropy(refs) + _entropy(p)) / 2, 0, 1))
 
 
+def word_distance(ids: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """``js_distance`` of the histogram of ``ids`` to reference rows that sum to 1, from the columns that occur in it."""
+    at, counts = np.unique(ids, return_counts=True)
+    p, q = counts / max(len(ids), 1), refs[:, at]
+    rest = 1 - q.sum(1)  # a reference's share of what does not occur counts half
+    return np.sqrt(np.clip(_entropy((q + p) / 2) - (_entropy(q) + _entropy(p)) / 2 + rest / 2, 0, 1))
+
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -182,8 +193,7 @@ def divergence(text: bytes, words: list[bytes], refs: References) -> tuple[float
     if not refs.langs:
         return 0.0, 0.0, -1
     c = js_distance(class_histogram(text), refs.classes)
-    own = np.bincount(np.fromiter(map(refs.vocab.get, words, repeat(len(refs.vocab))), np.int64, len(words)), minlength=len(refs.vocab) + 1)
-    w = js_distance(own, refs.words)
+    w = word_distance(np.fromiter(map(refs.vocab.get, words, repeat(len(refs.vocab))), np.int64, len(words)), refs.words)
     best = int(np.argmin(c + w))
     return float(c[best]), float(w[best]), best
 
@@ -198,27 +208,35 @@ class Limits:
     min_words: int = 100
 
 
-def verdict(text: bytes, refs: References, limits: Limits) -> tuple:
-    """Counts of ``rules``, class distance, word distance, nearest language, kept."""
+def verdict(text: bytes, refs: References, limits: Limits, lang: str | None = None) -> tuple:
+    """Counts of ``rules``, class distance, word distance, nearest language, kept; ``lang`` is the document's own language."""
     words = text.split()
     counts = rules(text, words)
     c, w, best = divergence(text, words, refs)
     far = (counts[1] >= limits.min_chars and c > limits.max_class_js) or (counts[0] >= limits.min_words and w > limits.max_word_js)
-    return (*counts, c, w, refs.langs[best] if best >= 0 else None, not counts[5] and not far)
+    judged = lang is None or lang in refs.langs
+    return (*counts, c, w, refs.langs[best] if best >= 0 else None, not counts[5] and not (judged and far))
 
 
-def assess(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+def assess(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), lang_col: str = "lang") -> DataFrame:
     """One row per document: counts, ``base_failed``, distances, nearest language and ``kept``."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_js", "word_js", "nearest_lang", "kept"]
 
     def batch(cols):
-        rows = [verdict(text, refs, limits) for text in cols["text"]]
+        rows = [verdict(text, refs, limits, lang) for text, lang in zip(cols["text"], cols["lang"], strict=True)]
         return {"doc_id": cols["doc_id"]} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_js double, word_js double, nearest_lang string, kept boolean"
-    return map_batches(id_and_text(docs, id_col, text_col), batch, schema, binary=("text",))
+    lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))
+    return map_batches(id_and_text(texts, keep=("lang",)), batch, schema, binary=("text",))
 
 
-def keep(docs: DataFrame, refs: References, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+def keep(docs: DataFrame, refs: References, text_col: str = "text", limits: Limits = Limits(), lang_col: str = "lang") -> DataFrame:
     """The documents that pass, all columns unchanged."""
-    return map_texts(docs, text_col, lambda texts: [t if verdict(t.encode(), refs, limits)[-1] else None for t in texts])
+
+    def passed(texts, langs=None):
+        langs = [None] * len(texts) if langs is None else [None if x is None else str(x) for x in langs]
+        return [t if verdict(t.encode(), refs, limits, lang)[-1] else None for t, lang in zip(texts, langs, strict=True)]
+
+    return map_texts(docs, text_col, passed, (lang_col,) if lang_col in docs.columns else ())

@@ -52,6 +52,31 @@ def test_quality_keeps_prose_and_drops_noise(spark):
     assert {r["doc_id"] for r in quality.assess(docs, refs).where("kept").collect()} == kept
 
 
+def test_quality_keeps_small_languages(spark):
+    """One language holds nearly all words: a small one keeps its own reference, a tiny one is not judged by others."""
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψωϊϋ")
+    common = "lorem ipsum dolor sit amet".split()  # half of the small language's words
+    rows = [(i, prose(3000, i), "en") for i in range(700)]
+    rows += [(1000 + i, " ".join(w for x in prose(100, i).split() for w in (x.translate(greek), common[len(x) % 5])), "el") for i in range(40)]
+    rows += [(2000 + i, prose(150, i).translate(greek), "xx") for i in range(5)]
+    rows += [(3000, "#$%&* |<>| " * 12 + " ".join(f"{c}#$%&*|<>!{i}" for i, c in enumerate("#$%&*|<>" * 20)), "en"), (3001, "|".join("#$%&*<>" * 60) + " a b c" * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    refs = quality.fit(docs)
+    assert refs.langs == ["el", "en"]
+    kept = {r["doc_id"] for r in quality.keep(docs, refs).collect()}
+    assert kept == {r[0] for r in rows if r[0] < 3000}
+    assert {r["doc_id"] for r in quality.assess(docs, refs).where("kept").collect()} == kept
+
+
+def test_word_distance_equals_the_dense_one():
+    rng = np.random.default_rng(3)
+    refs = rng.random((6, 50)) * (rng.random((6, 50)) < 0.5)
+    refs /= refs.sum(1, keepdims=True)
+    for n in (1, 7, 400):
+        ids = rng.integers(0, 50, n)
+        assert quality.word_distance(ids, refs) == pytest.approx(quality.js_distance(np.bincount(ids, minlength=50), refs))
+
+
 def test_quality_edges(spark):
     docs = documents(spark)
     refs = quality.fit(docs)
