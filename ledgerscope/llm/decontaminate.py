@@ -11,10 +11,19 @@ bounds cannot reach the threshold; passages whose rare words together cannot
 reach any item are left out before it, for whole batches at once
 (``candidate_passages``).  Neither changes what is retrieved.
 
-Each retrieved item is then verified on the words: the item's question part
-and answer part (its sentences before the last one, and the last one) must
-each share ``min_overlap`` of their five-word shingles with the document's
-text around the passage.  A part shorter than a shingle is compared as a whole.
+Each retrieved item is then verified on the words of the document's text around
+the passage, by shares of five-word shingles (a part shorter than a shingle is
+compared as a whole).  The question part is the item's sentences before the last
+one, the answer part the last one.  An item matches (``Item.overlaps``) when
+
+* each part reaches ``min_overlap``; where one of at least a shingle does, a part
+  of at most ``SHORT`` words may do so by words in order instead, as one changed
+  word would clear most of its shingles;
+* or the whole item reaches ``min_overlap``, or, with at most 2 * ``SHORT`` words,
+  ``ALIGNED`` by words in order;
+* or the question alone reaches it and has more than ``SHORT`` words.  Such
+  matches show by an ``answer_overlap`` below ``min_overlap``.  A passage needs
+  only ``min_score`` of the question's score then.
 
 The index is broadcast if the benchmark has at most ``max_items`` items; a
 larger one is cut into shards of that many, one pass each, so memory stays
@@ -42,6 +51,8 @@ from ledgerscope.llm.common import id_and_text, map_batches, map_texts, worker_s
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SHINGLE = 5
+SHORT = 12  # words
+ALIGNED = 0.8
 BLOCK = 16
 K1, B = 1.2, 0.75
 
@@ -52,8 +63,12 @@ def normal(word: str) -> str:
     return w if w.isalnum() else _EDGE.sub("", w)
 
 
+def words_in(raw: list[str]) -> list[str]:
+    return [w for w in map(normal, raw) if w]
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in map(normal, text.split()) if w]
+    return words_in(text.split())
 
 
 def parts_of(text: str) -> list[list[str]]:
@@ -70,6 +85,47 @@ def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+def aligned(part: list[str], words: list[str]) -> float:
+    """Greatest share of the part's words that stand in order in the text, at most one place off."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, w in enumerate(part):
+        places[w].append(j)
+    near: dict[int, set[int]] = defaultdict(set)  # by where the part would start
+    for i, w in enumerate(words):
+        for j in places.get(w, ()):
+            for d in (i - j - 1, i - j, i - j + 1):
+                near[d].add(j)
+    return max(map(len, near.values()), default=0) / len(part)
+
+
+class Item:
+    """Words and shingles of an item's parts and of the whole."""
+
+    def __init__(self, text: str):
+        self.words = parts_of(text)
+        self.all = [w for p in self.words for w in p]
+        self.shingles = [shingle_set(p) for p in self.words]
+        self.whole = shingle_set(self.all)
+        self.sizes = {min(SHINGLE, len(p)) for p in [*self.words, self.all] if p}
+        self.asks = len(self.words) == 2 and len(self.words[0]) > SHORT  # the question is enough
+
+    def overlaps(self, texts: list[list[str]], least: float) -> list[float] | None:
+        """The parts' overlaps with the texts if the item matches."""
+        if not self.all:
+            return None
+        seen = {tuple(t[i : i + s]) for t in texts for s in self.sizes for i in range(len(t) - s + 1)}
+        shares = [len(p & seen) / len(p) for p in self.shingles]
+        if min(shares) >= least:
+            return shares
+        if any(x >= least and len(p) >= SHINGLE for x, p in zip(shares, self.words, strict=True)):
+            shares = [x if x >= least or len(p) > SHORT else max(x, *(aligned(p, t) for t in texts)) for x, p in zip(shares, self.words, strict=True)]
+        if min(shares) >= least or len(self.whole & seen) >= least * len(self.whole) or (self.asks and shares[0] >= least):
+            return shares
+        if SHINGLE <= len(self.all) <= 2 * SHORT and max(aligned(self.all, t) for t in texts) >= ALIGNED:
+            return [max(aligned(p, t) for t in texts) for p in self.words]
+        return None
+
+
 @dataclass(frozen=True)
 class Block:
     first: int  # first and last item in it
@@ -85,21 +141,23 @@ class Bm25Index:
     def __init__(self, items: list[tuple[int, str]], min_score: float, passage: int):
         self.ids = [i for i, _ in items]
         words = [words_of(t) for _, t in items]
-        self.parts = [[(shingle_set(p), len(p)) for p in parts_of(t)] for _, t in items]
+        self.items = [Item(t) for _, t in items]
         n, mean = len(items), sum(map(len, words)) / max(1, len(items))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         df = Counter(w for ws in words for w in set(ws))
         self.thresholds = []
         for k, ws in enumerate(words):
-            own = 0.0
+            own = asked = 0.0
+            question = set(self.items[k].words[0]) if self.items[k].asks else set()
             for w, tf in Counter(ws).items():
                 idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / max(mean, 1)))
                 postings[w].append((k, impact))
                 own += impact
+                asked += impact if w in question else 0.0
             # A passage sees at least this share of a copy, wherever the copy lies.
             spans = max(1, math.ceil(2 * len(ws) / passage))
-            self.thresholds.append(min_score * own / spans if ws else math.inf)
+            self.thresholds.append(min_score * (asked if question else own) / spans if ws else math.inf)
         self.longest = max(map(len, words), default=0)
         self.lists = {
             w: [Block(p[0][0], p[-1][0], max(x for _, x in p), *map(tuple, zip(*p, strict=True))) for p in (ps[i : i + BLOCK] for i in range(0, len(ps), BLOCK))]
@@ -286,21 +344,13 @@ class Scanner:
         for t, items in found.items():
             for item, at in sorted(items.items()):
                 # Question and answer may lie in different passages: the text around all of the item's passages counts.
-                seen: set[tuple[str, ...]] = set()
-                parts, reach = self.index.parts[item], self.index.longest
-                for a in at:
-                    seen |= self._near(split[t][max(0, a - reach) : a + self.passage + reach], parts)
-                shares = [len(p & seen) / len(p) for p, _ in parts]
-                if shares and min(shares) >= self.min_overlap:
+                reach = self.index.longest
+                near = [words_in(split[t][max(0, a - reach) : a + self.passage + reach]) for a in at]
+                shares = self.index.items[item].overlaps(near, self.min_overlap)
+                if shares:
                     out[t].append((self.index.ids[item], shares[0], shares[-1], at[0]))
         return out
 
-    @staticmethod
-    def _near(raw: list[str], parts: list[tuple[set, int]]) -> set[tuple[str, ...]]:
-        words = [w for w in map(normal, raw) if w]
-        sizes = {min(SHINGLE, n) for _, n in parts}
-        return {tuple(words[i : i + s]) for s in sizes for i in range(len(words) - s + 1)}
-
 
 def _scanner(key: str, index: Bm25Index, passage: int, min_overlap: float) -> Scanner:
     return worker_state(key, lambda: Scanner(index, passage, min_overlap))

@@ -292,6 +292,31 @@ def test_decontamination_against_a_full_comparison(spark):
     assert decontaminate.find(docs, table.where("false")).collect() == []
 
 
+def test_decontamination_finds_near_copies(spark):
+    """Copies with one changed word anywhere, and questions without the answer, for items of many shapes."""
+    bench = [(i, prose(q, 1000 + i).replace(".", "") + ". " + prose(a, 2000 + i).replace(".", "") + ".") for i, (q, a) in enumerate([(6, 3), (8, 5), (10, 10), (20, 5), (25, 12), (40, 8), (16, 30), (5, 4)])]
+    rows, want, at = [], set(), 0
+    for i, text in bench:
+        words = text.split()
+        for k in range(len(words)):
+            copy = [*words[:k], "changed" + words[k][-1:] * words[k].endswith("."), *words[k + 1 :]]
+            rows.append((at, prose(60, at) + " " + " ".join(copy) + " " + prose(60, at + 1)))
+            want.add((at, i))
+            at += 1
+        question = text.split(". ")[0]
+        if len(question.split()) > 12:
+            rows.append((at, prose(60, at) + " " + question + ". " + prose(60, at + 1)))
+            want.add((at, i))
+            at += 1
+    rows += [(10_000 + k, prose(300, 50_000 + k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.find(docs, table).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert (want - got, got - want) == (set(), set())
+    assert {r["doc_id"] for r in decontaminate.keep(docs, table).collect()} == {d for d, _ in rows if d >= 10_000}
+
+
 def test_hash_sample_is_bounded_and_repeats(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"] for r in hash_sample(df, "doc_id", 1000).collect()}
