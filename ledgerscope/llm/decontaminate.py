@@ -146,6 +146,7 @@ class Bm25Index:
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         df = Counter(w for ws in words for w in set(ws))
         self.thresholds = []
+        self.weights: list[dict[str, float]] = [{} for _ in items]
         for k, ws in enumerate(words):
             own = asked = 0.0
             question = set(self.items[k].words[0]) if self.items[k].asks else set()
@@ -153,11 +154,14 @@ class Bm25Index:
                 idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / max(mean, 1)))
                 postings[w].append((k, impact))
+                self.weights[k][w] = impact
                 own += impact
                 asked += impact if w in question else 0.0
             # A passage sees at least this share of a copy, wherever the copy lies.
-            spans = max(1, math.ceil(2 * len(ws) / passage))
-            self.thresholds.append(min_score * (asked if question else own) / spans if ws else math.inf)
+            share = own / max(1, math.ceil(2 * len(ws) / passage))
+            if question:
+                share = min(share, asked / max(1, math.ceil(2 * len(self.items[k].words[0]) / passage)))
+            self.thresholds.append(min_score * share if ws else math.inf)
         self.longest = max(map(len, words), default=0)
         self.lists = {
             w: [Block(p[0][0], p[-1][0], max(x for _, x in p), *map(tuple, zip(*p, strict=True))) for p in (ps[i : i + BLOCK] for i in range(0, len(ps), BLOCK))]
@@ -167,6 +171,11 @@ class Bm25Index:
         self.least = min(self.thresholds, default=math.inf)
         self._essential(postings, n)
 
+    def reaches(self, item: int, query: set[str]) -> bool:
+        """Whether the query's words can reach the item's threshold (up to rounding)."""
+        weights = self.weights[item]
+        return sum(weights[w] for w in weights.keys() & query) >= self.thresholds[item] * (1 - 1e-9)
+
     def _essential(self, postings: dict[str, list[tuple[int, float]]], n: int) -> None:
         """Postings of the essential words as arrays, and what an item needs from them.
 
@@ -335,10 +344,12 @@ class Scanner:
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, float, float, int]]]:
         """For each text, (item id, question overlap, answer overlap, first word) of each verified item."""
-        split = [t.split() for t in texts]
+        index, split = self.index, [t.split() for t in texts]
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, a, within in self.candidate_passages(split):
-            for item in self.wand.search({w for w in map(normal, split[t][a : a + self.passage]) if w}, within):
+            query = {w for w in map(normal, split[t][a : a + self.passage]) if w}
+            within = [i for i in within if index.reaches(i, query)]
+            for item in self.wand.search(query, within) if within else ():
                 found[t][item].append(a)
         out: list[list[tuple[int, float, float, int]]] = [[] for _ in texts]
         for t, items in found.items():
