@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, jaccard, language, licenses, packing, quality, secrets, substrings, tokens, toxicity, tries
+from ledgerscope.llm import decontaminate, jaccard, language, licenses, neardup, packing, quality, secrets, substrings, tokens, toxicity, tries
 from ledgerscope.llm.common import crc_remainder, documents
 
 #: Where the public vocabulary files lie; the operators take the path of a file.
@@ -69,6 +69,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
 }
 
