@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,19 +97,23 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read back (cuts the lineage).
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder, a cluster must name it.
+    Only a local session without that setting gets a temporary folder, a
+    cluster must name one.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back (cuts the lineage)."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontaminate, jaccard, language, licenses, neardup, packing, quality, secrets, substrings, tokens, toxicity, tries
+from ledgerscope.llm import decontaminate, hardneg, jaccard, language, licenses, neardup, packing, quality, secrets, substrings, tokens, toxicity, tries
 from ledgerscope.llm.common import crc_remainder, documents
 
 #: Where the public vocabulary files lie; the operators take the path of a file.
@@ -77,6 +78,12 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved)
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -1,0 +1,101 @@
+"""Hard negatives against all scores, and curve and bounds on their own."""
+
+from __future__ import annotations
+
+import itertools
+import math
+
+import numpy as np
+import pytest
+from ledgerscope.llm import hardneg
+from pyspark.sql import functions as F
+
+SCHEMA = "vec_id long, embedding array<float>, label int, row string, win string, zone string, score string"
+
+
+def brute(rows, every, positives=5, negatives=5):
+    ok = [(i, v, lab) for i, v, lab in rows if i is not None and lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    dims = max((len(v) for _, v, _ in ok), default=0)
+    q = [[max(-(2**26), min(2**26, math.floor(256 * float(np.float32(x))))) for x in v] + [0] * (dims - len(v)) for _, v, _ in ok]
+    out = []
+    for a, (aid, _, lab) in enumerate(ok):
+        if aid % every:
+            continue
+        score = [sum(x * y for x, y in zip(q[a], r, strict=True)) for r in q]
+        order = sorted(range(len(ok)), key=lambda r: (-score[r], ok[r][0]))
+        for p in [r for r in order if r != a and ok[r][2] == lab][:positives]:
+            hits = [r for r in order if ok[r][2] != lab and 80 * score[p] <= 100 * score[r] <= 100 * score[p]][:negatives]
+            out += [(aid, ok[p][0], k + 1, ok[r][0], score[p], score[r]) for k, r in enumerate(hits)]
+    return sorted(out)
+
+
+def found(spark, rows, every, **more):
+    df = spark.createDataFrame([(*r, "x", "y", "z", "s") for r in rows], SCHEMA).repartition(3)
+    return sorted(tuple(r) for r in hardneg.hard_negatives(df, F.col("vec_id") % every == 0, **more).collect())
+
+
+def clustered(seed, n, dims, clusters=6, noise=0.08):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    return [(i, [float(np.float32(x)) for x in centres[rng.integers(clusters)] + noise * rng.normal(size=dims)], int(rng.integers(3))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("seed", "dims", "groups"), [(1, 5, 1000), (2, 64, 7)])
+def test_all_scores(spark, seed, dims, groups):
+    rows = clustered(seed, 600, dims)
+    truth = brute(rows, 20)
+    assert len(truth) > 300
+    assert found(spark, rows, 20, block_rows=16, anchors_at_once=groups) == truth
+
+
+def test_bounds_leave_blocks_unread():
+    """On clustered vectors the narrowed windows skip most blocks."""
+    rng = np.random.default_rng(3)
+    centres = 4 * rng.normal(size=(20, 8))
+    q = np.floor(64 * (np.repeat(centres, 50, axis=0) + 0.05 * rng.normal(size=(1000, 8)))).astype(np.int64)
+    w = hardneg.Windows(np.arange(20), np.zeros(20, np.int64), q[::50], False, np.arange(20), (q[::50] ** 2).sum(1) * 9 // 10, (q[::50] ** 2).sum(1), 5)
+    asked = sum(len(w.wanted(q[a : a + 50].min(0), q[a : a + 50].max(0))) for a in range(0, 1000, 50))
+    assert asked < 0.5 * 20 * 20
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    q = rng.integers(-50, 50, (200, 9))
+    w = hardneg.Windows(np.arange(30), np.zeros(30, np.int64), q[:30], True, np.arange(30), np.zeros(30, np.int64), np.zeros(30, np.int64), 5)
+    least, most = w.bounds(q[100:].min(0), q[100:].max(0))
+    scores = q[:30] @ q[100:].T
+    assert (least <= scores.min(1)).all() and (most >= scores.max(1)).all()
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(1, 3), (2, 1), (2, 4), (3, 2), (4, 2)])
+def test_curve_visits_neighbours(dims, bits):
+    """All cells once, each step to a cell beside."""
+    cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+    keys = [k.tobytes() for k in hardneg.hilbert(cells, bits)]
+    assert len(set(keys)) == len(cells)
+    path = cells[sorted(range(len(cells)), key=lambda i: keys[i])]
+    assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (None, [1.0, 1.0], 1), (0, [1.0, 0.5], 1), (1, [1.0, 0.5], 1), (2, [1.0, 0.5], 1), (3, [0.9, 0.5], 2), (4, [0.9, 0.5], 2), (5, None, 2), (6, [1.0, nan], 2),
+        (7, [inf, 1.0], 2), (8, [1.0, None], 2), (9, [1.0, 0.4], None), (10, [1.0, 0.5], 2), (11, [], 2), (12, [1.0], 2), (13, [0.9, 0.4, 3.0], 2), (3, [0.9, 0.5], 2),
+        (20, [-1.0, -1.0], 5), (21, [1.0, 1.0], 5), (30, [1e30, 1.0], 7), (31, [1e30, -1e30], 7), (32, [1e30, 0.0], 8), (40, [], 9), (0, [1.0, 0.5], 1),
+    ]
+    truth = brute(rows, 10)
+    assert truth
+    assert found(spark, rows, 10) == truth
+
+
+def test_ties_and_copies(spark):
+    """A third of all rows are copies: ties go by the smaller id, whatever the blocks."""
+    rows = [(i, [1.0, 2.0, 3.0], i % 2) for i in range(200)] + clustered(5, 300, 3)[200:] + [(1000 + i, [1.0, 2.0, 2.5], 3) for i in range(50)]
+    assert found(spark, rows, 40, block_rows=8) == brute(rows, 40)
+
+
+def test_empty_tables(spark):
+    assert found(spark, [], 1) == []
+    assert found(spark, [(1, [1.0], 1)], 1) == []
+    assert found(spark, [(1, [1.0], 1)], 2) == []
