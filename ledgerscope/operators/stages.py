@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.dates import DateWindow
-from ledgerscope.functions.revenue import INFLOW, OUTFLOW, revenue, when_type
 from ledgerscope.schemas import MONEY
-from ledgerscope.sources.tables import PARTITION_COLUMNS, bucket_column, bucket_of
+from ledgerscope.sources.rollups import credit_amounts, flow_sums
+from ledgerscope.sources.tables import bucket_column, bucket_of, owners_of
+from ledgerscope.sources.windows import in_window
 
 CUSTOMER = "Customer"
 BUSINESS = "Business"
@@ -43,37 +44,21 @@ ALL = _All()
 # helpers
 
 
-def in_window(df: DataFrame, ts_col: str, window: DateWindow) -> DataFrame:
-    """Rows whose ``ts_col`` lies in ``window``.
+def with_keys(rows: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``key_col`` is among the ``Email`` values of ``keys``, as a lazy semi join.
 
-    Both bounds are literals, so a Parquet scan receives them as pushed
-    filters.  When the table was landed with a month partition column, an
-    implied predicate on it prunes whole directories too (exact: a
-    timestamp inside the window has its month inside the months of the
-    bounds).
+    When the rows carry a landed bucket of that key, the join is on (bucket,
+    key): the bucket is a partition column, so dynamic partition pruning skips
+    the directories of all other buckets at run time.  Rows grouped by their
+    key meet a set that Spark can broadcast before they are grouped (Catalyst
+    moves the semi join below the aggregate), a larger one after.
     """
-    out = df.where(window.contains(ts_col))
-    for date_col, part_col in PARTITION_COLUMNS.values():
-        if date_col == ts_col and part_col in df.columns and not window.is_open:
-            lo = F.trunc(F.lit(window.start), "month")
-            hi = F.trunc(F.lit(window.end), "month")
-            out = out.where(F.col(part_col).between(lo, hi))
-    return out
-
-
-def with_keys(fact: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``fact`` whose ``key_col`` is among ``keys`` (its only column), as a lazy semi join.
-
-    When the fact was landed with a bucket column of that key, the join is on
-    (bucket, key): the bucket is a partition column, so dynamic partition
-    pruning skips the directories of all other buckets at run time.
-    """
-    wanted = keys.toDF(key_col).where(F.col(key_col).isNotNull()).distinct()
-    bucket = bucket_column(fact)
-    if bucket is None:
-        return fact.join(wanted, key_col, "left_semi").select(*fact.columns)
-    wanted = wanted.withColumn(bucket, bucket_of(F.col(key_col), bucket))
-    return fact.join(wanted, [bucket, key_col], "left_semi").select(*fact.columns)
+    bucket = bucket_column(rows)
+    wanted = keys.select(F.col("Email").alias("_key"), *([bucket_of(F.col("Email"), bucket).alias("_bucket")] if bucket else []))
+    on = rows[key_col] == wanted["_key"]
+    if bucket:
+        on = (rows[bucket] == wanted["_bucket"]) & on
+    return rows.join(wanted, on, "left_semi")
 
 
 def replicate(df: DataFrame, times: str, chunk: int = 4096, copy_col: str | None = None) -> DataFrame:
@@ -85,14 +70,12 @@ def replicate(df: DataFrame, times: str, chunk: int = 4096, copy_col: str | None
     (0-based), e.g. as a final sort key that lets a range partitioner split
     a long run of identical copies between tasks.
     """
-    n = F.greatest(F.coalesce(F.col(times).cast("long"), F.lit(1)), F.lit(1))
-    outer = df.withColumn("_rep_n", n).withColumn(
-        "_rep_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_rep_n") - 1) / chunk).cast("long")))
+    outer = df.selectExpr("*", f"greatest(coalesce(cast(`{times}` AS bigint), 1L), 1L) AS _rep_n").selectExpr(
+        "*", f"explode(sequence(0L, (_rep_n - 1) div {chunk})) AS _rep_chunk"
     )
-    size = F.least(F.lit(chunk).cast("long"), F.col("_rep_n") - F.col("_rep_chunk") * chunk)
-    inner = outer.withColumn("_rep_i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+    inner = outer.selectExpr("*", f"explode(sequence(1L, least({chunk}L, _rep_n - _rep_chunk * {chunk}))) AS _rep_i")
     if copy_col is not None:
-        inner = inner.withColumn(copy_col, F.col("_rep_chunk") * chunk + F.col("_rep_i") - 1)
+        inner = inner.selectExpr("*", f"_rep_chunk * {chunk} + _rep_i - 1 AS `{copy_col}`")
     return inner.drop("_rep_n", "_rep_chunk", "_rep_i", times)
 
 
@@ -129,12 +112,15 @@ def assignment_counts(saa: DataFrame) -> DataFrame:
 
 
 def holder_records(customers: DataFrame, businesses: DataFrame) -> DataFrame:
-    """Customer and business records under one key: (``_kind``, ``_owner``, ``Email``, ``AccountHolder``)."""
-    cust = customers.select(
-        F.lit("C").alias("_kind"), F.col("Id").alias("_owner"), F.col("UserName").alias("Email"), F.lit(CUSTOMER).alias("AccountHolder")
-    )
-    biz = businesses.select(F.lit("B").alias("_kind"), F.col("Id").alias("_owner"), F.col("Email"), F.lit(BUSINESS).alias("AccountHolder"))
-    return cust.unionByName(biz).where(F.col("Email").isNotNull())
+    """Customer and business records under one key: (``_kind``, ``_owner``, ``Email``, ``AccountHolder``).
+
+    A landed bucket of the e-mail that both have is kept.
+    """
+    bucket = bucket_column(customers)
+    kept = [bucket] if bucket is not None and bucket == bucket_column(businesses) else []
+    cust = customers.selectExpr("'C' AS _kind", "Id AS _owner", "UserName AS Email", f"'{CUSTOMER}' AS AccountHolder", *kept)
+    biz = businesses.selectExpr("'B' AS _kind", "Id AS _owner", "Email", f"'{BUSINESS}' AS AccountHolder", *kept)
+    return cust.unionByName(biz).where("Email IS NOT NULL")
 
 
 def account_holders(assigned: DataFrame, customers: DataFrame, businesses: DataFrame) -> DataFrame:
@@ -155,21 +141,11 @@ def account_holders(assigned: DataFrame, customers: DataFrame, businesses: DataF
 
 
 def account_owners(accounts: DataFrame) -> DataFrame:
-    """Accounts keyed by owner: (``_kind`` 'C'/'B', ``_owner`` id, ``AccountNumber``).
+    """Accounts keyed by owner: (``_kind``, ``_owner``, ``AccountNumber``), a landed bucket of the owner kept.
 
-    An account row yields one key per non-null owner column, so the
-    disjunctive "customer id matches OR business id matches" join becomes a
-    single equi join on (kind, id).
+    ``accounts`` is the accounts table, or the landed ``account_owners``, which has these columns already.
     """
-    owners = F.array(
-        F.struct(F.lit("C").alias("_kind"), F.col("CustomerId").alias("_owner")),
-        F.struct(F.lit("B").alias("_kind"), F.col("BusinessId").alias("_owner")),
-    )
-    return (
-        accounts.select("AccountNumber", F.inline(owners))
-        .where(F.col("_owner").isNotNull())
-        .select("_kind", "_owner", "AccountNumber")
-    )
+    return accounts if "_owner" in accounts.columns else owners_of(accounts)
 
 
 def holder_key(holders: DataFrame) -> DataFrame:
@@ -198,14 +174,12 @@ def resolve_accounts(holders: DataFrame, accounts: DataFrame) -> DataFrame:
 # inflow (per key)
 
 
-def credits_per_account(credits: DataFrame, window: DateWindow) -> DataFrame:
-    """Credit total per beneficiary account inside ``window``: (``AccountNumber``, ``_amt``)."""
-    return (
-        in_window(credits, "RequestDate", window)
-        .where(F.col("BeneficiaryAccountNumber").isNotNull())
-        .groupBy(F.col("BeneficiaryAccountNumber").alias("AccountNumber"))
-        .agg(F.sum(F.col("Amount").cast(MONEY)).alias("_amt"))
-    )
+def credits_per_account(credits: DataFrame, window: DateWindow, months: DataFrame | None = None) -> DataFrame:
+    """Credit total per beneficiary account inside ``window``: (``AccountNumber``, ``_amt``).
+
+    ``months``: the landed ``credit_months``, which spares the rows of whole months.
+    """
+    return credit_amounts(credits, window, months).groupBy("AccountNumber").agg(F.sum("_amt").alias("_amt"))
 
 
 def owner_inflow(per_account: DataFrame, owners: DataFrame) -> DataFrame:
@@ -223,21 +197,58 @@ def holder_inflow(owner_in: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def credit_per_holder(
-    credits: DataFrame, accounts: DataFrame, customers: DataFrame, businesses: DataFrame, window: DateWindow, emails: DataFrame | None = None
+    credits: DataFrame, accounts: DataFrame, customers: DataFrame, businesses: DataFrame, window: DateWindow, months: DataFrame | None = None
 ) -> DataFrame:
-    """Credit total per (``Email``, ``AccountHolder``): per account, then per owner, then per holder record.
+    """Credit total per (``Email``, ``AccountHolder``): per account, then per owner, then per holder record."""
+    records, owners = holder_records(customers, businesses), account_owners(accounts)
+    return holder_inflow(owner_inflow(credits_per_account(credits, window, months), owners), records)
+
+
+def pair_counts(assigned: DataFrame) -> DataFrame:
+    """Assignment rows per (``Email``, ``AccountHolder``) with an e-mail, as ``_k``.
+
+    The filter on the count drops nothing.  It keeps the count in every use of
+    the relation, however few columns that use reads, so that Spark sees one and the same
+    exchange in all of them and runs it once.
+    """
+    return assigned.where("Email IS NOT NULL").groupBy("Email", "AccountHolder").agg(F.expr("count(1) AS _k")).where("_k > 0")
+
+
+def holder_accounts(pairs: DataFrame, accounts: DataFrame, customers: DataFrame, businesses: DataFrame) -> DataFrame:
+    """Accounts of the pairs' holder records: (``Email``, ``AccountHolder``, ``_k``, ``AccountNumber``).
 
-    ``emails`` (one column) restricts the credits to the accounts of these
-    e-mails' records by lazy semi joins before anything is summed.  The few
-    sums then meet accounts and records whole, which costs no second pass
-    over the semi joins; what other e-mails' records get of them is for the
-    caller's own join with its e-mails to drop.
+    The one derivation of e-mail, record, owner and account for a person's
+    report.  Landed buckets of the e-mail and of the owner are part of the
+    joins, so dynamic pruning opens only the directories of these pairs.
     """
     records, owners = holder_records(customers, businesses), account_owners(accounts)
-    if emails is not None:
-        mine = records.join(emails.toDF("Email").distinct(), "Email", "left_semi").select("_kind", "_owner").distinct()
-        credits = with_keys(credits, "BeneficiaryAccountNumber", owners.join(mine, ["_kind", "_owner"], "left_semi").select("AccountNumber"))
-    return holder_inflow(owner_inflow(credits_per_account(credits, window), owners), records)
+    by = ["Email", "AccountHolder"]
+    if (bucket := bucket_column(records)) is not None:
+        pairs, by = pairs.withColumn(bucket, bucket_of(F.col("Email"), bucket)), [bucket, *by]
+    mine = records.join(pairs, by, "inner").select("Email", "AccountHolder", "_k", "_kind", "_owner")
+    by = ["_kind", "_owner"]
+    if (bucket := bucket_column(owners)) is not None:
+        mine, by = mine.withColumn(bucket, bucket_of(F.col("_owner"), bucket)), [bucket, *by]
+    return owners.join(mine, by, "inner").select("Email", "AccountHolder", "_k", "AccountNumber")
+
+
+def pair_inflow(held: DataFrame, credits: DataFrame, window: DateWindow, months: DataFrame | None = None) -> DataFrame:
+    """Inflow per e-mail of ``held`` (see ``holder_accounts``): (``Email``, ``totalinflow``).
+
+    A credit counts once per holder record and account row that it reaches
+    and once per assignment of that (e-mail, holder).  Credits meet the
+    accounts directly: where Spark can broadcast these, other people's credits
+    are dropped in the scan's own stage and the rest is summed there.
+    """
+    amounts, by = credit_amounts(credits, window, months), ["AccountNumber"]
+    if (bucket := bucket_column(amounts)) is not None:
+        held, by = held.withColumn(bucket, bucket_of(F.col("AccountNumber"), bucket)), [bucket, *by]
+    sums = []
+    for name, kind in (("_c", CUSTOMER), ("_b", BUSINESS)):
+        own = f"FILTER (WHERE AccountHolder = '{kind}')"
+        sums += [F.expr(f"sum(_amt) {own} AS {name}"), F.expr(f"max(_k) {own} AS {name}k")]
+    total = "coalesce(_c * _ck + _b * _bk, _c * _ck, _b * _bk) AS totalinflow"
+    return amounts.join(held, by, "inner").groupBy("Email").agg(*sums).selectExpr("Email", total)
 
 
 def inflow(
@@ -248,6 +259,7 @@ def inflow(
     businesses: DataFrame,
     window: DateWindow,
     key: str = "Email",
+    months: DataFrame | None = None,
 ) -> DataFrame:
     """Inflow per ``key`` ("Email" or "SalesPersonCode") over the assignments' accounts.
 
@@ -257,7 +269,7 @@ def inflow(
     (key, e-mail, holder).  A key appears only when at least one credit
     reaches it.  Result: (``key``, ``totalinflow``).
     """
-    per_email = credit_per_holder(credits, accounts, customers, businesses, window)
+    per_email = credit_per_holder(credits, accounts, customers, businesses, window, months)
     group = [key] if key == "Email" else [key, "Email"]
     weights = assigned.groupBy(*group, "AccountHolder").agg(F.count(F.lit(1)).alias("_n"))
     return (
@@ -277,39 +289,37 @@ def transactions_breakdown(
     rule: str = "flat",
     emails: DataFrame | None = None,
     deposit: bool = False,
+    months: DataFrame | None = None,
 ) -> DataFrame:
     """Outflow, fees and revenue per e-mail inside ``window``.
 
     ``emails`` (a frame with an ``Email`` column) keeps only e-mails in it.
     The transactions are aggregated first (partial aggregation shrinks them
     to one row per e-mail per task before the shuffle) and only the aggregate
-    meets the e-mail set, which suits a set of most e-mails; for a few
-    e-mails apply ``with_keys`` to ``tx`` instead.  Both orders give the same
-    rows, because the filter is on the grouping key.  ``emails=None`` skips
-    the filter for callers that join the result to assignments anyway.
+    meets the e-mail set, which suits a set of most e-mails; ``person_flows``
+    suits one person's.  Both give the same rows, because the filter is on the
+    grouping key.  ``emails=None`` skips the filter for callers that join the
+    result to assignments anyway.  ``months``: the landed
+    ``transaction_months``, which spares the rows of whole months.
 
     Result: ``EmailAddress``, ``totaloutflow``, ``totalfees``,
     ``totalrevenue`` (and ``totaldeposit`` when ``deposit``).
     """
-    ttype = F.col("TransactionType")
-    fee = F.col("TransactionFee").cast(MONEY)
-    amount = F.col("Amount").cast(MONEY)
-    measures = [
-        F.sum(when_type(ttype, OUTFLOW, amount)).alias("totaloutflow"),
-        F.sum(when_type(ttype, OUTFLOW, fee)).alias("totalfees"),
-        F.sum(revenue(ttype, fee, rule)).alias("totalrevenue"),
-    ]
-    if deposit:
-        measures.append(F.sum(when_type(ttype, INFLOW, amount)).alias("totaldeposit"))
-
-    rows = in_window(tx, "DateCreated", window)
+    summed = flow_sums(tx, window, rule, deposit, months)
+    if (bucket := bucket_column(summed)) is not None:
+        summed = summed.drop(bucket)
     if emails is None:
-        return rows.groupBy("EmailAddress").agg(*measures)
+        return summed
     keys = emails.select(F.col("Email").alias("EmailAddress")).where(F.col("EmailAddress").isNotNull())
-    summed = rows.groupBy("EmailAddress").agg(*measures)
     return summed.join(keys.distinct(), "EmailAddress", "inner")
 
 
+def person_flows(tx: DataFrame, window: DateWindow, rule: str, keys: DataFrame, months: DataFrame | None = None) -> DataFrame:
+    """``transactions_breakdown`` of the e-mails of ``keys`` (see ``with_keys``), with ``Email`` as the key's name."""
+    mine = with_keys(flow_sums(tx, window, rule, False, months), "EmailAddress", keys)
+    return mine.selectExpr("EmailAddress AS Email", "totaloutflow", "totalfees", "totalrevenue")
+
+
 # --------------------------------------------------------------------------
 # balances
 
@@ -380,8 +390,7 @@ def balances_by_email(balances: DataFrame, assigned: DataFrame, keep_holder: boo
     ``TotalLedgerBalance``, ``TotalAvailableBalance`` (and ``AccountHolder``
     after the user name when ``keep_holder``).
     """
-    emails = assigned.select(F.col("Email").alias("UserName")).where(F.col("UserName").isNotNull())
-    return balances.join(emails.distinct(), "UserName", "left_semi").select(
+    return with_keys(balances, "UserName", assigned).select(
         "UserName",
         *(["AccountHolder"] if keep_holder else []),
         F.col("TotalLedgerBalance").cast(MONEY).alias("TotalLedgerBalance"),
@@ -401,11 +410,15 @@ __all__ = [
     "balances_by_email",
     "credit_per_holder",
     "credits_per_account",
+    "holder_accounts",
     "holder_inflow",
     "holder_records",
     "in_window",
     "inflow",
     "owner_inflow",
+    "pair_counts",
+    "pair_inflow",
+    "person_flows",
     "replicate",
     "resolve_accounts",
     "transactions_breakdown",

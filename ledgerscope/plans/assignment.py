@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.dates import OMITTED, DateLike, DateWindow, default_window
-from ledgerscope.functions.money import money_total, revenue_total
 from ledgerscope.operators.stages import (
     assigned_accounts,
     balances_by_email,
-    credit_per_holder,
+    holder_accounts,
+    pair_counts,
+    pair_inflow,
+    person_flows,
     replicate,
-    transactions_breakdown,
-    with_keys,
 )
 from ledgerscope.plans.ordering import ascending, sort_columns
 from ledgerscope.schemas import ASSIGNMENT_SUMMARY, check_shape
@@ -34,7 +34,28 @@ def as_window(w: WindowLike) -> DateWindow:
     return w if isinstance(w, DateWindow) else DateWindow.of(*w)
 
 
-SALTS = 16
+# Assignment rows of one (e-mail, holder) that meet one copy of its measures.
+ROWS_PER_COPY = 500
+
+
+def rows_with_measures(assigned: DataFrame, measures: DataFrame, rows_per_copy: int = ROWS_PER_COPY) -> DataFrame:
+    """Assignment rows left-joined to ``measures``, which has rows per (``Email``, ``AccountHolder``) and their count ``_k``.
+
+    The measures of a pair are copied once per ``rows_per_copy`` of its
+    assignments, and its assignments are dealt to these copies, so a hot pair
+    is split by its size while any other is copied once.  Only pairs of more than one copy
+    are looked up for that, at most a ``rows_per_copy``-th of the assignments.
+    Rows without an e-mail match nothing; their row number spreads them.
+    """
+    copies = f"cast(ceil(_k / {rows_per_copy}) AS bigint)"
+    hot = pair_counts(assigned).where(f"_k > {rows_per_copy}").selectExpr("Email AS _hot_email", "AccountHolder AS _hot_holder", f"{copies} AS _copies_of")
+    numbered = assigned.select("*", F.monotonically_increasing_id().alias("_row"))
+    dealt = numbered.join(hot, F.expr("coalesce(Email, concat('\\0', _row)) = _hot_email AND AccountHolder <=> _hot_holder"), "left")
+    left = dealt.selectExpr(*assigned.columns, "CASE WHEN Email IS NULL THEN _row ELSE pmod(_row, coalesce(_copies_of, 1L)) END AS _salt").alias("l")
+    right = measures.selectExpr("*", f"explode(sequence(0L, {copies} - 1)) AS _salt").alias("r")
+    on = F.expr("l.Email = r.Email AND l._salt = r._salt AND l.AccountHolder <=> r.AccountHolder")
+    kept = [f"r.{c}" for c in measures.columns if c not in ("Email", "AccountHolder", "_k")]
+    return left.join(right, on, "left").select(*(f"l.{c}" for c in assigned.columns), *kept)
 
 
 def assignment_rows(
@@ -49,11 +70,11 @@ def assignment_rows(
 ) -> DataFrame:
     """The unsorted assignment summary (see ``assignment_summary``).
 
-    One lazy plan at every size: the person's e-mails restrict facts and
-    dimensions by semi joins before anything is aggregated, the measures are
-    joined per distinct (e-mail, holder), and the assignment rows come back
-    at the end over a salted key, so a third of them may share one e-mail.
-    Rows without an e-mail match nothing and go round the joins.
+    One lazy plan at every size.  The person's (e-mail, holder) pairs are one
+    relation that restricts transactions, balances, customers and businesses,
+    and through these the accounts and credits; every table is scanned once,
+    besides the assignments, which come back at the end with all their columns
+    (``rows_with_measures``).
 
     ``copy_col`` adds the index of each repeated balance row (0 otherwise),
     for use as a last sort key.
@@ -65,50 +86,32 @@ def assignment_rows(
     assigned = assigned_accounts(tables.sales_assigned_accounts, code).select(
         "Email", "AccountName", "PhoneNumber", "AccountHolder"
     )
-    known = assigned.where(F.col("Email").isNotNull())
-    emails = known.select("Email").distinct()
-    pairs = known.groupBy("Email", "AccountHolder").agg(F.count(F.lit(1)).alias("_k"))
+    pairs = pair_counts(assigned)
 
-    flows = transactions_breakdown(with_keys(tables.transactions, "EmailAddress", emails), tx_w, revenue_rule)
-    credit = credit_per_holder(
-        tables.post_credit_transactions, tables.accounts, tables.customers, tables.businesses, cr_w, emails
-    )
-    inflow = pairs.join(credit, ["Email", "AccountHolder"], "inner").groupBy("Email").agg(
-        F.sum(F.col("_amt") * F.col("_k")).alias("totalinflow")
-    )
-    by_pair = pairs.join(flows.withColumnRenamed("EmailAddress", "Email"), "Email", "left").join(inflow, "Email", "left")
-    balances = balances_by_email(tables.daily_balances, emails, keep_holder=balance_match == "holder").withColumnRenamed("UserName", "Email")
+    owners = tables.accounts if tables.account_owners is None else tables.account_owners
+    held = holder_accounts(pairs, owners, tables.customers, tables.businesses)
+    inflow = pair_inflow(held, tables.post_credit_transactions, cr_w, tables.credit_months)
+    flows = person_flows(tables.transactions, tx_w, revenue_rule, pairs, tables.transaction_months)
+    balances = balances_by_email(tables.daily_balances, pairs, keep_holder=balance_match == "holder").withColumnRenamed("UserName", "Email")
+
+    by_pair = pairs.join(flows, "Email", "left").join(inflow, "Email", "left")
     if balance_match == "holder":
-        balances = balances.withColumn("_found", F.lit(True))
-        by_pair = by_pair.join(balances, ["Email", "AccountHolder"], "left")
-        copies = F.when(F.col("_found"), F.col("_k")).otherwise(F.lit(1))
+        by_pair = by_pair.join(balances.selectExpr("*", "true AS _found"), ["Email", "AccountHolder"], "left")
+        copies = "CASE WHEN _found THEN _k ELSE 1L END AS _copies"
     else:
         by_pair = by_pair.join(balances, "Email", "left")
-        copies = F.lit(1)
+        copies = "1L AS _copies"
     measures = ["totaloutflow", "totalinflow", "totalfees", "totalrevenue", "TotalLedgerBalance", "TotalAvailableBalance"]
-    by_pair = by_pair.select("Email", "AccountHolder", *measures, copies.cast("long").alias("_copies"))
-
-    salted = by_pair.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = known.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).alias("l")
-    on = (F.col("l.Email") == F.col("r.Email")) & (F.col("l._salt") == F.col("r._salt")) & F.col("l.AccountHolder").eqNullSafe(F.col("r.AccountHolder"))
-    rows = left.join(salted.alias("r"), on, "left").select("l.Email", "AccountName", "PhoneNumber", "l.AccountHolder", *measures, "_copies")
-    rows = rows.unionByName(assigned.where(F.col("Email").isNull()), allowMissingColumns=True)
-    rows = replicate(rows, "_copies", copy_col=copy_col)
-
-    extra = [F.col(copy_col)] if copy_col is not None else []
-    return rows.select(
-        F.col("Email").cast("string").alias("email"),
-        F.col("AccountName").cast("string").alias("accountname"),
-        F.col("PhoneNumber").cast("string").alias("phonenumber"),
-        F.col("AccountHolder").cast("string").alias("accountholder"),
-        money_total(F.col("totaloutflow")).alias("totaloutflow"),
-        money_total(F.col("totalinflow")).alias("totalinflow"),
-        money_total(F.col("totalfees")).alias("totalfees"),
-        revenue_total(F.col("totalrevenue")).alias("totalrevenue"),
-        money_total(F.col("TotalLedgerBalance")).alias("totalledgerbalance"),
-        money_total(F.col("TotalAvailableBalance")).alias("totalavailablebalance"),
-        *extra,
-    )
+    by_pair = by_pair.selectExpr("Email", "AccountHolder", "_k", *measures, copies)
+    rows = replicate(rows_with_measures(assigned, by_pair), "_copies", copy_col=copy_col)
+
+    # One expression per result column: building a plan is most of a small report's time.
+    total = "coalesce(cast({0} AS {1}), cast(0 AS {1})) AS {2}"
+    columns = []
+    for f, source in zip(ASSIGNMENT_SUMMARY.fields, ["Email", "AccountName", "PhoneNumber", "AccountHolder", *measures], strict=True):
+        kind = f.dataType.simpleString()
+        columns.append(f"cast({source} AS string) AS {f.name}" if kind == "string" else total.format(source, kind, f.name))
+    return rows.selectExpr(*columns, *([copy_col] if copy_col is not None else []))
 
 
 def assignment_summary(

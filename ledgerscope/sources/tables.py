@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,13 @@ from ledgerscope.schemas import MONEY, OPTIONAL_COLUMNS, TABLE_NAMES, TABLE_SCHE
 
 @dataclass(frozen=True)
 class Tables:
+    """The seven tables, and what a landing may have derived from them.
+
+    ``account_owners`` holds the accounts by owner (see ``stages.account_owners``), the
+    ``_months`` tables monthly sums per key (see ``sources.rollups``); the
+    stages use them where they are there.
+    """
+
     sales_assigned_accounts: DataFrame
     customers: DataFrame
     businesses: DataFrame
@@ -28,12 +36,22 @@ class Tables:
     transactions: DataFrame
     post_credit_transactions: DataFrame
     daily_balances: DataFrame
+    account_owners: DataFrame | None = None
+    transaction_months: DataFrame | None = None
+    credit_months: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        """The seven tables by name."""
+        return {name: getattr(self, name) for name in TABLE_NAMES}
+
+    def replace(self, **changes: DataFrame | None) -> "Tables":
+        """A copy with other tables; what was derived from a replaced one is left out."""
+        kept = {d: getattr(self, d) for d, source in DERIVED.items() if source not in changes}
+        return Tables(**{**self.as_dict(), **kept, **changes})
 
-    def replace(self, **changes: DataFrame) -> "Tables":
-        return Tables(**{**self.as_dict(), **changes})
+
+# What a landing may derive, and from which table.
+DERIVED = {"account_owners": "accounts", "transaction_months": "transactions", "credit_months": "post_credit_transactions"}
 
 
 # Facts landed by ``write_tables`` carry a month partition column derived from
@@ -45,13 +63,13 @@ PARTITION_COLUMNS: dict[str, tuple[str, str]] = {
 }
 
 
-# They may also carry a bucket of their join key as a second partition column;
-# its name says how many buckets there are.
+# Landed tables may also carry a bucket of their join key as a partition column
+# (facts: after the month); its name says how many buckets there are.
 _BUCKET = re.compile(r"key_bucket_of_(\d+)$")
 
 
 def bucket_column(df: DataFrame) -> str | None:
-    """The bucket partition column of a landed fact, if it has one."""
+    """The bucket partition column of a landed table, if it has one."""
     return next((c for c in df.columns if _BUCKET.fullmatch(c)), None)
 
 
@@ -85,27 +103,39 @@ def conform(df: DataFrame, name: str) -> DataFrame:
             col = F.col(f"`{src}`").cast(f.dataType)
         cols.append(col.alias(f.name))
     part = PARTITION_COLUMNS.get(name)
-    if part is not None:
-        if part[1].lower() in have:
-            cols.append(F.col(have[part[1].lower()]).cast("date").alias(part[1]))
-        if (bucket := bucket_column(df)) is not None:
-            cols.append(F.col(bucket).cast("int").alias(bucket))
+    if part is not None and part[1].lower() in have:
+        cols.append(F.col(have[part[1].lower()]).cast("date").alias(part[1]))
+    if name in BUCKETED and (bucket := bucket_column(df)) is not None:
+        cols.append(F.col(bucket).cast("int").alias(bucket))
     return df.select(*cols)
 
 
+def _derived(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The derived tables that lie under ``root``."""
+    found = {}
+    for name in DERIVED:
+        try:
+            found[name] = spark.read.parquet(os.path.join(root, name))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
 def read_parquet_tables(
     spark: SparkSession, root: str, names: Mapping[str, str] | None = None
 ) -> Tables:
     """Read each table from ``root/<name>`` (a Parquet file or directory).
 
     ``names`` maps our table names to other directory names if they differ.
+    Derived tables are read where a landing wrote them.
     """
     names = dict(names or {})
     dfs = {}
     for t in TABLE_NAMES:
         path = os.path.join(root, names.get(t, t))
         dfs[t] = conform(spark.read.parquet(path), t)
-    return Tables(**dfs)
+    return Tables(**dfs, **_derived(spark, root))
 
 
 def read_catalog_tables(
@@ -159,40 +189,77 @@ SORT_KEYS: dict[str, str] = {
     "transactions": "EmailAddress",
     "post_credit_transactions": "BeneficiaryAccountNumber",
     "daily_balances": "UserName",
+    "account_owners": "_owner",
+    "transaction_months": "EmailAddress",
+    "credit_months": "BeneficiaryAccountNumber",
 }
 
 
+# Tables that ``buckets`` lays out by a hash of their sort key.
+BUCKETED = ("customers", "businesses", "transactions", "post_credit_transactions", "daily_balances", "account_owners")
+
+
+def owners_of(accounts: DataFrame) -> DataFrame:
+    """Accounts keyed by owner: (``_kind`` 'C'/'B', ``_owner`` id, ``AccountNumber``).
+
+    An account row yields one key per non-null owner column, so the
+    disjunctive "customer id matches OR business id matches" join becomes a
+    single equi join on (kind, id).
+    """
+    owners = F.array(
+        F.struct(F.lit("C").alias("_kind"), F.col("CustomerId").alias("_owner")),
+        F.struct(F.lit("B").alias("_kind"), F.col("BusinessId").alias("_owner")),
+    )
+    return (
+        accounts.select("AccountNumber", F.inline(owners))
+        .where(F.col("_owner").isNotNull())
+        .select("_kind", "_owner", "AccountNumber")
+    )
+
+
+def lay_out(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with its partition columns, and their names, as ``write_tables`` lands table ``name``."""
+    old = bucket_column(df)
+    landed, by = (df.drop(old) if old else df), []
+    if name in PARTITION_COLUMNS:
+        date_col, part_col = PARTITION_COLUMNS[name]
+        landed = landed.withColumn(part_col, F.trunc(F.col(date_col).cast("date"), "month"))
+        by.append(part_col)
+    if buckets and name in BUCKETED:
+        by.append(f"key_bucket_of_{buckets}")
+        landed = landed.withColumn(by[-1], bucket_of(F.col(SORT_KEYS[name]), by[-1]))
+    return landed, by
+
+
+def arranged(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Rows spread over writer tasks by range, and sorted as the files of table ``name`` are.
+
+    The last range key is a deterministic hash of the whole row, so one
+    month, and even one hot key inside it, is split between tasks.
+    """
+    order = [*by, SORT_KEYS[name]]
+    if name in PARTITION_COLUMNS:
+        order.append(PARTITION_COLUMNS[name][0])
+    return df.repartitionByRange(*order, F.xxhash64(*[F.col(c) for c in df.columns])).sortWithinPartitions(*order)
+
+
 def write_tables(tables: Tables, root: str, mode: str = "errorifexists", buckets: int = 0) -> None:
     """Land the tables as Parquet under ``root`` using ``SORT_KEYS`` and ``PARTITION_COLUMNS``.
 
-    Facts are partitioned by month of their date and, with ``buckets``, by a
-    hash bucket of their join key (``month x buckets`` directories at any
-    scale), and sorted by that key: a date window prunes months, a report of
-    one person prunes the buckets of everyone else.  Choose ``buckets`` so
-    that a directory holds at least a file's worth of rows.
-    Range partitioning on (month, bucket, key, timestamp, row hash) spreads
-    one month, and even one hot key inside it, over many writer tasks: the
-    last range key is a deterministic hash of the whole row, so rows sharing
-    a key are still split between tasks.  Files stay sorted by the key.
+    Facts are partitioned by month of their date.  With ``buckets``, facts,
+    balances, customers and businesses are also partitioned by a hash bucket
+    of their join key, and ``account_owners`` holds the accounts by bucket of
+    their owner: a date window prunes months, a report of one person prunes
+    the buckets of everyone else.  Choose ``buckets`` so that a directory holds at
+    least a file's worth of rows.  Files are sorted by the key.
     """
-    for name, df in tables.as_dict().items():
-        sort_key = SORT_KEYS[name]
-        out = os.path.join(root, name)
-        spread = F.xxhash64(*[F.col(c) for c in df.columns])
-        part = PARTITION_COLUMNS.get(name)
-        if part is not None:
-            date_col, part_col = part
-            old = bucket_column(df)
-            landed = (df.drop(old) if old else df).withColumn(part_col, F.trunc(F.col(date_col).cast("date"), "month"))
-            by = [part_col]
-            if buckets:
-                by.append(f"key_bucket_of_{buckets}")
-                landed = landed.withColumn(by[1], bucket_of(F.col(sort_key), by[1]))
-            landed = landed.repartitionByRange(*by, sort_key, date_col, spread).sortWithinPartitions(*by, sort_key, date_col)
-            landed.write.mode(mode).partitionBy(*by).parquet(out)
-        else:
-            landed = df.repartitionByRange(sort_key, spread).sortWithinPartitions(sort_key)
-            landed.write.mode(mode).parquet(out)
+    whole = tables.as_dict()
+    if buckets:
+        whole["account_owners"] = owners_of(tables.accounts)
+    for name, df in whole.items():
+        landed, by = lay_out(df, name, buckets)
+        writer = arranged(landed, name, by).write.mode(mode)
+        (writer.partitionBy(*by) if by else writer).parquet(os.path.join(root, name))
 
 
 def stored_bytes(spark: SparkSession, paths: list[str]) -> int:
