@@ -9,6 +9,7 @@ every assigned account (with zero flows).
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,29 @@ def _date_lit(d: dt.date | None) -> Column:
     return F.lit(d) if d is not None else F.lit(None).cast(T.DateType())
 
 
+def listed_months(fact: DataFrame, month_col: str = "created_month") -> list[dt.date]:
+    """Months of a fact landed by month, ascending, from the paths of its files: no job runs and no file is opened.
+
+    Rows without a date lie in a directory that names no month.  Files may be
+    empty, and the rows may have been filtered since, so a month may hold no row.
+    """
+    found = (re.search(rf"/{month_col}=(\d{{4}}-\d\d-\d\d)/", path) for path in fact.inputFiles())
+    return sorted({dt.date.fromisoformat(m[1]) for m in found if m})
+
+
+def _earliest_day(transactions: DataFrame, tries: int = 3) -> dt.date | None:
+    def earliest(rows: DataFrame) -> dt.date | None:
+        return rows.agg(F.to_date(F.min("DateCreated")).alias("d")).first()["d"]
+
+    if "created_month" in transactions.columns:
+        for month in listed_months(transactions)[:tries]:
+            # Exact: a row's month is derived from its own timestamp.
+            day = earliest(transactions.where(F.col("created_month") == F.lit(month)))
+            if day is not None:
+                return day
+    return earliest(transactions)
+
+
 class _Omitted:
     def __repr__(self) -> str:
         return "<omitted>"
@@ -71,22 +95,15 @@ def default_window(
     * ``end`` omitted: ``as_of``.  An explicit ``None`` stays None (empty window).
     * ``as_of`` defaults to today; pass it for repeatable runs.
 
-    The earliest date is one global ``MIN`` over a single column, fetched as
-    a scalar so both bounds stay literals that reach the Parquet scan.  When
-    the table is landed partitioned by month (``created_month``), the
-    earliest month is found from partition values first and only that
-    month is scanned: exact, because a row's month is derived from its own
-    timestamp.
+    The earliest date is one ``MIN`` over a single column, fetched as a scalar
+    so both bounds stay literals that reach the Parquet scan.  When the table
+    is landed by month (``created_month``), its file listing tells the months
+    and only the earliest one with rows is scanned (see ``listed_months``).
     """
     today = parse_date(as_of) or dt.date.today()
     first = parse_date(start)
     if first is None:
-        rows = transactions
-        if "created_month" in transactions.columns:
-            first_month = transactions.agg(F.min("created_month").alias("m")).first()["m"]
-            if first_month is not None:
-                rows = transactions.where(F.col("created_month") == F.lit(first_month))
-        earliest = rows.agg(F.to_date(F.min("DateCreated")).alias("d")).first()["d"]
+        earliest = _earliest_day(transactions)
         first = earliest if earliest is not None else today - dt.timedelta(days=365)
     last = today if isinstance(end, _Omitted) else parse_date(end)
     return DateWindow(first, last)

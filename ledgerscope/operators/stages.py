@@ -140,12 +140,7 @@ def account_holders(assigned: DataFrame, customers: DataFrame, businesses: DataF
     )
 
 
-def account_owners(accounts: DataFrame) -> DataFrame:
-    """Accounts keyed by owner: (``_kind``, ``_owner``, ``AccountNumber``), a landed bucket of the owner kept.
-
-    ``accounts`` is the accounts table, or the landed ``account_owners``, which has these columns already.
-    """
-    return accounts if "_owner" in accounts.columns else owners_of(accounts)
+account_owners = owners_of
 
 
 def holder_key(holders: DataFrame) -> DataFrame:
@@ -214,22 +209,24 @@ def pair_counts(assigned: DataFrame) -> DataFrame:
     return assigned.where("Email IS NOT NULL").groupBy("Email", "AccountHolder").agg(F.expr("count(1) AS _k")).where("_k > 0")
 
 
-def holder_accounts(pairs: DataFrame, accounts: DataFrame, customers: DataFrame, businesses: DataFrame) -> DataFrame:
+def holder_accounts(
+    pairs: DataFrame, accounts: DataFrame, customers: DataFrame, businesses: DataFrame, placed: DataFrame | None = None
+) -> DataFrame:
     """Accounts of the pairs' holder records: (``Email``, ``AccountHolder``, ``_k``, ``AccountNumber``).
 
     The one derivation of e-mail, record, owner and account for a person's
-    report.  Landed buckets of the e-mail and of the owner are part of the
-    joins, so dynamic pruning opens only the directories of these pairs.
+    report.  Where customers and businesses have landed buckets of their
+    e-mail, and with ``placed`` (the landed ``account_owners``) for the
+    accounts, dynamic pruning by the pairs opens only these directories.
     """
-    records, owners = holder_records(customers, businesses), account_owners(accounts)
-    by = ["Email", "AccountHolder"]
+    records, owners = holder_records(customers, businesses), owners_of(accounts) if placed is None else placed
+    by, to = ["Email", "AccountHolder"], ["_kind", "_owner"]
     if (bucket := bucket_column(records)) is not None:
         pairs, by = pairs.withColumn(bucket, bucket_of(F.col("Email"), bucket)), [bucket, *by]
-    mine = records.join(pairs, by, "inner").select("Email", "AccountHolder", "_k", "_kind", "_owner")
-    by = ["_kind", "_owner"]
-    if (bucket := bucket_column(owners)) is not None:
-        mine, by = mine.withColumn(bucket, bucket_of(F.col("_owner"), bucket)), [bucket, *by]
-    return owners.join(mine, by, "inner").select("Email", "AccountHolder", "_k", "AccountNumber")
+        if bucket_column(owners) == bucket:
+            owners, to = owners.join(pairs.select(bucket, "_k"), bucket, "left_semi"), [bucket, *to]
+    mine = records.join(pairs, by, "inner").select("Email", "AccountHolder", "_k", *to)
+    return owners.join(mine, to, "inner").select("Email", "AccountHolder", "_k", "AccountNumber")
 
 
 def pair_inflow(held: DataFrame, credits: DataFrame, window: DateWindow, months: DataFrame | None = None) -> DataFrame:

@@ -88,8 +88,7 @@ def assignment_rows(
     )
     pairs = pair_counts(assigned)
 
-    owners = tables.accounts if tables.account_owners is None else tables.account_owners
-    held = holder_accounts(pairs, owners, tables.customers, tables.businesses)
+    held = holder_accounts(pairs, tables.accounts, tables.customers, tables.businesses, tables.account_owners)
     inflow = pair_inflow(held, tables.post_credit_transactions, cr_w, tables.credit_months)
     flows = person_flows(tables.transactions, tx_w, revenue_rule, pairs, tables.transaction_months)
     balances = balances_by_email(tables.daily_balances, pairs, keep_holder=balance_match == "holder").withColumnRenamed("UserName", "Email")

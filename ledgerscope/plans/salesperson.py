@@ -61,9 +61,8 @@ def sales_person_rows(
 
     keyed = saa.groupBy(*GROUP, "Email", "AccountHolder").agg(F.count(F.lit(1)).alias("_n"))
     keyed = keyed.withColumn("_k", F.sum("_n").over(Window.partitionBy("Email", "AccountHolder")))
-    owners = tables.accounts if tables.account_owners is None else tables.account_owners
     credit = credit_per_holder(
-        tables.post_credit_transactions, owners, tables.customers, tables.businesses, cr_w, tables.credit_months
+        tables.post_credit_transactions, tables.accounts, tables.customers, tables.businesses, cr_w, tables.credit_months
     )
     # No e-mail filter here: the left join from the assignments drops
     # transactions of unassigned e-mails just the same.

@@ -95,7 +95,9 @@ def roll_up(landed: Tables, name: str) -> tuple[DataFrame, list[str]]:
 
 
 def write_rollups(landed: Tables, root: str, mode: str = "errorifexists") -> None:
-    """Land both roll-ups of tables landed by ``write_tables`` beside them."""
-    for name in ROLLUPS:
+    """Land both roll-ups of tables landed by ``write_tables`` beside them (an empty fact has none)."""
+    for name, fact in ROLLUPS.items():
+        if getattr(landed, fact).isEmpty():
+            continue
         df, by = roll_up(landed, name)
         df.write.mode(mode).partitionBy(*by).parquet(os.path.join(root, name))

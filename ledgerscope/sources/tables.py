@@ -24,9 +24,9 @@ from ledgerscope.schemas import MONEY, OPTIONAL_COLUMNS, TABLE_NAMES, TABLE_SCHE
 class Tables:
     """The seven tables, and what a landing may have derived from them.
 
-    ``account_owners`` holds the accounts by owner (see ``stages.account_owners``), the
-    ``_months`` tables monthly sums per key (see ``sources.rollups``); the
-    stages use them where they are there.
+    ``account_owners`` holds the accounts by owner, in buckets of the owner's
+    e-mail (see ``placed_owners``), the ``_months`` tables monthly sums per key
+    (see ``sources.rollups``); the reports use them where they are there.
     """
 
     sales_assigned_accounts: DataFrame
@@ -46,12 +46,16 @@ class Tables:
 
     def replace(self, **changes: DataFrame | None) -> "Tables":
         """A copy with other tables; what was derived from a replaced one is left out."""
-        kept = {d: getattr(self, d) for d, source in DERIVED.items() if source not in changes}
+        kept = {d: getattr(self, d) for d, sources in DERIVED.items() if not set(sources) & set(changes)}
         return Tables(**{**self.as_dict(), **kept, **changes})
 
 
 # What a landing may derive, and from which table.
-DERIVED = {"account_owners": "accounts", "transaction_months": "transactions", "credit_months": "post_credit_transactions"}
+DERIVED = {
+    "account_owners": ("accounts", "customers", "businesses"),
+    "transaction_months": ("transactions",),
+    "credit_months": ("post_credit_transactions",),
+}
 
 
 # Facts landed by ``write_tables`` carry a month partition column derived from
@@ -110,16 +114,14 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _derived(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The derived tables that lie under ``root``."""
-    found = {}
-    for name in DERIVED:
-        try:
-            found[name] = spark.read.parquet(os.path.join(root, name))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return found
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet files under ``path``; None where there are none (an empty table landed by partition has no file)."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def read_parquet_tables(
@@ -128,14 +130,18 @@ def read_parquet_tables(
     """Read each table from ``root/<name>`` (a Parquet file or directory).
 
     ``names`` maps our table names to other directory names if they differ.
-    Derived tables are read where a landing wrote them.
+    Derived tables are read where a landing wrote them; a table that is landed
+    by partition may be empty and then has no file.
     """
     names = dict(names or {})
     dfs = {}
     for t in TABLE_NAMES:
         path = os.path.join(root, names.get(t, t))
-        dfs[t] = conform(spark.read.parquet(path), t)
-    return Tables(**dfs, **_derived(spark, root))
+        found = stored(spark, path)
+        if found is None and t not in BUCKETED:
+            raise FileNotFoundError(f"no Parquet files under {path}")
+        dfs[t] = conform(found, t) if found is not None else spark.createDataFrame([], TABLE_SCHEMAS[t])
+    return Tables(**dfs, **{d: stored(spark, os.path.join(root, d)) for d in DERIVED})
 
 
 def read_catalog_tables(
@@ -196,7 +202,7 @@ SORT_KEYS: dict[str, str] = {
 
 
 # Tables that ``buckets`` lays out by a hash of their sort key.
-BUCKETED = ("customers", "businesses", "transactions", "post_credit_transactions", "daily_balances", "account_owners")
+BUCKETED = ("customers", "businesses", "transactions", "post_credit_transactions", "daily_balances")
 
 
 def owners_of(accounts: DataFrame) -> DataFrame:
@@ -217,8 +223,26 @@ def owners_of(accounts: DataFrame) -> DataFrame:
     )
 
 
+def placed_owners(tables: Tables, buckets: int) -> DataFrame:
+    """``owners_of`` the accounts with the bucket of the e-mail of the owner's customer or business record.
+
+    A person's report knows its e-mails first, so this placement lets them
+    prune the accounts before any record has been read.  An account is there
+    once per bucket of its owner's records (one, but for owners with several e-mails); owners
+    without a record or e-mail own nothing a report could reach and are left out.
+    """
+    bucket = f"key_bucket_of_{buckets}"
+    parts = [
+        df.where(F.col(email).isNotNull()).select(F.lit(kind).alias("_kind"), F.col("Id").alias("_owner"), bucket_of(F.col(email), bucket).alias(bucket))
+        for df, email, kind in ((tables.customers, "UserName", "C"), (tables.businesses, "Email", "B"))
+    ]
+    return owners_of(tables.accounts).join(parts[0].union(parts[1]).distinct(), ["_kind", "_owner"])
+
+
 def lay_out(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, list[str]]:
     """``df`` with its partition columns, and their names, as ``write_tables`` lands table ``name``."""
+    if name == "account_owners":
+        return df, [bucket_column(df)]
     old = bucket_column(df)
     landed, by = (df.drop(old) if old else df), []
     if name in PARTITION_COLUMNS:
@@ -248,14 +272,13 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists", buckets
 
     Facts are partitioned by month of their date.  With ``buckets``, facts,
     balances, customers and businesses are also partitioned by a hash bucket
-    of their join key, and ``account_owners`` holds the accounts by bucket of
-    their owner: a date window prunes months, a report of one person prunes
+    of their join key, and ``account_owners`` is written too: a date window prunes months, a report of one person prunes
     the buckets of everyone else.  Choose ``buckets`` so that a directory holds at
     least a file's worth of rows.  Files are sorted by the key.
     """
     whole = tables.as_dict()
     if buckets:
-        whole["account_owners"] = owners_of(tables.accounts)
+        whole["account_owners"] = placed_owners(tables, buckets)
     for name, df in whole.items():
         landed, by = lay_out(df, name, buckets)
         writer = arranged(landed, name, by).write.mode(mode)
