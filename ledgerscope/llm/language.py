@@ -11,8 +11,12 @@ share after the sums are divided by ``temperature`` words.
 model keeps words and n-grams seen ``min_count`` times, at most ``max_words``
 and ``max_grams`` of them, so what reaches the workers is bounded.
 
+Letters are the characters of the Unicode categories L; digits, fractions and
+Roman-numeral signs are none.
+
 Defined cases: null text, or a text without a letter, is ``und`` with score 0;
-without training rows every document is ``und``.  Long texts are read whole.
+without training rows every document is ``und``.  A text with letters but no known word
+or n-gram gets the first language by name.  Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +32,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import hash_sample, map_batches, worker_state
+from ledgerscope.llm.hashing import materialise
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ALNUM = re.compile(r"[^\W\d_]+")
 _CACHE = 100_000  # distinct raw words that a worker remembers
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (Unicode categories L)."""
+    runs = _ALNUM.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     langs: list[str] = field(default_factory=list)
@@ -86,7 +99,7 @@ def fit(
         words: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in _LETTERS.findall(text.lower()))
+                words.update((lang, w) for w in letter_runs(text.lower()))
         grams: Counter = Counter()
         for (lang, w), n in words.items():
             for g in grams_of(w, max_n):
@@ -102,13 +115,14 @@ def fit(
     )
     sample = hash_sample(rows, "doc_id", max_docs).select("lang", "text")
     counts = sample.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    # One row per item, most frequent first: the limits bound what is collected.
-    by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs")).where(F.col("total") >= min_count)
+    # One row per item, counted once; most frequent first: the limits bound what is collected.
+    by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs"))
+    by_item = materialise(by_item.withColumn("known", F.col("total") >= min_count), "items")
     tables: dict[str, dict[tuple[str, str], int]] = {}
     for kind, limit in (("w", max_words), ("g", max_grams)):
-        top = by_item.where(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(limit).collect()
+        top = by_item.where((F.col("kind") == kind) & F.col("known")).orderBy(F.desc("total"), "item").limit(limit).collect()
         tables[kind] = {(x["lang"], r["item"]): x["n"] for r in top for x in r["langs"]}
-    langs = sorted({lang for t in tables.values() for lang, _ in t})
+    langs = sorted(r["lang"] for r in by_item.select(F.explode("langs").alias("x")).select("x.lang").distinct().collect())
     words, word_logs = _log_shares(tables["w"], langs, max_words, smoothing)
     grams, gram_logs = _log_shares(tables["g"], langs, max_grams, smoothing)
     return LanguageModel(langs, words, word_logs, grams, gram_logs, max_n)
@@ -131,10 +145,11 @@ def predict(
 
     def batch(cols):
         m: LanguageModel = shared.value
-        preds, scores = [], []
+        known = _remembered(key, len(m.langs))
+        rows, letters = known["rows"], known["letters"]
+        flat: list[int] = []
+        sizes = []
         for text in cols["text"]:
-            known = _remembered(key, len(m.langs))
-            rows, letters = known["rows"], known["letters"]
             words = text.lower().split()
             at = list(map(rows.get, words))
             if None in at:
@@ -142,19 +157,26 @@ def predict(
                     k = rows[w] = len(rows)
                     if k == len(known["table"]):
                         known["table"] = np.concatenate([known["table"], np.zeros_like(known["table"])])
-                    found = _LETTERS.findall(w)
+                    found = letter_runs(w)
                     letters.append(len(found))
                     if m.langs and found:
                         known["table"][k] = sum(m.word_scores(x) for x in found)
                 at = [rows[w] if r is None else r for w, r in zip(words, at, strict=True)]
-            n_words = sum(letters[r] for r in at)
+            flat += at
+            sizes.append(len(at))
+        used = np.array(flat, np.int64)
+        starts = np.cumsum([0, *sizes])
+        preds, scores = [], []
+        letter_counts = np.concatenate([[0], np.cumsum(np.array(letters, np.int64)[used])])
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            n_words = letter_counts[z] - letter_counts[a]
             if not n_words or not m.langs:
                 preds.append("und")
                 scores.append(0.0)
             else:
-                total = known["table"][at].sum(0)
+                total = known["table"].take(used[a:z], axis=0).sum(0)
                 share = np.exp((total - total.max()) / max(1.0, n_words / temperature))
-                best = int(np.argmax(total))
+                best = int(total.argmax())
                 preds.append(m.langs[best])
                 scores.append(float(share[best] / share.sum()))
         return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": preds, "score": scores}

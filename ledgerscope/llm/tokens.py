@@ -195,8 +195,10 @@ def _cache(path: str, as_bytes: bool, table, cache_size: int, longest: int) -> U
     return worker_state(f"units:{as_bytes}:{cache_size}:{path}", make)
 
 
-def frequent_units(docs: DataFrame, path: str, sample_docs: int = 2000, table_size: int = 50_000, longest: int = 64) -> dict[str, int]:
-    """Token counts of the most frequent plain units of a bounded sample; at most ``table_size`` entries.
+def frequent_units(
+    docs: DataFrame, path: str, sample_docs: int = 2000, table_size: int = 50_000, longest: int = 64, as_bytes: bool = False
+) -> dict[str, int] | dict[str, bytes]:
+    """Token counts, or packed ids, of the most frequent plain units of a bounded sample; at most ``table_size`` entries.
 
     Only a bounded number of rows is counted: the sample's units are summed
     per map task before they are shuffled.
@@ -211,7 +213,7 @@ def frequent_units(docs: DataFrame, path: str, sample_docs: int = 2000, table_si
     rows = map_batches(sample, count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table_size).collect()
     names = [r["unit"] for r in rows]
     encoded = Encoder(path).each([u if u[0] == "\n" else " " + u for u in names]) if names else []
-    return dict(zip(names, map(len, encoded), strict=True))
+    return dict(zip(names, (x.astype("<u4").tobytes() if as_bytes else len(x) for x in encoded), strict=True))
 
 
 def count_tokens(
@@ -232,9 +234,9 @@ def count_tokens(
     return map_batches(texts, batch, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def token_bytes(texts: list[str], path: str, cache_size: int = 100_000, longest: int = 64) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    cache = _cache(path, True, None, cache_size, longest)
+def token_bytes(texts: list[str], path: str, table=None, cache_size: int = 100_000, longest: int = 64) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; ``table``: broadcast frequent units with packed ids."""
+    cache = _cache(path, True, table, cache_size, longest)
     out = []
     for at in range(0, len(texts), 256):
         out += map(b"".join, cache.lookup(texts[at : at + 256]))

@@ -190,6 +190,25 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in language.predict(docs, blank, rest == 2).collect()} == {"und"}
 
 
+def test_language_letters_and_edges(spark):
+    assert language.letter_runs("½ ② Ⅷ 3rd x²y été 中文 a_b") == ["rd", "x", "y", "été", "中文", "a", "b"]
+    schema = "doc_id long, text string, lang string, words string, rows string, held_out string"
+    rows = [(i, "the cat sat" if i % 2 else "le chat dort", "en" if i % 2 else "fr", "w", "r", "h") for i in range(40)]
+    rows += [(100, "½ ② Ⅷ 12", None, "w", "r", "h"), (101, "", "en", "w", "r", "h"), (102, "the le", None, "w", "r", "h"), (103, "the cat sat " * 60_000, None, "w", "r", "h")]
+    rows += [rows[1], (None, "le chat", None, "w", "r", "h")]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    held = F.col("doc_id") % 4 == 2
+    got = language.predict(docs, language.fit(docs, ~held), held).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    assert by[100]["lang_pred"] == by[101]["lang_pred"] == "und" and by[100]["score"] == 0
+    assert by[102]["lang_pred"] in ("en", "fr") and by[103]["lang_pred"] == "en" and by[None]["lang_pred"] == "fr"
+    assert sum(r["doc_id"] == 1 for r in got) == 2
+    few = language.fit(docs.where("doc_id < 2"), F.lit(True), min_count=50)  # languages without a known item: a tie
+    assert {r["lang_pred"] for r in language.predict(docs, few, held).collect()} == {"en", "und"}
+    assert language.predict(docs.where("false"), few, held).collect() == []
+
+
 def test_unseen_words_back_off_to_shorter_grams():
     m = language.LanguageModel(["a", "b"], {"the": 0}, np.array([[0.0, -9.0]]), {" th": 0, "x": 1}, np.array([[-1.0, -5.0], [-3.0, -2.0]]), 4)
     assert m.word_scores("the").tolist() == [0.0, -9.0]

@@ -111,3 +111,56 @@ def test_packing_is_near_the_lower_bound(spark):
     docs = spark.createDataFrame([(i, prose(rng.randint(5, 900), i)) for i in range(1500)], "doc_id long, text string")
     total = packing.total_sequences(packing.pack_documents(docs, PATH)).first()
     assert total["sequences"] <= 1.01 * total["tokens"] / 1024 + 1
+
+
+def naive_best_fit(lengths, size, open_bins):
+    """Bin and offset of each piece by looking at every open bin; ties: the bin opened or used last."""
+    free, out = {}, []  # open bins in order of last use
+    count = 0
+    for n in lengths:
+        fitting = [b for b in free if free[b] >= n]
+        if fitting:
+            least = min(free[b] for b in fitting)
+            b = [b for b in fitting if free[b] == least][-1]
+            room = free.pop(b)
+        else:
+            if len(free) >= open_bins:
+                fullest = min(free.values())
+                del free[[b for b in free if free[b] == fullest][-1]]
+            b, room, count = count, size, count + 1
+        out.append((b, size - room))
+        if room > n:
+            free[b] = room - n
+    return out
+
+
+@pytest.mark.parametrize("open_bins", [1, 2, 7, 500])
+def test_packer_is_best_fit(open_bins):
+    rng = random.Random(open_bins)
+    lengths = [rng.randint(1, 40) for _ in range(800)]
+    p = packing.Packer(40, open_bins)
+    assert [p.place(n) for n in lengths] == naive_best_fit(lengths, 40, open_bins)
+
+
+def test_open_bins_are_bounded_in_effect():
+    """The bound that queries use is reached on long runs of half-full pieces."""
+    p = packing.Packer(1024, 1024)
+    for _ in range(3000):
+        p.place(600)
+    assert p.n_open == 1024
+
+
+def test_groups_keep_their_sequences_in_any_partition(spark):
+    """Groups that end up in one task do not share sequence numbers."""
+    rows = [(i, 0, 0, 1 + i * 37 % 100, i) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    for parts in (1, 3):
+        packed = packing.pack(pieces, size=100, group_rows=100).coalesce(parts).collect()
+        assert len(packed) == 2000
+        places = collections.defaultdict(list)
+        for r in packed:
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+        for placed in places.values():
+            ends = [o + n for o, n in sorted(placed)]
+            assert [o for o, _ in sorted(placed)] == [0, *ends[:-1]] and ends[-1] <= 100
+        assert len(places) <= 1.1 * sum(r[3] for r in rows) / 100
