@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
@@ -72,6 +73,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+LONG_WORD = 256  # bytes
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """Hash of each word of each text, A-Z lower-cased."""
     if not texts:
@@ -81,6 +85,8 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space))))
     starts, ends = edges[::2], edges[1::2]  # the buffer ends with a space, so edges pair up
     hashes = Spans(data).of(starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):  # a sum modulo 2**64 is no hash of long regular words
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
     borders = np.cumsum([len(t) + 1 for t in texts])[:-1]
     return np.split(hashes, np.searchsorted(starts, borders))
 

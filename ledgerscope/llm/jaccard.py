@@ -23,9 +23,12 @@ documents gives all its pairs; of a larger one every member is paired with
 the least, and the group is kept aside.  Candidates whose parity bit sketches
 are too far apart (the Hamming distance is a lower bound too) are left out, the
 others are verified on the texts.  Aside groups whose members then are in more
-than one component are compared further in the same way; no link is lost and
-no cap applies.  Equal sets
-inside a map task are collapsed before anything is shuffled.
+than one component are compared further: members outside the group's largest
+component against all members of other components, as blocks of sketches
+inside tasks that put out only the pairs close enough.  First each outsider's closest
+members in every other component are verified, which joins most components
+at once, then the close pairs between components that are still apart.  No link is lost and
+no cap applies.  Equal sets inside a map task are collapsed before anything is shuffled.
 
 Defined cases: null or empty texts and texts without words have no shingle
 and link with nothing; a shorter text is one shingle; equal texts link;
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash_sample, id_and_text, map_batches
+from ledgerscope.llm.common import _pieces, hash_sample, id_and_text, map_batches
 from ledgerscope.llm.components import components
 from ledgerscope.llm.hashing import U, materialise, mix, shingle_hashes, slices, word_hashes
 
@@ -51,6 +54,9 @@ SLICE = 1_000_000  # bytes of text handled at once
 PARTS_PER_SHINGLE = 0.6
 LEAST_PARTS = 16
 SKETCH_WORDS = 16  # words of the bit sketch
+BLOCK = 1024  # members of a group in one block of sketches
+CLOSEST = 2  # members of a component that are verified first
+SEEN = 50_000  # sets that a map task remembers to collapse equal ones
 MAX_IDS = 1_000_000  # candidate documents whose ids are broadcast (8 MB); more are joined by shuffle
 
 
@@ -137,7 +143,7 @@ def _keyed(texts: DataFrame, frequent, buckets: int) -> DataFrame:
 
     def run(batches):
         seen: dict[bytes, int] = {}
-        for b in batches:
+        for b in _pieces(batches):
             ids, data = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             for x, y in slices(data, SLICE):
                 keys, of, sizes, equal = [], [], [], []
@@ -167,7 +173,7 @@ def _keyed(texts: DataFrame, frequent, buckets: int) -> DataFrame:
                     cols = zip(*rows, strict=True)
                     types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["bucket", "keys", "ids", "sizes"])
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
 
     return texts.mapInArrow(run, KEYED)
@@ -311,6 +317,76 @@ def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(joined, batch, "a long, b long, na long, nb long, inter long", binary=("text_a", "text_b"))
 
 
+UNIT = ["grp", "j", "k"]
+WORDS = [f"w{k}" for k in range(SKETCH_WORDS)]
+
+
+def _close(unit: dict[str, np.ndarray], best_only: bool) -> np.ndarray:
+    """Pairs (a < b) of one unit that sketches and sizes allow: asking rows against the block's rows of other components."""
+    block, asking = np.flatnonzero(unit["role"] == 0), np.flatnonzero(unit["role"] == 1)
+    n, comp, doc, words = unit["n"], unit["comp"], unit["doc"], unit["words"]
+    found = []
+    for at in range(0, len(asking), 128):
+        q = asking[at : at + 128]
+        far = np.zeros((len(q), len(block)), np.int64)
+        for w in words:
+            far += np.bitwise_count(w[q, None] ^ w[block])
+        x, y = n[q, None], n[block]
+        ok = (comp[q, None] != comp[block]) & (3 * np.maximum(x, y) <= 4 * np.minimum(x, y)) & (7 * far <= x + y)
+        i, k = np.nonzero(ok)
+        if best_only and len(i):
+            order = np.lexsort((doc[block[k]], far[i, k], comp[block[k]], i))
+            i, k = i[order], k[order]
+            start = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (comp[block[k[1:]]] != comp[block[k[:-1]]]))))
+            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            i, k = i[rank < CLOSEST], k[rank < CLOSEST]
+        a, b = doc[q[i]], doc[block[k]]
+        found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def outsider_pairs(members: DataFrame, nodes: DataFrame, sketch: DataFrame, best_only: bool) -> DataFrame:
+    """Candidate pairs ``a, b`` between components inside the groups ``members (grp, doc)``."""
+    placed = members.join(nodes, members["doc"] == nodes["node"], "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
+    parts = placed.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    open_ = placed.join(main, "grp").select(
+        "grp", "doc", "comp", (F.col("comp") != F.col("main")).alias("out"), F.ceil(F.col("total") / BLOCK).alias("blocks"), F.ceil(F.col("outside") / BLOCK).alias("slices")
+    )
+    own = open_.join(sketch, "doc")
+    seat = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    zero, columns = F.lit(0).cast("long"), ["doc", "comp", "n", *WORDS]
+    listed = own.select("grp", F.explode(F.sequence(zero, F.col("slices") - 1)).alias("j"), seat("blocks").alias("k"), F.lit(0).alias("role"), *columns)
+    asking = own.where("out").select("grp", seat("slices").alias("j"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("k"), F.lit(1).alias("role"), *columns)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            unit = {c: t.column(c).to_numpy() for c in ("role", "doc", "comp", "n")}
+            unit["words"] = [t.column(w).to_numpy().view(U) for w in WORDS]
+            found = _close(unit, best_only)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c])) for c in (0, 1)], names=["a", "b"])
+
+        last = None
+        for b in batches:
+            keys = np.column_stack([b.column(c).to_numpy() for c in UNIT])
+            starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for x, y in zip([0, *starts], [*starts, b.num_rows], strict=True):
+                if x == y:
+                    continue
+                if last is not None and last != tuple(keys[x]):
+                    yield pairs()
+                last = tuple(keys[x])
+                held.append(b.slice(x, y - x))
+        if held:
+            yield pairs()
+
+    return listed.union(asking).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a long, b long").distinct()
+
+
 LINKED = "100 * inter >= 75 * (na + nb - inter) AND inter > 0"
 
 
@@ -321,25 +397,20 @@ def links(texts: DataFrame, small_group: int = 12, sample_docs: int = 4000) -> t
     members = found.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("doc")).distinct()
     wanted = pairs.select("a").union(pairs.select("b")).union(members.select("doc"))
     sketch = materialise(sketches(_only(texts, wanted)), "sketches")
-    close = materialise(near(pairs, sketch), "near")
-    edges = similarity(close, texts).where(LINKED).select("a", "b").union(found.where("kind = 2").select("a", "b"))
+    tried = materialise(near(pairs, sketch), "near")
+    edges = similarity(tried, texts).where(LINKED).select("a", "b").union(found.where("kind = 2").select("a", "b"))
     edges = materialise(edges, "links")
     nodes = materialise(components(edges), "components")
-
-    # Large groups that one star has not joined: compare the rest, as far as the sketches allow a link.
-    placed = members.join(nodes, members["doc"] == nodes["node"], "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
-    open_ = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
-    rest = materialise(placed.join(open_, "grp", "left_semi"), "rest")
-    if rest.limit(1).count() == 0:
-        return edges, nodes
-    own = rest.join(sketch, "doc")
-    x, y = own.alias("x"), own.alias("y")
-    apart = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.doc") < F.col("y.doc"))
-    more = x.join(y, apart & alike("x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    more = materialise(more.join(close, ["a", "b"], "left_anti"), "rest-pairs")
-    late = similarity(more, texts).where(LINKED).select("a", "b")
-    edges = materialise(edges.union(late), "links")
-    return edges, materialise(components(edges), "components")
+    for best_only in (True, False):
+        more = materialise(outsider_pairs(members, nodes, sketch, best_only).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+        if more.isEmpty():
+            continue
+        late = materialise(similarity(more, texts).where(LINKED).select("a", "b"), "late-links")
+        tried = tried.union(more)
+        if not late.isEmpty():
+            edges = edges.union(late)
+            nodes = materialise(components(edges), "components")
+    return edges, nodes
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_group: int = 12, sample_docs: int = 4000) -> DataFrame:

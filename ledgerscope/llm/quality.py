@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import SPACE, id_and_text, map_batches, map_texts
+from ledgerscope.llm.hashing import materialise
 
 WS = SPACE.encode()
 SYMBOLS = b"#*$%&|<>"
@@ -105,17 +106,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_sh
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
     counts = texts.mapInArrow(_count_batches, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    try:
-        enough = counts.where((F.col("kind") == "n") & (F.col("n") >= max(1, min_count)))
-        totals = {r["lang"]: r["n"] for r in enough.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-        langs = sorted(totals)
-        if not langs:
-            return References()
-        least = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(word_share * totals[lang]))]), F.col("lang"))
-        rows = counts.where(F.col("lang").isin(langs) & ((F.col("kind") == "c") | ((F.col("kind") == "w") & (F.col("n") >= least)))).collect()
-    finally:
-        counts.unpersist()
+    # Words below the least count that any language can ask for are not kept.
+    counts = materialise(counts.where((F.col("kind") != "w") | (F.col("n") >= word_share * max(1, min_count))), "word-counts")
+    enough = counts.where((F.col("kind") == "n") & (F.col("n") >= max(1, min_count)))
+    totals = {r["lang"]: r["n"] for r in enough.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    langs = sorted(totals)
+    if not langs:
+        return References()
+    least = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(word_share * totals[lang]))]), F.col("lang"))
+    rows = counts.where(F.col("lang").isin(langs) & ((F.col("kind") == "c") | ((F.col("kind") == "w") & (F.col("n") >= least)))).collect()
     vocab = {w: i for i, w in enumerate(sorted({r["item"].encode() for r in rows if r["kind"] == "w"}))}
     classes, words = np.zeros((len(langs), N_CLASSES)), np.zeros((len(langs), len(vocab) + 1))
     place = {lang: k for k, lang in enumerate(langs)}

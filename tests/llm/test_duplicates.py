@@ -206,3 +206,21 @@ def test_no_unbounded_plans(spark):
     docs = documents(spark).where(F.lit(True))
     plan = jaccard.join(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Cartesian|NestedLoop", plan)
+
+
+def test_long_regular_words_hash_apart():
+    """The two Thue-Morse words of 1,024 characters: sums of powers modulo 2**64 cannot tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    hx, hy = (h[0] for h in word_hashes([x.encode(), y.encode()]))
+    assert hx != hy and word_hashes([x.upper().encode()])[0][0] == hx
+
+
+def test_outsiders_meet_every_other_component(spark, monkeypatch):
+    """Groups in many components, over several blocks: same result as brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "CLOSEST", 1)
+    base = prose(90, 11)
+    rows = [(i, edited(base, 0.035, 500 + i)) for i in range(70)]
+    rows += [(200 + i, edited(edited(base, 0.05, 7), 0.02, 900 + i)) for i in range(40)]
+    check(spark, rows, small_group=2)
