@@ -37,7 +37,7 @@ def test_each_stage_and_the_run(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(ORACLES) <= set(E.oracle_sql())
 
