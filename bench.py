@@ -17,17 +17,19 @@ import sys
 import tempfile
 import time
 
-from ledgerscope.config import local_session
+from ledgerscope.config import local_session, tune
 from ledgerscope.functions.dates import DateWindow
 from ledgerscope.operators import stages as S
 from ledgerscope.plans.assignment import assignment_summary
 from ledgerscope.plans.salesperson import sales_person_summary
 from ledgerscope.sources.fixture import fixture_tables
+from ledgerscope.sources.rollups import write_rollups
 from ledgerscope.sources.tables import read_parquet_tables, write_tables
 
 YEAR = DateWindow.of("1997-01-01", "1997-12-31")
 TWO_YEARS = DateWindow.of("1997-01-01", "1998-12-31")
 THREE_YEARS = DateWindow.of("1996-01-01", "1998-12-31")
+LONG = DateWindow.of("1996-03-10", "1998-09-20")
 
 
 def build_queries(t):
@@ -59,11 +61,23 @@ def build_queries(t):
     }
 
 
+def build_landed_queries(t):
+    """On tables landed by month and key bucket, with monthly roll-ups."""
+    return {
+        "assignment_summary_bucketed": lambda: assignment_summary(t.replace(transaction_months=None, credit_months=None), "SAL-0003", YEAR),
+        "assignment_summary_long_rolled": lambda: assignment_summary(t, "SAL-0003", LONG),
+        "sales_person_summary_long_rolled": lambda: sales_person_summary(t, LONG),
+        "sales_person_summary_long_raw": lambda: sales_person_summary(t.replace(transaction_months=None, credit_months=None), LONG),
+    }
+
+
 def plan_shape(df) -> dict[str, int]:
-    """Exchanges in the planned physical plan (before AQE re-planning at run time)."""
+    """Exchanges and scans of the planned physical plan, and the scans of the executed one, where equal exchanges run once."""
     text = str(df._jdf.queryExecution().executedPlan().toString())
+    df.collect()
+    run = str(df._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[0]
     shuffles = sum(1 for line in text.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line)
-    return {"shuffles": shuffles, "broadcasts": text.count("BroadcastExchange"), "scans": text.count("FileScan parquet")}
+    return {"shuffles": shuffles, "broadcasts": text.count("BroadcastExchange"), "scans": text.count("FileScan parquet"), "scans_run": run.count("FileScan parquet"), "reused": run.count("ReusedExchange")}
 
 
 def main() -> None:
@@ -71,6 +85,7 @@ def main() -> None:
     cores = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = local_session(cores=cores, shuffle_partitions=cores, app="ledgerscope-bench")
+    tune(spark)
 
     scratch = tempfile.mkdtemp(prefix="ledgerscope-bench-")
     t0 = time.time()
@@ -78,7 +93,13 @@ def main() -> None:
     land_sec = time.time() - t0
     tables = read_parquet_tables(spark, scratch)
 
-    queries = build_queries(tables)
+    landed = tempfile.mkdtemp(prefix="ledgerscope-bench-buckets-")
+    t0 = time.time()
+    write_tables(tables, landed, buckets=4)
+    write_rollups(read_parquet_tables(spark, landed), landed)
+    land_buckets_sec = time.time() - t0
+
+    queries = build_queries(tables) | build_landed_queries(read_parquet_tables(spark, landed))
     for make in queries.values():  # one warm-up pass over everything (JIT, file listing caches)
         make().write.format("noop").mode("overwrite").save()
     results, shapes = {}, {}
@@ -105,6 +126,7 @@ def main() -> None:
                 "runs": runs,
                 "spark": spark.version,
                 "setup_land_tables_sec": round(land_sec, 3),
+                "setup_land_buckets_sec": round(land_buckets_sec, 3),
                 "plan_shape": shapes,
             }
         )

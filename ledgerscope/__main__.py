@@ -4,7 +4,8 @@
         --start 2024-01-01 --end 2024-12-31 [--credit-start .. --credit-end ..] \\
         [--sort totalOutflow:A --sort email:D] (--out PATH [--format parquet|csv|json] | --preview N)
     python -m ledgerscope sales-person-summary --tables ROOT --start .. --end .. [...]
-    python -m ledgerscope land --tables ROOT --out ROOT [--buckets N]
+    python -m ledgerscope land --tables ROOT --out ROOT [--buckets N] [--rollups]
+    python -m ledgerscope land-batch --fact transactions --batch PATH --out ROOT [--kind replace|add]
     python -m ledgerscope land-fixture --sf-dir /root/testdata/sf0.1 --out ROOT
     python -m ledgerscope ingest-receipts --source DIR --target DIR --checkpoint DIR
 
@@ -27,7 +28,9 @@ from ledgerscope.functions.dates import OMITTED, DateWindow, default_window, par
 from ledgerscope.plans.assignment import assignment_summary
 from ledgerscope.plans.salesperson import sales_person_summary
 from ledgerscope.sources.fixture import fixture_tables
-from ledgerscope.sources.tables import PARTITION_COLUMNS, read_parquet_tables, write_tables
+from ledgerscope.sources.landing import KINDS, land_batch
+from ledgerscope.sources.rollups import write_rollups
+from ledgerscope.sources.tables import PARTITION_COLUMNS, Tables, read_parquet_tables, write_tables
 from ledgerscope.streaming.receipts import ingest_receipts
 
 
@@ -90,7 +93,14 @@ def _parser() -> argparse.ArgumentParser:
     f.add_argument("--sf-dir", required=True)
     f.add_argument("--out", required=True)
     for p in (c, f):
-        p.add_argument("--buckets", type=int, default=0, help="key buckets of each month's facts")
+        p.add_argument("--buckets", type=int, default=0, help="key buckets of facts, balances, customers and businesses")
+        p.add_argument("--rollups", action="store_true", help="also land monthly sums of the facts")
+    b = sub.add_parser("land-batch", help="land new months or late rows of a fact")
+    b.add_argument("--fact", required=True, choices=sorted(PARTITION_COLUMNS))
+    b.add_argument("--batch", required=True, help="Parquet path of the batch")
+    b.add_argument("--out", required=True, help="directory of the landed tables")
+    b.add_argument("--kind", default="replace", choices=KINDS, help="the batch holds its months whole, or rows to add")
+    b.add_argument("--buckets", type=int, default=None, help="key buckets, for the first batch of a fact")
     c.add_argument("--size-shuffles", action="store_true")
     r = sub.add_parser("ingest-receipts")
     r.add_argument("--source", required=True)
@@ -113,6 +123,13 @@ def _size(spark: SparkSession, root: str) -> None:
     size_for(spark, facts, spark.sparkContext.defaultParallelism)
 
 
+def _land(spark: SparkSession, tables: Tables, args: argparse.Namespace) -> int:
+    write_tables(tables, args.out, buckets=args.buckets)
+    if args.rollups:
+        write_rollups(read_parquet_tables(spark, args.out), args.out)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = _parser()
     args = parser.parse_args(argv)
@@ -121,7 +138,10 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = tune(SparkSession.builder.getOrCreate())
     if args.command == "land-fixture":
-        write_tables(fixture_tables(spark, args.sf_dir), args.out, buckets=args.buckets)
+        return _land(spark, fixture_tables(spark, args.sf_dir), args)
+    if args.command == "land-batch":
+        months = land_batch(spark, spark.read.parquet(args.batch), args.fact, args.out, args.kind, args.buckets)
+        print(f"landed {args.fact} of {', '.join(map(str, months)) or 'no month'}")
         return 0
     if args.command == "ingest-receipts":
         ingest_receipts(
@@ -133,8 +153,7 @@ def main(argv: list[str] | None = None) -> int:
         _size(spark, args.tables)
     tables = read_parquet_tables(spark, args.tables)
     if args.command == "land":
-        write_tables(tables, args.out, buckets=args.buckets)
-        return 0
+        return _land(spark, tables, args)
     fields, dirs = _sort(args.sort)
     if args.command == "assignment-summary":
         # Each bound has its own default, whatever the other options are.

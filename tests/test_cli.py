@@ -78,3 +78,22 @@ def test_land_copies_into_buckets(spark):
     copy = read_parquet_tables(spark, second)
     assert copy.transactions.count() == 40 and "key_bucket_of_4" in copy.transactions.columns
     assert stored_bytes(spark, [os.path.join(second, "transactions")]) > 0
+
+
+def test_land_rollups_and_batch(spark, capsys):
+    base = tempfile.mkdtemp(prefix="ledgerscope-batch-")
+    out, batch = os.path.join(base, "out"), os.path.join(base, "batch")
+    t = fixture_tables(spark, SF_SMALL)
+    march = t.transactions.where("DateCreated >= '1997-03-01' AND DateCreated < '1997-04-01'")
+    april = t.transactions.where("DateCreated >= '1997-04-01' AND DateCreated < '1997-05-01'")
+    source = os.path.join(base, "source")
+    write_tables(t.replace(transactions=march, post_credit_transactions=t.post_credit_transactions.limit(50)), source)
+    assert main(["land", "--tables", source, "--out", out, "--buckets", "2", "--rollups"]) == 0
+    april.write.parquet(batch)
+    for _ in range(2):  # a month sent again replaces itself
+        assert main(["land-batch", "--fact", "transactions", "--batch", batch, "--out", out]) == 0
+    assert "landed transactions of 1997-04-01" in capsys.readouterr().out
+    back = read_parquet_tables(spark, out)
+    assert back.transactions.count() == march.count() + april.count()
+    months = {r[0]: r[1] for r in back.transaction_months.groupBy("created_month").count().collect()}
+    assert len(months) == 2 and sum(months.values()) == back.transactions.select("created_month", "EmailAddress").distinct().count()
