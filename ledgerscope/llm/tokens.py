@@ -81,13 +81,31 @@ class Encoder:
             return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
         return self._coder.encode_to_numpy(text, allowed_special="all")
 
-    def each(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit by itself, through one call."""
-        if any(u[:1] not in (" ", "\n") or not _plain(u[u[:1] == " " :]) for u in units):
-            return [self.ids(u) for u in units]
+    def joined(self, units: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all units through one call and where each one's end; None if the units are not ``plain``, each with its space or line break."""
+        if not plain and any(u[:1] not in (" ", "\n") or not _plain(u[u[:1] == " " :]) for u in units):
+            return None
         ids = self.ids("".join(units))
         ends = np.cumsum(np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in units), np.int64, len(units)))
-        return np.split(ids, np.searchsorted(np.cumsum(self._n_bytes[ids]), ends[:-1], side="right"))
+        return ids, np.searchsorted(np.cumsum(self._n_bytes[ids]), ends, side="left") + 1
+
+    def each(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of each unit by itself."""
+        found = self.joined(units) if units else None
+        return [self.ids(u) for u in units] if found is None else np.split(found[0], found[1][:-1])
+
+    def packed(self, units: list[str], plain: bool = False) -> list[bytes]:
+        """Ids of each unit by itself, as little-endian 32-bit integers."""
+        found = self.joined(units, plain)
+        if found is None:
+            return [self.ids(u).astype("<u4").tobytes() for u in units]
+        data, ends = found[0].astype("<u4").tobytes(), (4 * found[1]).tolist()
+        return [data[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+    def counted(self, units: list[str], plain: bool = False) -> list[int]:
+        """Number of ids of each unit by itself."""
+        found = self.joined(units, plain)
+        return [len(self.ids(u)) for u in units] if found is None else np.diff(found[1], prepend=0).tolist()
 
 
 def units_of(text: str) -> list[str]:
@@ -150,20 +168,17 @@ class UnitCache:
         self.inner = Generations(cache_size, longest, table)
         self.literal = Generations(cache_size // 4, longest)
 
-    def _encode(self, units: list[str]) -> list:
-        ids = self.encoder.each(units) if units else []
-        return [x.astype("<u4").tobytes() for x in ids] if self.as_bytes else list(map(len, ids))
-
-    def _fill(self, cache: Generations, keys: list[str], values: list, missing: list[str], units: list[str]) -> list:
+    def _fill(self, cache: Generations, keys: list[str], values: list, missing: list[str], units: list[str], plain: bool) -> list:
         if missing:
-            found = dict(zip(missing, self._encode(units), strict=True))
+            encode = self.encoder.packed if self.as_bytes else self.encoder.counted
+            found = dict(zip(missing, encode(units, plain), strict=True))
             values = [found[k] if v is None else v for k, v in zip(keys, values, strict=True)]
             cache.put(found)
         return values
 
     def _literal(self, units: list[str]) -> list:
         values, missing = self.literal.get(units)
-        return self._fill(self.literal, units, values, missing, missing)
+        return self._fill(self.literal, units, values, missing, missing, False)
 
     def lookup(self, texts: list[str]) -> list[list]:
         """For each text, the values of its units in order."""
@@ -176,7 +191,7 @@ class UnitCache:
             odd |= {k for k, s in enumerate(split) if k not in odd and not bad.isdisjoint(s[1:])}
             flat = [p for k, s in enumerate(split) if k not in odd for p in islice(s, 1, None)]
             values, missing = self.inner.get(flat)
-        values = self._fill(self.inner, flat, values, missing, [p if p[0] == "\n" else " " + p for p in missing])
+        values = self._fill(self.inner, flat, values, missing, [p if p[0] == "\n" else " " + p for p in missing], True)
         firsts = dict(zip(whole := [k for k in range(len(texts)) if k not in odd], self._literal([split[k][0] for k in whole]), strict=True))
         out, at = [], 0
         for k, s in enumerate(split):
@@ -234,7 +249,7 @@ def count_tokens(
     return map_batches(texts, batch, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def token_bytes(texts: list[str], path: str, table=None, cache_size: int = 100_000, longest: int = 64) -> list[bytes]:
+def token_bytes(texts: list[str], path: str, table=None, cache_size: int = 200_000, longest: int = 64) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; ``table``: broadcast frequent units with packed ids."""
     cache = _cache(path, True, table, cache_size, longest)
     out = []
