@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm import decontaminate, hardneg, jaccard, language, licenses, neardup, packing, quality, secrets, substrings, tokens, toxicity, tries
 from ledgerscope.llm.common import crc_remainder, documents
+from ledgerscope.llm.oracles import ORACLES
 
 #: Where the public vocabulary files lie; the operators take the path of a file.
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -100,5 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
