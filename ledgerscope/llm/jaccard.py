@@ -21,13 +21,13 @@ bounded hash sample of documents; they decide the order, never the result.
 Join.  Words are dealt by key to tasks.  A group of at most ``small_group``
 documents gives all its pairs; of a larger one every member is paired with
 the least, and the group is kept aside.  Candidates whose parity bit sketches
-are too far apart (the Hamming distance is a lower bound too) are left out, the
-others are verified on the texts.  Aside groups whose members then are in more
+(of about two bits a shingle) are too far apart are left out, as the Hamming
+distance is a lower bound too; the others are verified on the texts.  Aside groups whose members then are in more
 than one component are compared further: members outside the group's largest
 component against all members of other components, as blocks of sketches
 inside tasks that put out only the pairs close enough.  First each outsider's closest
-members in every other component are verified, which joins most components
-at once, then the close pairs between components that are still apart.  No link is lost and
+members in every other component of its largest group are verified, which joins most components
+at once, then the close pairs of all groups between components that are still apart.  No link is lost and
 no cap applies.  Equal sets inside a map task are collapsed before anything is shuffled.
 
 Defined cases: null or empty texts and texts without words have no shingle
@@ -38,12 +38,10 @@ rows that repeat a document id are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import _pieces, hash_sample, id_and_text, map_batches
@@ -53,7 +51,7 @@ from ledgerscope.llm.hashing import U, materialise, mix, shingle_hashes, slices,
 SLICE = 1_000_000  # bytes of text handled at once
 PARTS_PER_SHINGLE = 0.6
 LEAST_PARTS = 16
-SKETCH_WORDS = 16  # words of the bit sketch
+LEAST_BITS = 1024  # of a bit sketch
 BLOCK = 1024  # members of a group in one block of sketches
 CLOSEST = 2  # members of a component that are verified first
 SEEN = 50_000  # sets that a map task remembers to collapse equal ones
@@ -255,38 +253,61 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parity sketch: each shingle flips one of 2**k bits, at least ``LEAST_BITS`` and twice as many as shingles.
+
+    Xoring both halves of a sketch gives the sketch of half the size.
+    """
+    bits = max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    flips = np.bincount((mix(shingles) >> U(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def sketches(texts: DataFrame) -> DataFrame:
-    """``doc``, its set's size ``n``, and its parity bit sketch in ``w0`` to ``w{SKETCH_WORDS-1}``.
+    """``doc``, its set's size ``n``, and its parity bit sketch ``sk``.
 
-    Each shingle flips one of 64 * ``SKETCH_WORDS`` bits, so the Hamming distance
-    of two sketches is at most the symmetric difference of the sets.
+    The Hamming distance of two sketches, the longer one folded to the size of
+    the other, is at most the symmetric difference of the sets.
     """
 
     def batch(cols):
-        out: dict[str, list] = {"doc": cols["doc_id"], "n": []} | {f"w{k}": [] for k in range(SKETCH_WORDS)}
-        for s in sets_of(cols["text"]):
-            bits = np.bincount((mix(s) >> U(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-            out["n"].append(len(s))
-            for k, w in enumerate(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()):
-                out[f"w{k}"].append(w)
-        return out
+        found = [(len(s), sketch_of(s)) for s in sets_of(cols["text"])]
+        return {"doc": cols["doc_id"], "n": [n for n, _ in found], "sk": [x for _, x in found]}
+
+    return map_batches(texts, batch, "doc long, n long, sk binary", binary=("text",)).dropDuplicates(["doc"])
 
-    schema = "doc long, n long, " + ", ".join(f"w{k} long" for k in range(SKETCH_WORDS))
-    return map_batches(texts, batch, schema, binary=("text",)).dropDuplicates(["doc"])
 
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) folded to ``width`` words."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
-def alike(x: str, y: str) -> Column:
-    """Whether sizes and sketches of the rows aliased ``x`` and ``y`` allow a link: at most a seventh of both sets differs."""
-    hamming = reduce(add, (F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(SKETCH_WORDS)))
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (3 * F.greatest(n, m) <= 4 * F.least(n, m)) & (7 * hamming <= n + m)
+
+def stacked(sketch: list[bytes]) -> np.ndarray:
+    """Sketches of one size as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketch), U).reshape(len(sketch), -1)
 
 
 def near(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sketches allow a link."""
+    """The pairs ``a, b`` whose sizes and sketches allow a link: at most a seventh of both sets differs."""
     x, y = sketch.alias("x"), sketch.alias("y")
+    sizes = (3 * F.greatest("x.n", "y.n") <= 4 * F.least("x.n", "y.n"))
     first = pairs.join(x, F.col("a") == F.col("x.doc"))
-    return first.join(y, (F.col("b") == F.col("y.doc")) & alike("x", "y")).select("a", "b")
+    both = first.join(y, (F.col("b") == F.col("y.doc")) & sizes).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.sk").alias("x"), F.col("y.sk").alias("y"))
+
+    def batch(cols):
+        n, widths = np.array(cols["n"], np.int64), np.array([(len(x), len(y)) for x, y in zip(cols["x"], cols["y"], strict=True)]).reshape(-1, 2)
+        keep = np.zeros(len(n), bool)
+        for wx, wy in np.unique(widths, axis=0):
+            at = np.flatnonzero((widths == (wx, wy)).all(1))
+            least = min(wx, wy) // 8
+            one, other = (folded(stacked([cols[c][i] for i in at]), least) for c in ("x", "y"))
+            keep[at] = 7 * np.bitwise_count(one ^ other).sum(1, dtype=np.int64) <= n[at]
+        return {c: np.array(cols[c], np.int64)[keep] for c in ("a", "b")}
+
+    return map_batches(both, batch, "a long, b long")
 
 
 def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -318,46 +339,71 @@ def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 UNIT = ["grp", "j", "k"]
-WORDS = [f"w{k}" for k in range(SKETCH_WORDS)]
 
 
-def _close(unit: dict[str, np.ndarray], best_only: bool) -> np.ndarray:
+def _close(unit: dict[str, np.ndarray], sketch: list[bytes], best_only: bool) -> np.ndarray:
     """Pairs (a < b) of one unit that sketches and sizes allow: asking rows against the block's rows of other components."""
-    block, asking = np.flatnonzero(unit["role"] == 0), np.flatnonzero(unit["role"] == 1)
-    n, comp, doc, words = unit["n"], unit["comp"], unit["doc"], unit["words"]
-    found = []
-    for at in range(0, len(asking), 128):
-        q = asking[at : at + 128]
-        far = np.zeros((len(q), len(block)), np.int64)
-        for w in words:
-            far += np.bitwise_count(w[q, None] ^ w[block])
-        x, y = n[q, None], n[block]
-        ok = (comp[q, None] != comp[block]) & (3 * np.maximum(x, y) <= 4 * np.minimum(x, y)) & (7 * far <= x + y)
-        i, k = np.nonzero(ok)
-        if best_only and len(i):
-            order = np.lexsort((doc[block[k]], far[i, k], comp[block[k]], i))
-            i, k = i[order], k[order]
-            start = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (comp[block[k[1:]]] != comp[block[k[:-1]]]))))
-            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-            i, k = i[rank < CLOSEST], k[rank < CLOSEST]
-        a, b = doc[q[i]], doc[block[k]]
-        found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    role, n, comp, doc = unit["role"], unit["n"], unit["comp"], unit["doc"]
+    width = np.array([len(s) for s in sketch])
+    words = {int(w): stacked([sketch[i] for i in np.flatnonzero(width == w)]) for w in np.unique(width)}
+    place = np.zeros(len(n), np.int64)  # of a row among those of its width
+    for w in words:
+        place[width == w] = np.arange((width == w).sum())
+    found = [np.zeros((0, 4), np.int64)]  # asking row, its pair's row, distance
+    for wq in words:
+        for wb in words:
+            if not wq <= 2 * wb <= 4 * wq:  # sizes within 4/3 have sketches within a factor of 2
+                continue
+            asking, block = np.flatnonzero((role == 1) & (width == wq)), np.flatnonzero((role == 0) & (width == wb))
+            least = min(wq, wb) // 8
+            listed = folded(words[wb][place[block]], least)
+            for at in range(0, len(asking) if len(block) else 0, 128):
+                q = asking[at : at + 128]
+                ask = folded(words[wq][place[q]], least)
+                x, y = n[q, None], n[block]
+                ok = (comp[q, None] != comp[block]) & (3 * np.maximum(x, y) <= 4 * np.minimum(x, y))
+                i, k = np.nonzero(ok)
+                for s in range(0, len(i), 1 + (1 << 19) // least):
+                    e = slice(s, s + 1 + (1 << 19) // least)
+                    far = np.bitwise_count(ask[i[e]] ^ listed[k[e]]).sum(1, dtype=np.int64)
+                    near_ = 7 * far <= n[q[i[e]]] + n[block[k[e]]]
+                    found.append(np.column_stack([q[i[e]], block[k[e]], far, far])[near_])
+    hits = np.concatenate(found)
+    if best_only and len(hits):
+        q, other = hits[:, 0], comp[hits[:, 1]]
+        order = np.lexsort((doc[hits[:, 1]], hits[:, 2], other, q))
+        hits, q, other = hits[order], q[order], other[order]
+        start = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (other[1:] != other[:-1]))))
+        rank = np.arange(len(hits)) - np.repeat(start, np.diff(np.append(start, len(hits))))
+        hits = hits[rank < CLOSEST]
+    a, b = doc[hits[:, 0]], doc[hits[:, 1]]
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
 
 
 def outsider_pairs(members: DataFrame, nodes: DataFrame, sketch: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs ``a, b`` between components inside the groups ``members (grp, doc)``."""
+    """Candidate pairs ``a, b`` between components inside the groups ``members (grp, doc)``.
+
+    With ``best_only`` an outsider asks in the largest of its groups only.
+    """
     placed = members.join(nodes, members["doc"] == nodes["node"], "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
     parts = placed.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    open_ = placed.join(main, "grp").select(
-        "grp", "doc", "comp", (F.col("comp") != F.col("main")).alias("out"), F.ceil(F.col("total") / BLOCK).alias("blocks"), F.ceil(F.col("outside") / BLOCK).alias("slices")
-    )
-    own = open_.join(sketch, "doc")
+    main = parts.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = placed.join(main.drop("comps"), "grp")
+    outside = open_.where("comp <> main")
+    if best_only:
+        outside = outside.groupBy("doc").agg(F.max_by(F.struct("grp", "comp", "total"), F.struct("total", "grp")).alias("x")).select("x.grp", "doc", "x.comp", "x.total")
+    outside = materialise(outside.select("grp", "doc", "comp", "total"), "outside")
+    slices = outside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
     seat = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    zero, columns = F.lit(0).cast("long"), ["doc", "comp", "n", *WORDS]
-    listed = own.select("grp", F.explode(F.sequence(zero, F.col("slices") - 1)).alias("j"), seat("blocks").alias("k"), F.lit(0).alias("role"), *columns)
-    asking = own.where("out").select("grp", seat("slices").alias("j"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("k"), F.lit(1).alias("role"), *columns)
+    zero, columns = F.lit(0).cast("long"), ["doc", "comp"]
+    blocks = F.ceil(F.col("total") / BLOCK)
+    listed = open_.join(slices, "grp").withColumn("blocks", blocks).select(
+        "grp", F.explode(F.sequence(zero, F.col("slices") - 1)).alias("j"), seat("blocks").alias("k"), F.lit(0).alias("role"), *columns
+    )
+    asking = outside.join(slices, "grp").withColumn("blocks", blocks).select(
+        "grp", seat("slices").alias("j"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("k"), F.lit(1).alias("role"), *columns
+    )
+    rows = listed.union(asking).join(sketch, "doc").select(*UNIT, "role", "doc", "comp", "n", "sk")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -365,9 +411,7 @@ def outsider_pairs(members: DataFrame, nodes: DataFrame, sketch: DataFrame, best
         def pairs() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             held.clear()
-            unit = {c: t.column(c).to_numpy() for c in ("role", "doc", "comp", "n")}
-            unit["words"] = [t.column(w).to_numpy().view(U) for w in WORDS]
-            found = _close(unit, best_only)
+            found = _close({c: t.column(c).to_numpy() for c in ("role", "doc", "comp", "n")}, t.column("sk").to_pylist(), best_only)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c])) for c in (0, 1)], names=["a", "b"])
 
         last = None
@@ -384,7 +428,7 @@ def outsider_pairs(members: DataFrame, nodes: DataFrame, sketch: DataFrame, best
         if held:
             yield pairs()
 
-    return listed.union(asking).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a long, b long").distinct()
 
 
 LINKED = "100 * inter >= 75 * (na + nb - inter) AND inter > 0"
