@@ -5,6 +5,7 @@ import sys
 
 import corpus_pipeline
 from conftest import ROOT, SF_SMALL
+from llm.helpers import documents, empty
 
 import __spark_entry__ as E
 from ledgerscope.llm import decontaminate, jaccard, quality, secrets
@@ -60,3 +61,17 @@ def test_entry_without_the_subpackage():
 def test_queries_run_on_the_small_tables(spark):
     for name in ("op1_token_counts", "op4_toxicity", "op7_language_id", "op8_quality_rules", "op9_best_fit_packing"):
         assert QUERIES[name](spark, SF_SMALL).count() >= 200, name
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null and empty texts, a row without an id, repeated rows, a long text and clashing columns; then no row at all."""
+    for docs in (documents(spark), empty(spark)):
+        rows = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF_SMALL)
+            assert docs.columns == empty(spark).columns, name
+            docs = materialise(docs, "awkward")
+            assert docs.count() <= rows
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        assert (packed.count() == 0) == (docs.count() == 0)
