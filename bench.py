@@ -71,13 +71,34 @@ def build_landed_queries(t):
     }
 
 
+def executed(plan):
+    """Physical nodes of an executed plan; reused exchanges are leaves."""
+    yield plan.nodeName()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        yield from executed(plan.executedPlan())
+    elif plan.nodeName().endswith("QueryStage"):
+        yield from executed(plan.plan())
+    else:
+        children = plan.children()
+        for i in range(0 if plan.nodeName() == "ReusedExchange" else children.size()):
+            yield from executed(children.apply(i))
+
+
 def plan_shape(df) -> dict[str, int]:
-    """Exchanges and scans of the planned physical plan, and the scans of the executed one, where equal exchanges run once."""
+    """Exchanges and scans of the planned physical plan, in which every use of a relation and every pruning
+    subquery has its own copy, and of the executed one, where equal exchanges run once."""
     text = str(df._jdf.queryExecution().executedPlan().toString())
     df.collect()
-    run = str(df._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[0]
+    nodes = list(executed(df._jdf.queryExecution().executedPlan()))
     shuffles = sum(1 for line in text.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line)
-    return {"shuffles": shuffles, "broadcasts": text.count("BroadcastExchange"), "scans": text.count("FileScan parquet"), "scans_run": run.count("FileScan parquet"), "reused": run.count("ReusedExchange")}
+    return {
+        "shuffles": shuffles,
+        "broadcasts": text.count("BroadcastExchange"),
+        "scans": text.count("FileScan parquet"),
+        "shuffles_run": nodes.count("Exchange"),
+        "scans_run": sum(n.startswith("Scan parquet") for n in nodes),
+        "reused": nodes.count("ReusedExchange"),
+    }
 
 
 def main() -> None:
