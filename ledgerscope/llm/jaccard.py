@@ -173,12 +173,13 @@ def _keyed(texts: DataFrame, frequent, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["bucket", "keys", "ids", "sizes"])
             if len(seen) > SEEN:
                 seen.clear()
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, KEYED)
 
 
-def _group_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, small_group: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (a < b) and rows (group, member) of the large groups."""
+def _group_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, small_group: int, seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (a < b) and rows (group, member) of the large groups; ``seen`` holds the names of groups given before."""
     order = np.lexsort((ids, keys))
     keys, ids, sizes = keys[order], ids[order], sizes[order].astype(np.int64)
     fresh = np.ones(len(keys), bool)  # a document may hold a key twice
@@ -201,7 +202,6 @@ def _group_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, small_gro
     small, large = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
     ok = 3 * large <= 4 * small
     found = np.unique(np.column_stack([ids[left[ok]], ids[right[ok]]]), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-    seen: set[bytes] = set()
     for g in np.flatnonzero(length > small_group):
         own = ids[start[g] : start[g] + length[g]]
         digest = mix(own.astype(U)).sum(dtype=U)
@@ -219,25 +219,36 @@ def candidates(texts: DataFrame, small_group: int = 12, sample_docs: int = 4000)
     buckets = 8 * parts
 
     def run(batches):
-        keys, ids, sizes = [], [], []
-        for b in batches:
-            for bucket, k, d, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        seen: set[bytes] = set()
+        packed: list[tuple[bytes, bytes, bytes]] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            columns = [np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*packed, strict=True), (U, np.int64, np.int32), strict=True)]
+            packed.clear()
+            for kind, rows in enumerate(_group_pairs(*columns, small_group, seen)):
+                for at in range(0, len(rows), 1 << 16):
+                    yield _rows(kind, rows[at : at + (1 << 16)])
+
+        last = None
+        for b in batches:  # sorted by bucket: one of them is held at a time
+            for i in range(b.num_rows):
+                bucket, k, d, n = (b.column(c)[i].as_py() for c in range(4))
                 if bucket == -1:
                     x, y = np.frombuffer(k, np.int64), np.frombuffer(d, np.int64)
                     yield _rows(2, np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
                     continue
-                keys.append(np.frombuffer(k, U))
-                ids.append(np.frombuffer(d, np.int64))
-                sizes.append(np.frombuffer(n, np.int32))
-        if keys:
-            pairs, members = _group_pairs(np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes), small_group)
-            yield _rows(0, pairs)
-            yield _rows(1, members)
+                if bucket != last and packed:
+                    yield from found()
+                last = bucket
+                packed.append((k, d, n))
+        if packed:
+            yield from found()
+        pa.default_memory_pool().release_unused()
 
     # Rows of equal sets (bucket -1) are spread by their own hash.
     keyed = _keyed(texts, frequent, buckets)
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("keys"), F.lit(buckets)))
-    return keyed.repartition(parts, spread).mapInArrow(run, PAIRS)
+    return keyed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(run, PAIRS)
 
 
 def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
