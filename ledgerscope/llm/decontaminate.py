@@ -42,6 +42,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -50,16 +51,21 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import id_and_text, map_batches, map_texts, worker_state
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # ASCII part of what ``_EDGE`` takes away
 SHINGLE = 5
 SHORT = 12  # words
 ALIGNED = 0.8
 BLOCK = 16
 K1, B = 1.2, 0.75
+OTHER, EMPTY = -1, -2  # for ids of words that no item has, or without a normal form
 
 
 def normal(word: str) -> str:
     """Lower case without punctuation at the ends (may be empty)."""
     w = word.lower()
+    if w.isalnum():
+        return w
+    w = w.strip(_PUNCTUATION)
     return w if w.isalnum() else _EDGE.sub("", w)
 
 
@@ -146,7 +152,7 @@ class Bm25Index:
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         df = Counter(w for ws in words for w in set(ws))
         self.thresholds = []
-        self.weights: list[dict[str, float]] = [{} for _ in items]
+        weights: list[dict[str, float]] = [{} for _ in items]
         for k, ws in enumerate(words):
             own = asked = 0.0
             question = set(self.items[k].words[0]) if self.items[k].asks else set()
@@ -154,7 +160,7 @@ class Bm25Index:
                 idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / max(mean, 1)))
                 postings[w].append((k, impact))
-                self.weights[k][w] = impact
+                weights[k][w] = impact
                 own += impact
                 asked += impact if w in question else 0.0
             # A passage sees at least this share of a copy, wherever the copy lies.
@@ -170,9 +176,10 @@ class Bm25Index:
         self.bounds = {w: max(b.bound for b in bs) for w, bs in self.lists.items()}
         self.least = min(self.thresholds, default=math.inf)
         self._essential(postings, n)
+        self.weights = [{self.word_id[w]: x for w, x in own.items()} for own in weights]
 
-    def reaches(self, item: int, query: set[str]) -> bool:
-        """Whether the query's words can reach the item's threshold (up to rounding)."""
+    def reaches(self, item: int, query: set[int]) -> bool:
+        """Whether the words with these ids can reach the item's threshold (up to rounding)."""
         weights = self.weights[item]
         return sum(weights[w] for w in weights.keys() & query) >= self.thresholds[item] * (1 - 1e-9)
 
@@ -194,7 +201,8 @@ class Bm25Index:
         kept = {w: [(k, x) for k, x in ps if w not in common or k in tight] for w, ps in postings.items()}
         kept = {w: ps for w, ps in kept.items() if ps}
         self.needed = thresholds - np.where(np.isin(np.arange(n), list(tight)), 0.0, rest)
-        self.word_id = {w: i for i, w in enumerate(kept)}
+        self.names = [*kept, *(w for w in postings if w not in kept)]
+        self.word_id = {w: i for i, w in enumerate(self.names)}  # essential words first
         sizes = [len(ps) for ps in kept.values()]
         self.offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.post_items = np.array([k for ps in kept.values() for k, _ in ps], np.int64)
@@ -287,81 +295,90 @@ class BlockMaxWand:
 
 
 class Scanner:
-    """Scans texts against one index; remembers the essential word of each raw word (bounded)."""
+    """Scans texts against one index; remembers the index's word of each raw word (bounded)."""
 
     def __init__(self, index: Bm25Index, passage: int, min_overlap: float, cache_size: int = 100_000):
         self.index, self.passage, self.min_overlap, self.cache_size = index, passage, min_overlap, cache_size
         self.wand = BlockMaxWand(index)
         self.raw: dict[str, int] = {}
 
-    def _word_ids(self, raw: list[str]) -> np.ndarray:
-        known = self.raw
-        values = list(map(known.get, raw))
-        if None in values:
-            if len(known) > self.cache_size:
-                known.clear()
-            ids, new = self.index.word_id, {}
-            for w, v in zip(raw, values, strict=True):
-                if v is None and w not in new:
-                    new[w] = ids.get(normal(w), -1)
-            values = [new[w] if v is None else v for w, v in zip(raw, values, strict=True)]
-            known.update((w, i) for w, i in new.items() if len(w) <= 64)
-        return np.array(values, np.int64)
-
-    def candidate_passages(self, split: list[list[str]]) -> list[tuple[int, int, list[int]]]:
-        """(text, first word, items in reach) of the passages whose essential words can reach some item."""
+    def _word_ids(self, lowered: list[str]) -> list[int]:
+        """Id of each lower-cased word's normal form: ``OTHER`` if it is not in the index, ``EMPTY`` if nothing is left."""
+        ids, known = self.index.word_id, self.raw
+        values = list(map(ids.get, lowered))  # normal forms stand in the index as they are
+        for k in [k for k, v in enumerate(values) if v is None]:
+            w = lowered[k]
+            if w.isalnum():  # its own normal form
+                values[k] = OTHER
+                continue
+            v = known.get(w)
+            if v is None:
+                form = normal(w)
+                v = ids.get(form, OTHER) if form else EMPTY
+                if len(w) <= 64:
+                    if len(known) >= self.cache_size:
+                        known.clear()
+                    known[w] = v
+            values[k] = v
+        return values
+
+    def candidate_passages(self, texts: list[list[int]]) -> list[tuple[int, int, list[int], set[int]]]:
+        """(text, first word, items in reach, ids of its words) of the passages whose words can reach some item; texts as word ids."""
         index, half = self.index, self.passage // 2
-        flat = [w for raw in split for w in raw]
-        if not flat or not len(index.post_items):
+        words = np.fromiter(chain.from_iterable(texts), np.int64)
+        if not len(words) or not len(index.post_items):
             return []
-        n = np.array([len(raw) for raw in split])
+        n = np.array([len(t) for t in texts])
         first = np.concatenate(([0], np.cumsum(n)))[:-1]
         count = np.maximum(1, -(-(n - half) // half))  # passages of each text
         base = np.concatenate(([0], np.cumsum(count)))[:-1]
-        ids = self._word_ids(flat)
-        at = np.flatnonzero(ids >= 0)
-        ids = ids[at]
+        essential = len(index.offsets) - 1
+        at = np.flatnonzero((words >= 0) & (words < essential))
         text = np.searchsorted(first, at, side="right") - 1
         place = (at - first[text]) // half
+        # A word lies in the passage that starts in its half, and in the one before; it counts once in each.
+        keys = (base[text] + place) * essential + words[at]
+        passage, ids = np.divmod(np.unique(np.concatenate([keys[place < count[text]], keys[place > 0] - essential])), essential)
         size = index.offsets[ids + 1] - index.offsets[ids]
-        row = np.repeat(np.arange(len(ids)), size)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(index.offsets[ids], size)
-        items, impacts = index.post_items[entry], index.post_impacts[entry]
-        keys, weights = [], []
-        for shift in (0, 1):  # a word lies in the passage that starts in its half, and in the one before
-            p = place[row] - shift
-            ok = (p >= 0) & (p < count[text[row]])
-            keys.append((base[text[row]] + p)[ok] * len(index.ids) + items[ok])
-            weights.append(impacts[ok])
-        found, back = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(back, weights=np.concatenate(weights), minlength=len(found))
+        entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - index.offsets[ids], size)
+        found, back = np.unique(np.repeat(passage, size) * len(index.ids) + index.post_items[entry], return_inverse=True)
+        sums = np.bincount(back, weights=index.post_impacts[entry], minlength=len(found))
         found = found[sums >= index.needed[found % len(index.ids)] * (1 - 1e-9)]
-        out: dict[int, list[int]] = defaultdict(list)
+        within: dict[int, list[int]] = defaultdict(list)
         for p, item in zip((found // len(index.ids)).tolist(), (found % len(index.ids)).tolist(), strict=True):
-            out[p].append(item)
-        of = np.searchsorted(base, list(out), side="right") - 1
-        return [(int(t), int(p - base[t]) * half, items) for t, (p, items) in zip(of, out.items(), strict=True)]
+            within[p].append(item)
+        out = []
+        for t, (p, items) in zip((np.searchsorted(base, list(within), side="right") - 1).tolist(), within.items(), strict=True):
+            a = int(p - base[t]) * half
+            query = set(texts[t][a : a + self.passage]) - {OTHER, EMPTY}
+            items = [i for i in items if index.reaches(i, query)]
+            if items:
+                out.append((t, a, items, query))
+        return out
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, float, float, int]]]:
         """For each text, (item id, question overlap, answer overlap, first word) of each verified item."""
-        index, split = self.index, [t.split() for t in texts]
+        index, split = self.index, [self._word_ids(t.lower().split()) for t in texts]
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for t, a, within in self.candidate_passages(split):
-            query = {w for w in map(normal, split[t][a : a + self.passage]) if w}
-            within = [i for i in within if index.reaches(i, query)]
-            for item in self.wand.search(query, within) if within else ():
+        for t, a, within, query in self.candidate_passages(split):
+            for item in self.wand.search({index.names[i] for i in query}, within):
                 found[t][item].append(a)
         out: list[list[tuple[int, float, float, int]]] = [[] for _ in texts]
         for t, items in found.items():
             for item, at in sorted(items.items()):
                 # Question and answer may lie in different passages: the text around all of the item's passages counts.
-                reach = self.index.longest
-                near = [words_in(split[t][max(0, a - reach) : a + self.passage + reach]) for a in at]
-                shares = self.index.items[item].overlaps(near, self.min_overlap)
+                reach = index.longest
+                near = [self._words(split[t][max(0, a - reach) : a + self.passage + reach]) for a in at]
+                shares = index.items[item].overlaps(near, self.min_overlap)
                 if shares:
-                    out[t].append((self.index.ids[item], shares[0], shares[-1], at[0]))
+                    out[t].append((index.ids[item], shares[0], shares[-1], at[0]))
         return out
 
+    def _words(self, ids: list[int]) -> list[str]:
+        """The normal forms, without empty ones; a word that no item has is an empty string, which no item has either."""
+        names = self.index.names
+        return [names[i] if i >= 0 else "" for i in ids if i != EMPTY]
+
 
 def _scanner(key: str, index: Bm25Index, passage: int, min_overlap: float) -> Scanner:
     return worker_state(key, lambda: Scanner(index, passage, min_overlap))

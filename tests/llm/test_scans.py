@@ -336,6 +336,21 @@ def test_decontamination_finds_near_copies(spark):
     assert {r["doc_id"] for r in decontaminate.keep(docs, table).collect()} == {d for d, _ in rows if d >= 10_000}
 
 
+def test_decontamination_normalises_a_word_once(monkeypatch):
+    """However many passages hold it; forms are those of ``words_of``."""
+    index = decontaminate.Bm25Index([*items(60), (90, "\u0391\u03a3 don't stop. Stra\u00dfe \u0130x sum_ it up.")], 0.5, 128)
+    scanner = decontaminate.Scanner(index, 128, 0.6)
+    odd = "\u0391\u03a3 DON'T (stop), STRASSE Stra\u00dfe. \u0130X ... \u00ab \u0391\u03a3' _it_ sum_ 'sum_' x\x1cup\u00a0It, --"
+    known = [index.names[i] if i >= 0 else "" for i in scanner._word_ids(odd.lower().split()) if i != decontaminate.EMPTY]
+    assert known == [w if w in index.word_id else "" for w in decontaminate.words_of(odd)]
+    text = " ".join(t + " " + prose(100, k) for k, t in items(60))
+    calls, normal = [], decontaminate.normal
+    monkeypatch.setattr(decontaminate, "normal", lambda w: calls.append(w) or normal(w))
+    found = scanner.scan([text, text, odd])
+    assert [m[0] for m in found[0]] == list(range(60)) and found[1] == found[0]
+    assert len(calls) <= len({w.lower() for w in text.split() + odd.split()})
+
+
 def test_hash_sample_is_bounded_and_repeats(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"] for r in hash_sample(df, "doc_id", 1000).collect()}
