@@ -11,6 +11,8 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,14 +67,14 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, ROWS)
 
 
-_STATE: dict[str, object] = {"owner": None}
+_STATE: dict[str, object] = {"owner": None, "step": None}
 
 
 def worker_state(owner: str, make: Callable[[], object]) -> object:
     """What ``make`` gave for ``owner`` in this Python worker; a new owner's state replaces the old one.
 
     Workers outlive jobs, so caches of operators that run one after another
-    would add up otherwise.
+    would add up otherwise (``tidy`` drops those that no later operator replaces).
     """
     if _STATE["owner"] != owner:
         _STATE.update(owner=None, value=None)
@@ -80,6 +82,37 @@ def worker_state(owner: str, make: Callable[[], object]) -> object:
     return _STATE["value"]
 
 
+def begin(step: str) -> None:
+    """Drop the state that another step left in this Python worker."""
+    if _STATE["step"] != step:
+        _STATE.update(step=step, owner=None, value=None)
+
+
+def release() -> None:
+    """Give memory that is free in the allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, as a step of its own that leaves little memory in the Python worker.
+
+    An executor holds several workers that outlive jobs: what other steps keep
+    goes before the first batch, what this one has freed after the last.  Its own
+    state stays for its next tasks.
+    """
+    step = uuid.uuid4().hex
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(step)
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str | StructType, binary: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -101,7 +134,7 @@ def map_batches(
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return df.mapInArrow(tidy(run), target)
 
 
 def map_texts(df: DataFrame, text_col: str, fn: Callable[..., list[str | None]], more: tuple[str, ...] = ()) -> DataFrame:
@@ -121,4 +154,4 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[..., list[str | None]],
             columns = [pa.array(texts, b.schema.field(k).type) if i == k else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import _pieces, hash_sample, id_and_text, map_batches
+from ledgerscope.llm.common import _pieces, hash_sample, id_and_text, map_batches, tidy
 from ledgerscope.llm.components import components
 from ledgerscope.llm.hashing import U, materialise, mix, shingle_hashes, slices, word_hashes
 
@@ -175,7 +175,7 @@ def _keyed(texts: DataFrame, frequent, buckets: int) -> DataFrame:
                 seen.clear()
         pa.default_memory_pool().release_unused()
 
-    return texts.mapInArrow(run, KEYED)
+    return texts.mapInArrow(tidy(run), KEYED)
 
 
 def _group_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, small_group: int, seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ def candidates(texts: DataFrame, small_group: int = 12, sample_docs: int = 4000)
     # Rows of equal sets (bucket -1) are spread by their own hash.
     keyed = _keyed(texts, frequent, buckets)
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("keys"), F.lit(buckets)))
-    return keyed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(run, PAIRS)
+    return keyed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(tidy(run), PAIRS)
 
 
 def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
@@ -439,7 +439,7 @@ def outsider_pairs(members: DataFrame, nodes: DataFrame, sketch: DataFrame, best
         if held:
             yield pairs()
 
-    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 LINKED = "100 * inter >= 75 * (na + nb - inter) AND inter > 0"

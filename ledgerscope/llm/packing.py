@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import id_and_text, map_batches
+from ledgerscope.llm.common import id_and_text, map_batches, tidy
 from ledgerscope.llm.tokens import frequent_units, token_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -117,7 +117,7 @@ def pack(
     dealt = pieces.select(*names, F.pmod(F.monotonically_increasing_id(), F.lit(groups)).alias("_group"))
     dealt = dealt.withColumn("_window", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(windows)))
     order = ["_group", "_window", F.desc("length"), "doc_id", "piece"]
-    return dealt.repartition(groups, "_group").sortWithinPartitions(*order).mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return dealt.repartition(groups, "_group").sortWithinPartitions(*order).mapInArrow(tidy(run), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, open_bins: int = 1024) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import SPACE, id_and_text, map_batches, map_texts
+from ledgerscope.llm.common import SPACE, id_and_text, map_batches, map_texts, tidy
 from ledgerscope.llm.hashing import materialise
 
 WS = SPACE.encode()
@@ -75,15 +75,18 @@ def _count_batches(batches):
     held = 0
 
     def flush():
-        rows = [(lang, "c", str(i), int(n)) for lang, h in classes.items() for i, n in enumerate(h) if n]
-        for lang, c in counts.items():
-            rows += [(lang, "w", w.decode("utf-8", "replace"), n) for w, n in c.items()]
-            rows.append((lang, "n", "", sum(c.values())))
-        counts.clear()
+        few = [(lang, "c", str(i), int(n)) for lang, h in classes.items() for i, n in enumerate(h) if n]
+        few += [(lang, "n", "", sum(c.values())) for lang, c in counts.items()]
         classes.clear()
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        parts = [part(*map(list, zip(*few, strict=True)))] if few else []
+        while counts:  # one language's words at a time are held twice
+            lang, c = counts.popitem()
+            parts.append(part([lang] * len(c), ["w"] * len(c), [w.decode("utf-8", "replace") for w in c], list(c.values())))
+        return parts
+
+    def part(*columns):
         types = [pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["lang", "kind", "item", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "kind", "item", "n"])
 
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
@@ -95,9 +98,9 @@ def _count_batches(batches):
             h = classes.get(lang)
             classes[lang] = class_histogram(text) if h is None else h + class_histogram(text)
             if held > _FLUSH:
-                yield flush()
+                yield from flush()
                 held = 0
-    yield flush()
+    yield from flush()
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_share: float = 0.002, min_count: int = 5000) -> References:
@@ -105,7 +108,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", word_sh
     texts = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    counts = texts.mapInArrow(_count_batches, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidy(_count_batches), "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     # Words below the least count that any language can ask for are not kept.
     counts = materialise(counts.where((F.col("kind") != "w") | (F.col("n") >= word_share * max(1, min_count))), "word-counts")
     enough = counts.where((F.col("kind") == "n") & (F.col("n") >= max(1, min_count)))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import hash_sample, id_and_text, map_batches, map_texts
+from ledgerscope.llm.common import hash_sample, id_and_text, map_batches, map_texts, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -93,7 +93,7 @@ def train(samples: DataFrame, text_col: str = "sample", label_col: str = "is_ran
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
 
     clean = samples.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).cast("string"), F.col(label_col).cast("int"))
-    rows = clean.mapInArrow(pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = clean.mapInArrow(tidy(pairs), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(2 * N_SYMBOLS * N_SYMBOLS)
     for r in rows:
         counts[r["at"]] = r["n"]

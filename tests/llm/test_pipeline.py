@@ -4,11 +4,13 @@ import subprocess
 import sys
 
 import corpus_pipeline
+import pyarrow as pa
 from conftest import ROOT, SF_SMALL
 from llm.helpers import documents, empty
+from pyspark.sql.types import StructType
 
 import __spark_entry__ as E
-from ledgerscope.llm import decontaminate, jaccard, quality, secrets
+from ledgerscope.llm import common, decontaminate, jaccard, quality, secrets
 from ledgerscope.llm.hashing import materialise
 from ledgerscope.llm.queries import ORACLES, QUERIES
 
@@ -75,3 +77,43 @@ def test_stages_on_awkward_rows(spark):
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL)
         assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
         assert (packed.count() == 0) == (docs.count() == 0)
+
+
+def test_a_step_drops_the_state_of_others():
+    """Python workers outlive jobs: no cache of one operator stays while the next one runs."""
+
+    class Table:
+        schema = StructType.fromDDL("text string")
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def hold(cols):
+        common.worker_state("held", dict)["x"] = 1
+        return {"n": [len(common.worker_state("held", dict))]}
+
+    def look(cols):
+        return {"n": [int(common._STATE["owner"] == "held")]}
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    first, second = common.map_batches(Table(), hold, "n long"), common.map_batches(Table(), look, "n long")
+    third = common.map_texts(Table(), "text", lambda texts: texts)
+    for step in (second, third):
+        assert [b.to_pydict() for b in first(iter([batch]))] == [{"n": [1]}]
+        assert common._STATE["owner"] == "held"
+        (out,) = step(iter([batch]))
+        assert common._STATE["owner"] is None and out.to_pydict() in ({"n": [0]}, {"text": ["a"]})
+
+
+def test_a_step_keeps_its_own_state():
+    seen = []
+
+    def run(batches):
+        for b in batches:
+            common.worker_state("mine", list).append(b)
+            seen.append(len(common.worker_state("mine", list)))
+            yield b
+
+    one, other = common.tidy(run), common.tidy(run)
+    assert list(one(iter([1, 2]))) == [1, 2] and list(one(iter([3]))) == [3] and list(other(iter([4]))) == [4]
+    assert seen == [1, 2, 3, 1]
