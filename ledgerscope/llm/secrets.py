@@ -79,23 +79,33 @@ class MarkovModel:
         return float(sum(self.ratio[a, b] for a, b in pairwise(codes)))
 
 
-def train(samples: DataFrame, text_col: str = "sample", label_col: str = "is_random", smoothing: float = 0.5) -> MarkovModel:
-    """Models from labelled strings; pair counts are summed by Spark, so the result has a fixed size."""
+def pair_counts(samples: DataFrame, text_col: str = "sample", label_col: str = "is_random") -> DataFrame:
+    """``at, n``: count of each character pair of each label, as a place in the array of both labels' pairs.
+
+    Equal strings are counted first.  That shuffle also parts the task that
+    makes the strings from the one that reads them: in one task each would have
+    a Python worker, and an executor keeps as many as ever ran at once.
+    """
 
     def pairs(batches):
         for b in batches:
             counts = np.zeros((2, N_SYMBOLS, N_SYMBOLS), np.int64)
-            for s, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for s, y, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 codes = [_CODE.get(c, N_SYMBOLS - 1) for c in s]
                 for a, c in pairwise(codes):
-                    counts[y, a, c] += 1
+                    counts[y, a, c] += n
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
 
-    clean = samples.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).cast("string"), F.col(label_col).cast("int"))
-    rows = clean.mapInArrow(tidy(pairs), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    clean = samples.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).cast("string").alias("s"), F.col(label_col).cast("int").alias("y"))
+    strings = clean.groupBy("s", "y").agg(F.count("*").alias("n"))
+    return strings.mapInArrow(tidy(pairs), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def train(samples: DataFrame, text_col: str = "sample", label_col: str = "is_random", smoothing: float = 0.5) -> MarkovModel:
+    """Models from labelled strings; pair counts are summed by Spark, so the result has a fixed size."""
     counts = np.zeros(2 * N_SYMBOLS * N_SYMBOLS)
-    for r in rows:
+    for r in pair_counts(samples, text_col, label_col).collect():
         counts[r["at"]] = r["n"]
     counts = counts.reshape(2, N_SYMBOLS, N_SYMBOLS) + smoothing
     logs = np.log(counts / counts.sum(2, keepdims=True))
@@ -131,7 +141,8 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sample = hash_sample(id_and_text(docs, id_col, text_col), "doc_id", max_docs)
     found = map_batches(sample.select("text"), batch, "sample string, is_random int")
-    made = docs.sparkSession.createDataFrame([(s, 1) for s in random_strings()], "sample string, is_random int")
+    strings = random_strings()
+    made = docs.sparkSession.createDataFrame(pa.table({"sample": strings, "is_random": pa.array([1] * len(strings), pa.int32())}))  # rows from Arrow need no Python worker
     return found.unionByName(made)
 
 

@@ -117,3 +117,27 @@ def test_a_step_keeps_its_own_state():
     one, other = common.tidy(run), common.tidy(run)
     assert list(one(iter([1, 2]))) == [1, 2] and list(one(iter([3]))) == [3] and list(other(iter([4]))) == [4]
     assert seen == [1, 2, 3, 1]
+
+
+def test_secret_training_runs_one_python_worker_a_task(spark):
+    """An executor keeps as many Python workers as ever ran at once: a shuffle parts the two Python steps, and no rows come from Python."""
+    plan = secrets.pair_counts(secrets.training_sample(documents(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Exchange" in plan[plan.index("MapInArrow") : plan.rindex("MapInArrow")]
+    assert "LocalTableScan" in plan
+    counts = {r["at"]: r["n"] for r in secrets.pair_counts(spark.createDataFrame([("abc", 1), ("abc", 1), ("ab", 0), (None, 1), ("abc", 2), ("abc", None)], "sample string, is_random int")).collect()}
+    code, size = secrets._CODE, secrets.N_SYMBOLS
+    place = lambda y, a, b: (y * size + code[a]) * size + code[b]
+    assert counts == {place(1, "a", "b"): 2, place(1, "b", "c"): 2, place(0, "a", "b"): 1}
+
+
+def test_stages_take_small_batches_unless_the_session_names_a_number(spark):
+    key, default = corpus_pipeline.ARROW_ROWS
+    before = spark.conf.get(key)
+    try:
+        for given, used in ((default, common.ROWS), ("77", 77)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(key, given)
+                stage(spark, empty(spark), SF_SMALL)
+                assert int(spark.conf.get(key)) == used
+    finally:
+        spark.conf.set(key, before)
